@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ZERO = 0.0
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    An expression named inside a lambda would otherwise run once per array element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def doubles(v: Column) -> Column:
@@ -13,41 +21,43 @@ def doubles(v: Column) -> Column:
 
 
 def vsum(v: Column) -> Column:
-    return F.aggregate(doubles(v), F.lit(_ZERO), lambda acc, x: acc + x)
+    return F.aggregate(doubles(v), F.lit(0.0), lambda acc, x: acc + x)
 
 
 def dot(u: Column, v: Column) -> Column:
-    return F.aggregate(
-        F.zip_with(doubles(u), doubles(v), lambda a, b: a * b), F.lit(_ZERO), lambda acc, x: acc + x
-    )
+    return vsum(F.zip_with(doubles(u), doubles(v), lambda a, b: a * b))
 
 
 def l2_norm(v: Column) -> Column:
-    return F.sqrt(F.aggregate(doubles(v), F.lit(_ZERO), lambda acc, x: acc + x * x))
+    return F.sqrt(F.aggregate(doubles(v), F.lit(0.0), lambda acc, x: acc + x * x))
 
 
 def l2_normalize(v: Column) -> Column:
     """``v / |v|``; null for the zero vector."""
-    norm = l2_norm(v)
-    return F.when(norm > 0, F.transform(doubles(v), lambda x: x / norm))
+    return let(l2_norm(v), lambda n: F.when(n > 0, F.transform(doubles(v), lambda x: x / n)))
 
 
 def cosine(u: Column, v: Column) -> Column:
     """Cosine similarity; null when either side is the zero vector."""
-    scale = l2_norm(u) * l2_norm(v)
-    return F.when(scale > 0, dot(u, v) / scale)
+    return let(l2_norm(u) * l2_norm(v), lambda scale: F.when(scale > 0, dot(u, v) / scale))
 
 
 def softmax(logits: Column) -> Column:
-    peak = F.array_max(doubles(logits))
-    scaled = F.transform(doubles(logits), lambda z: F.exp(z - peak))
-    total = F.aggregate(scaled, F.lit(_ZERO), lambda acc, x: acc + x)
-    return F.transform(scaled, lambda e: e / total)
+    def scaled(peak: Column) -> Column:
+        return F.transform(doubles(logits), lambda z: F.exp(z - peak))
+
+    def divided(parts: Column) -> Column:
+        return let(vsum(parts), lambda total: F.transform(parts, lambda e: e / total))
+
+    return let(F.array_max(doubles(logits)), lambda peak: let(scaled(peak), divided))
 
 
 def log_sum_exp(logits: Column) -> Column:
-    peak = F.array_max(doubles(logits))
-    return peak + F.log(F.aggregate(doubles(logits), F.lit(_ZERO), lambda acc, z: acc + F.exp(z - peak)))
+    return let(
+        F.array_max(doubles(logits)),
+        lambda peak: peak
+        + F.log(F.aggregate(doubles(logits), F.lit(0.0), lambda acc, z: acc + F.exp(z - peak))),
+    )
 
 
 def log_prob(logits: Column, code: Column) -> Column:
@@ -72,5 +82,4 @@ def attribution_summary(v: Column) -> Column:
 
 def attribution_score(v: Column) -> Column:
     """Sum of the scaled attributions; null for the zero vector."""
-    norm = l2_norm(v)
-    return F.when(norm > 0, vsum(v) / norm)
+    return let(l2_norm(v), lambda n: F.when(n > 0, vsum(v) / n))

@@ -109,7 +109,7 @@ def search_head(
     names = []
     for g, model in zip(grid, models):
         name = f"pred_{g['trial']}"
-        model.setParams(predictionCol=name, rawPredictionCol="", probabilityCol="")
+        model.setPredictionCol(name).setRawPredictionCol("").setProbabilityCol("")
         scored = model.transform(scored)
         names.append(F.struct(F.lit(g["trial"]).cast("bigint").alias("trial"), F.col(name).cast("bigint").alias("pred_code")))
     runs = scored.select("label_code", F.inline(F.array(*names)))

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import hash_bigint, md5_key
+from corpusloom.functions.vectors import let
 from corpusloom.operators.ranking import positions_by_order
 
 MAX_TOKENS = 512
@@ -110,26 +111,26 @@ def whole_word_mask(
     def rank_of(i: Column) -> Column:
         return F.md5(F.concat_ws(":", key, i.cast("string")))
 
-    # Sorting the keys and keeping the wanted-th as a bound needs no per-word lookup.
-    keys = F.transform("tokens", lambda t, i: rank_of(i))
-    bound = F.try_element_at(F.array_sort("_keys"), F.col("_wanted"))
     draw = F.concat_ws(":", F.lit(f"act{seed}"), F.col(id_col).cast("string"))
 
-    def act(i: Column) -> Column:
-        return hash_bigint(F.md5(F.concat_ws(":", draw, i.cast("string"))), 8) % 100
+    def action(i: Column) -> Column:
+        return let(
+            hash_bigint(F.md5(F.concat_ws(":", draw, i.cast("string"))), 8) % 100,
+            lambda u: F.when(u < 80, "mask").when(u < 90, "random").otherwise("keep"),
+        )
 
-    action = F.transform(
-        "_keys",
-        lambda k, i: F.when(k <= F.col("_bound"),
-                            F.when(act(i) < 80, "mask").when(act(i) < 90, "random").otherwise("keep")),
+    # The wanted-th smallest key bounds the chosen words: no lookup per word.
+    actions = let(
+        F.transform("tokens", lambda t, i: rank_of(i)),
+        lambda keys: let(
+            F.try_element_at(F.array_sort(keys), F.col("_wanted")),
+            lambda bound: F.transform(keys, lambda k, i: F.when(k <= bound, action(i))),
+        ),
     )
     chosen = (
         df.select(id_col, "tokens")
         .withColumn("_wanted", wanted)
-        .withColumn("_keys", keys)
-        .withColumn("_bound", bound)
-        .withColumn("_act", action)
-        .select(id_col, "tokens", "_act")
+        .select(id_col, "tokens", actions.alias("_act"))
     )
     if vocab_size == 0:  # no words anywhere, so nothing to mask
         empty = F.array().cast("array<string>")
