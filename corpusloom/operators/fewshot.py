@@ -23,17 +23,23 @@ STRIDES = (1_000_000_000_039, 1_000_000_000_000_037, 1_000_000_000_000_000_003,
 HITS_PER_ROW = 100_000
 
 
-def shot_pool(train: DataFrame, id_col: str = "doc_id", seed: int = 42) -> DataFrame:
-    """``label_code, pos, train_id`` of the coded train rows."""
-    keys = train.filter(F.col("label_code") >= 0).select("label_code", F.col(id_col).alias("train_id"))
+def shot_pool(
+    train: DataFrame, id_col: str = "doc_id", seed: int = 42, classes: DataFrame | None = None
+) -> DataFrame:
+    """``label_code, label_text, pos, train_id`` of the coded train rows.
+
+    ``classes``, counted on the same rows, saves counting them again.
+    """
+    coded = train.filter(F.col("label_code") >= 0)
+    keys = coded.select("label_code", "label_text", F.col(id_col).alias("train_id"))
     keyed = keys.withColumn("h", md5_key(f"pool{seed}", "train_id"))
-    return positions_by_hash(keyed, "label_code", "h", "train_id").drop("h")
+    sizes = None if classes is None else {r["label_code"]: r["n"] for r in class_rows(classes)}
+    return positions_by_hash(keyed, "label_code", "h", "train_id", sizes=sizes).drop("h")
 
 
-def with_examples(pool: DataFrame, train: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The pool with the text and label name of each row."""
-    payload = train.select(F.col(id_col).alias("train_id"), F.col("text").alias("example"), "label_text")
-    return pool.join(payload, "train_id")
+def with_examples(pool: DataFrame, texts: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The pool with the text of each row."""
+    return pool.join(texts.select(F.col(id_col).alias("train_id"), F.col("text").alias("example")), "train_id")
 
 
 def draw_positions(

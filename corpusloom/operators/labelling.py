@@ -127,13 +127,14 @@ def build_prompts(
     queries: DataFrame, shots: DataFrame | None, labels: Sequence[str], strategy: Strategy,
     query_id: str = "query_id",
 ) -> DataFrame:
-    """``query_id, prompt`` for queries with ``query_id, text``."""
+    """``query_id, text, prompt`` for queries with ``query_id, text``."""
     if shots is None:
         none = F.lit(None).cast("array<struct<example:string,label_text:string>>")
         asked = queries.withColumn("examples", none)
     else:
         asked = queries.join(fewshot.examples_array(shots, query_id), query_id, "left")
-    return asked.select(query_id, strategy.prompt(F.col("text"), labels, F.col("examples")).alias("prompt"))
+    prompt = strategy.prompt(F.col("text"), labels, F.col("examples"))
+    return asked.select(query_id, "text", prompt.alias("prompt"))
 
 
 def label_once(
@@ -141,7 +142,10 @@ def label_once(
     strategy: Strategy, scorer: ScorerFactory, n: int, attempt: int = 0, n_queries: int | None = None,
     on_short: str = "error",
 ) -> DataFrame:
-    """One round: ``query_id, label_pred, status, attempt``."""
+    """One round: ``query_id, label_pred, status, attempt, text``.
+
+    The text stays only with the rows that have to be asked again.
+    """
     shots = None
     if n > 0:
         shots = fewshot.few_shot_sample(
@@ -151,13 +155,18 @@ def label_once(
     answered = generate(asked, scorer, **strategy.sampling)
     label, status = strategy.parser(F.col("prompt"), F.col("completion"), labels)
     return answered.select(
-        "query_id", label.alias("label_pred"), status.alias("status"), F.lit(attempt).cast("bigint").alias("attempt")
+        "query_id",
+        label.alias("label_pred"),
+        status.alias("status"),
+        F.lit(attempt).cast("bigint").alias("attempt"),
+        F.when(~status, F.col("text")).alias("text"),
     )
 
 
 def label_with_retry(
     queries: DataFrame,
     train: DataFrame,
+    texts: DataFrame,
     classes: DataFrame,
     strategy: Strategy,
     scorer: ScorerFactory,
@@ -166,10 +175,12 @@ def label_with_retry(
     labels: Sequence[str] | None = None,
     id_col: str = "doc_id",
     on_short: str = "error",
+    n_queries: int | None = None,
 ) -> DataFrame:
     """Ask up to ``max_retry`` times, each time only the rows still without a valid label.
 
-    ``queries`` has ``query_id, text``; ``classes`` holds the train counts.  ``labels``
+    ``queries`` has ``query_id, text``, ``train`` has ``id, label_code, label_text`` and
+    ``texts`` the texts by id; ``classes`` holds the train counts.  ``labels``
     are the allowed answers in the order the prompt lists them (code order if not given).  A round is written once before it
     is split, so a scorer that answers differently each time is asked once per row and
     round.  The last answer of a row is the one kept.
@@ -178,25 +189,23 @@ def label_with_retry(
         labels = [r["label_text"] for r in class_rows(classes)]
     pool = None
     if n > 0:
-        ranked = fewshot.shot_pool(train, id_col)
-        pool = write_through(fewshot.with_examples(ranked, train, id_col), "pool")
-    left, n_left = queries.select("query_id", "text"), queries.count()
+        ranked = fewshot.shot_pool(train, id_col, classes=classes)
+        pool = write_through(fewshot.with_examples(ranked, texts, id_col), "pool")
+    left = queries.select("query_id", "text")
     result = None
     for attempt in range(max_retry):
         done = write_through(
-            label_once(left, pool, classes, labels, strategy, scorer, n, attempt, n_left, on_short),
+            label_once(left, pool, classes, labels, strategy, scorer, n, attempt, n_queries, on_short),
             f"answers{attempt}",
         )
         last = attempt + 1 == max_retry
-        kept = done if last else done.filter("status")
+        kept = (done if last else done.filter("status")).drop("text")
         result = kept if result is None else result.unionByName(kept)
-        if last:
-            break
-        open_ids = done.filter(~F.col("status")).select("query_id")
-        n_left = open_ids.count()
-        if n_left == 0:
-            break
-        left = queries.select("query_id", "text").join(open_ids, "query_id", "left_semi")
+        if not last:
+            left = done.filter(~F.col("status")).select("query_id", "text")
+            n_queries = left.count()
+            if n_queries == 0:
+                break
     return result
 
 

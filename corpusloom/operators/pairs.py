@@ -127,7 +127,8 @@ def contrastive_pairs(
     numbered = numbered_pairs(df.sparkSession, sizes, n_pairs)
 
     keyed = df.select("label_code", F.col(id_col).alias("id")).withColumn("h", md5_key(f"pairs{seed}", "id"))
-    ranked = positions_by_hash(keyed, "label_code", "h", "id")
+    known = {r["label_code"]: r["n"] for r in rows}
+    ranked = positions_by_hash(keyed, "label_code", "h", "id", sizes=known)
     start_of = F.create_map(*[
         F.lit(v).cast("bigint") for c, r in enumerate(rows) for v in (r["label_code"], sum(sizes[:c]))
     ])

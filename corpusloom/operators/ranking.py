@@ -75,19 +75,22 @@ def nth_key(keys: DataFrame, rank, fetch_rows: int = FETCH_ROWS) -> RankKey:
 
 
 def positions_by_hash(
-    df: DataFrame, group: str, hash_col: str, id_col: str, position: str = "pos", max_rows: int = TASK_ROWS
+    df: DataFrame, group: str, hash_col: str, id_col: str, position: str = "pos",
+    max_rows: int = TASK_ROWS, sizes: dict | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row within its group, ordered by ``(hash, id)``.
 
-    Pass only the key columns; join anything wide afterwards by id.
+    Pass only the key columns; join anything wide afterwards by id.  ``sizes`` are the
+    rows per group, when they are known already.
     """
-    spark = df.sparkSession
-    sizes = bounded_rows(df.groupBy(group).count())
-    if sizes is not None and all(r["count"] <= max_rows for r in sizes):
+    if sizes is None:
+        counted = bounded_rows(df.groupBy(group).count())
+        sizes = None if counted is None else {r[0]: r["count"] for r in counted}
+    if sizes is not None and all(n <= max_rows for n in sizes.values()):
         order = W.partitionBy(group).orderBy(hash_col, id_col)
         return df.withColumn(position, (F.row_number().over(order) - 1).cast("bigint"))
-    digits = _prefix_digits(spark, df, group, sizes, max_rows)
-    cut = df.join(digits, group).withColumn("_part", F.substr(hash_col, F.lit(1), F.col("_digits"))).drop("_digits")
+    cut = df.join(_prefix_digits(df, group, sizes, max_rows), group)
+    cut = cut.withColumn("_part", F.substr(hash_col, F.lit(1), F.col("_digits"))).drop("_digits")
     counts = cut.groupBy(group, "_part").count()
     before = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(
@@ -102,14 +105,14 @@ def positions_by_hash(
     )
 
 
-def _prefix_digits(spark, df, group, sizes, max_rows) -> DataFrame:
-    """Hex digits by which each group is cut so that a cut holds at most ``max_rows``."""
-    if sizes is not None:
-        rows = [(r[0], max(0, math.ceil(math.log(r["count"] / max_rows, 16)))) for r in sizes]
-        schema = T.StructType([df.schema[group], T.StructField("_digits", T.IntegerType())])
-        return local_table(spark, rows, schema)
-    need = F.ceil(F.log(F.lit(16.0), F.col("count") / F.lit(float(max_rows))))
-    return df.groupBy(group).count().select(group, F.greatest(F.lit(0), need).cast("int").alias("_digits"))
+def _prefix_digits(df: DataFrame, group: str, sizes: dict | None, max_rows: int) -> DataFrame:
+    """Hex digits by which each group is cut so that a cut holds about ``max_rows``."""
+    if sizes is None:
+        need = F.ceil(F.log(16.0, F.col("count") / F.lit(float(max_rows))))
+        return df.groupBy(group).count().select(group, F.greatest(F.lit(0), need).cast("int").alias("_digits"))
+    rows = [(g, max(0, math.ceil(math.log(n / max_rows, 16)))) for g, n in sizes.items()]
+    schema = T.StructType([df.schema[group], T.StructField("_digits", T.IntegerType())])
+    return local_table(df.sparkSession, rows, schema)
 
 
 def positions_by_order(
@@ -117,16 +120,19 @@ def positions_by_order(
 ) -> DataFrame:
     """Add the 0-based position of each row of the table in the order of unique keys.
 
-    One range shuffle, sampled by Spark so that parts are even whatever the keys look
-    like; the sorted parts are written once, because sampling may differ between runs.
+    Pass narrow rows and join anything wide afterwards.  They are written once, so that
+    counting and sampling do not compute them again; then one range shuffle, sampled by
+    Spark so that parts are even whatever the keys look like.  The sorted parts are
+    written too, because a second sampling could cut them elsewhere.
     """
+    df = write_through(df, name)
     parts = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / rows_per_part))
     in_part = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     ordered = write_through(
         df.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
         .withColumns({"_part": F.spark_partition_id(), "_row": in_part}),
-        name,
+        f"{name}-sorted",
     )
     offset, rows = 0, []
     for part, count in sorted(ordered.groupBy("_part").count().collect()):

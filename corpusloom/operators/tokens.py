@@ -59,21 +59,20 @@ def pad_batches(
 ) -> DataFrame:
     """Batches of consecutive rows by id, each padded to its own longest row.
 
-    Adds ``batch, input_ids, attention_mask`` to ``id, tokens``.  A batch never holds
-    more than ``batch_size`` rows, so the window groups stay small.
+    Adds ``batch, input_ids, attention_mask`` to ``id, tokens``.  Batches and widths are
+    found on ``(id, length)`` alone; the tokens move once, when the widths come back.
     """
-    placed = positions_by_order(df.select(id_col, "tokens"), [id_col], name="batches")
-    in_batch = W.partitionBy("batch")
-    sized = (
-        placed.withColumn("batch", F.floor(F.col("pos") / batch_size).cast("bigint"))
-        .withColumn("width", F.max(F.size("tokens")).over(in_batch))
-    )
-    gap = F.col("width") - F.size("tokens")
-    return sized.select(
+    lengths = df.select(id_col, F.size("tokens").alias("_n"))
+    placed = positions_by_order(lengths, [id_col], name="batches")
+    widths = placed.select(
+        id_col, F.floor(F.col("pos") / batch_size).cast("bigint").alias("batch"), "_n"
+    ).withColumn("_width", F.max("_n").over(W.partitionBy("batch")))
+    n, gap = F.size("tokens"), F.col("_width") - F.size("tokens")
+    return df.select(id_col, "tokens").join(widths.drop("_n"), id_col).select(
         id_col,
         "batch",
         F.concat("tokens", F.array_repeat(F.lit(pad), gap)).alias("input_ids"),
-        F.concat(F.array_repeat(F.lit(1), F.size("tokens")), F.array_repeat(F.lit(0), gap)).alias("attention_mask"),
+        F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), gap)).alias("attention_mask"),
     )
 
 

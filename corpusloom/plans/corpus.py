@@ -21,8 +21,8 @@ def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.factorize(rows, C.class_table(rows)).withColumn("label_text", F.col("label"))
 
 
-def split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.train_val_eval(coded(spark, sf_dir))
+def load(spark: SparkSession, sf_dir: str) -> splits.Splits:
+    return splits.load_splits(D.corpus(spark, sf_dir))
 
 
 def corpus_load(spark, sf_dir):
@@ -75,16 +75,16 @@ def split_exact(spark, sf_dir):
 
 
 def split_nested(spark, sf_dir):
-    return splits.train_val_eval(D.corpus(spark, sf_dir)).select("doc_id", "split")
+    return load(spark, sf_dir).rows.select("doc_id", "split")
 
 
 def class_weights(spark, sf_dir):
-    weights = C.class_weights(split(spark, sf_dir).filter(F.col("split") == "train"))
+    weights = C.class_weights(load(spark, sf_dir).part("train"))
     return weights.select("label_code", "n", F.round("weight", 9).alias("weight"))
 
 
 def weighted_rows(spark, sf_dir):
-    train = split(spark, sf_dir).filter(F.col("split") == "train")
+    train = load(spark, sf_dir).part("train")
     weighted = C.with_class_weight(train, C.class_weights(train))
     return weighted.select("doc_id", "label_code", F.round("weight", 9).alias("weight"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +19,31 @@ from corpusloom.plans.sql import big, key, text, with_ctes
 from corpusloom.sources import derived as D
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Train rows, train classes, and the eval rows as queries."""
-    rows = base.split(spark, sf_dir)
-    train = rows.filter(F.col("split") == "train")
-    queries = rows.filter(F.col("split") == "eval").select(F.col("doc_id").alias("query_id"), "text")
-    return train, C.coded_classes(train), queries
+class Inputs(NamedTuple):
+    train: DataFrame  # doc_id, label, label_code, label_text
+    texts: DataFrame  # doc_id, text
+    classes: DataFrame  # counted on the train rows
+    queries: DataFrame  # query_id: the eval rows
+    n_queries: int
+
+    def pool(self) -> DataFrame:
+        return S.shot_pool(self.train, classes=self.classes)
+
+    def draw(self, pool: DataFrame, n: int, attempt: int = 0) -> DataFrame:
+        return S.few_shot_sample(
+            pool, self.classes, self.queries, n, attempt, on_short="all", n_queries=self.n_queries
+        )
+
+
+def _inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+    loaded = base.load(spark, sf_dir)
+    queries = loaded.part("eval").select(F.col("doc_id").alias("query_id"))
+    texts = D.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return Inputs(loaded.part("train"), texts, loaded.train_classes, queries, loaded.sizes["eval"])
+
+
+def _with_text(x: Inputs) -> DataFrame:
+    return x.queries.join(x.texts.withColumnRenamed("doc_id", "query_id"), "query_id")
 
 
 def _prompt_labels(train: DataFrame) -> list[str]:
@@ -32,8 +53,8 @@ def _prompt_labels(train: DataFrame) -> list[str]:
 
 
 def _draw(spark, sf_dir, n, attempt):
-    train, classes, queries = _parts(spark, sf_dir)
-    return S.few_shot_sample(S.shot_pool(train), classes, queries.select("query_id"), n, attempt, on_short="all")
+    x = _inputs(spark, sf_dir)
+    return x.draw(x.pool(), n, attempt).drop("label_text")
 
 
 def few_shot_sample(spark, sf_dir):
@@ -45,10 +66,9 @@ def few_shot_retry(spark, sf_dir):
 
 
 def _asked(spark, sf_dir, n=2):
-    train, classes, queries = _parts(spark, sf_dir)
-    pool = S.with_examples(S.shot_pool(train), train)
-    shots = S.few_shot_sample(pool, classes, queries.select("query_id"), n, on_short="all")
-    return queries.join(S.examples_array(shots), "query_id", "left"), _prompt_labels(train)
+    x = _inputs(spark, sf_dir)
+    shots = x.draw(S.with_examples(x.pool(), x.texts), n)
+    return _with_text(x).join(S.examples_array(shots), "query_id", "left"), _prompt_labels(x.train)
 
 
 def _prompt(builder):
@@ -77,20 +97,23 @@ _INVALID = 30
 
 
 def label_by_scorer(spark, sf_dir):
-    train, classes, queries = _parts(spark, sf_dir)
-    labels = _prompt_labels(train)
-    pool = S.with_examples(S.shot_pool(train), train)
+    x = _inputs(spark, sf_dir)
+    labels = _prompt_labels(x.train)
     scorer = L.echo_scorer(labels, "", _INVALID)
-    answers = L.label_once(queries, pool, classes, labels, L.STRATEGIES["inst"], scorer, 1, on_short="all")
-    return answers.drop("attempt")
+    answers = L.label_once(
+        _with_text(x), S.with_examples(x.pool(), x.texts), x.classes, labels, L.STRATEGIES["inst"], scorer, 1,
+        n_queries=x.n_queries, on_short="all",
+    )
+    return answers.drop("attempt", "text")
 
 
 def label_with_retry(spark, sf_dir):
-    train, classes, queries = _parts(spark, sf_dir)
-    labels = _prompt_labels(train)
+    x = _inputs(spark, sf_dir)
+    labels = _prompt_labels(x.train)
     scorer = L.echo_scorer(labels, "\n###", _INVALID, opening="\nCategory: ")
     answers = L.label_with_retry(
-        queries, train, classes, L.STRATEGIES["inquiry"], scorer, n=2, max_retry=3, labels=labels, on_short="all"
+        _with_text(x), x.train, x.texts, x.classes, L.STRATEGIES["inquiry"], scorer,
+        n=2, max_retry=3, labels=labels, on_short="all", n_queries=x.n_queries,
     )
     return answers.select("query_id", F.md5("label_pred").alias("label_md5"), "status", "attempt")
 
