@@ -122,7 +122,7 @@ def whole_word_mask(
     actions = let(
         F.transform("tokens", lambda t, i: rank_of(i)),
         lambda keys: let(
-            F.try_element_at(F.array_sort(keys), F.col("_wanted")),
+            F.get(F.array_sort(keys), F.col("_wanted") - 1),
             lambda bound: F.transform(keys, lambda k, i: F.when(k <= bound, action(i))),
         ),
     )
