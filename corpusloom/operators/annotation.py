@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import templates
 from corpusloom.functions.text import meta_field, norm_quotes, select_single_label
 from corpusloom.operators import metrics
-from corpusloom.functions import templates
 from corpusloom.sources.annotations import Annotations
 
 
@@ -32,26 +32,33 @@ def project_labels(projects: DataFrame, label_types: DataFrame) -> DataFrame:
 
 
 def label_examples(labels: DataFrame, label_types: DataFrame) -> DataFrame:
-    """``project, label_id, label, example_id``, each example once per label."""
-    marks = labels.select("example_id", "label_id").distinct()
-    return marks.join(label_types, "label_id")
+    """``example_id, marks``: the labels of each example, each label once.
+
+    Repeated marks fall together before the shuffle, and the result is laid out by
+    example for the join that follows.
+    """
+    mark = F.struct("project", "label_id", "label")
+    return labels.join(label_types, "label_id").groupBy("example_id").agg(F.collect_set(mark).alias("marks"))
+
+
+def labelled_examples(examples: DataFrame, marks: DataFrame) -> DataFrame:
+    """``pdf_file, project, label_id, label``: each example once per label."""
+    files = examples.select(
+        F.col("id").alias("example_id"), meta_field(F.col("meta"), "pdf_file").alias("pdf_file")
+    )
+    return marks.join(files, "example_id").select("pdf_file", F.inline("marks"))
 
 
 def labels_by_pdf(db: Annotations, projects: Sequence[str]) -> DataFrame:
     """``project, pdf_file, labels``: distinct labels joined by commas in label-type order.
 
-    Marks and examples meet on the example id, which is spread evenly however common a
-    label is; label types are a small table and never decide the partitioning.
+    Label types are a small table and never decide the partitioning, so a label that
+    marks most examples is no hot key.
     """
     types = project_labels(project_by_name(db.projects, projects), db.label_types)
-    marks = label_examples(db.labels, types)
-    files = db.examples.select(
-        F.col("id").alias("example_id"), meta_field(F.col("meta"), "pdf_file").alias("pdf_file")
-    )
-    sets = (
-        marks.join(files, "example_id")
-        .groupBy("project", "pdf_file")
-        .agg(F.array_sort(F.collect_set(F.struct("label_id", "label"))).alias("s"))
+    marked = labelled_examples(db.examples, label_examples(db.labels, types))
+    sets = marked.groupBy("project", "pdf_file").agg(
+        F.array_sort(F.collect_set(F.struct("label_id", "label"))).alias("s")
     )
     names = F.array_distinct(F.transform("s", lambda x: x["label"]))
     return sets.select("project", "pdf_file", F.array_join(names, ",").alias("labels"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -140,11 +141,12 @@ def build_prompts(
 def label_once(
     queries: DataFrame, pool: DataFrame | None, classes: DataFrame, labels: Sequence[str],
     strategy: Strategy, scorer: ScorerFactory, n: int, attempt: int = 0, n_queries: int | None = None,
-    on_short: str = "error",
+    on_short: str = "error", rows_per_task: int | None = None,
 ) -> DataFrame:
     """One round: ``query_id, label_pred, status, attempt, text``.
 
-    The text stays only with the rows that have to be asked again.
+    The text stays only with the rows that have to be asked again.  Spark sizes tasks
+    by bytes; for a slow scorer ``rows_per_task`` bounds the prompts of one task.
     """
     shots = None
     if n > 0:
@@ -152,6 +154,9 @@ def label_once(
             pool, classes, queries.select("query_id"), n, attempt, on_short, n_queries=n_queries
         )
     asked = build_prompts(queries, shots, labels, strategy)
+    if rows_per_task is not None:
+        n_queries = queries.count() if n_queries is None else n_queries
+        asked = asked.repartition(max(1, math.ceil(n_queries / rows_per_task)), "query_id")
     answered = generate(asked, scorer, **strategy.sampling)
     label, status = strategy.parser(F.col("prompt"), F.col("completion"), labels)
     return answered.select(
@@ -176,6 +181,7 @@ def label_with_retry(
     id_col: str = "doc_id",
     on_short: str = "error",
     n_queries: int | None = None,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Ask up to ``max_retry`` times, each time only the rows still without a valid label.
 
@@ -195,7 +201,7 @@ def label_with_retry(
     result = None
     for attempt in range(max_retry):
         done = write_through(
-            label_once(left, pool, classes, labels, strategy, scorer, n, attempt, n_queries, on_short),
+            label_once(left, pool, classes, labels, strategy, scorer, n, attempt, n_queries, on_short, rows_per_task),
             f"answers{attempt}",
         )
         last = attempt + 1 == max_retry

@@ -38,9 +38,9 @@ def confusion(
         df = df.filter(F.col(true).isin(list(labels)) & F.col(pred).isin(list(labels)))
     counts = confusion_counts(df, true, pred)
     if labels is None:
-        axis = counts.select(F.explode(F.array("label_true", "label_pred")).alias("l")).agg(
-            F.collect_set("l").alias("axis")
-        )
+        # asking for n keeps this the same aggregate as the one joined below, computed once
+        seen = counts.filter(F.col("n") > 0).select(F.explode(F.array("label_true", "label_pred")).alias("l"))
+        axis = seen.agg(F.collect_set("l").alias("axis"))
         axis = axis.withColumn(
             "axis",
             F.when(F.size("axis") <= MAX_LOCAL_ROWS, F.col("axis")).otherwise(

@@ -133,18 +133,31 @@ def contrastive_pairs(
         F.lit(v).cast("bigint") for c, r in enumerate(rows) for v in (r["label_code"], sum(sizes[:c]))
     ])
     placed = ranked.select((start_of[F.col("label_code")] + F.col("pos")).alias("g"), "id")
-    left = placed.select(F.col("g").alias("g_left"), F.col("id").alias("id_left"))
-    right = placed.select(F.col("g").alias("g_right"), F.col("id").alias("id_right"))
-    return numbered.join(left, "g_left").join(right, "g_right").select("pair", "target", "id_left", "id_right")
+    ends = F.array(
+        F.struct(F.lit(0).alias("side"), F.col("g_left").alias("g")), F.struct(F.lit(1).alias("side"), F.col("g_right").alias("g"))
+    )
+    # both ends meet the ranked rows in one join, so the ranking is computed once
+    found = numbered.select("pair", "target", F.inline(ends)).join(placed, "g")
+    return found.groupBy("pair", "target").agg(
+        F.max(F.when(F.col("side") == 0, F.col("id"))).alias("id_left"),
+        F.max(F.when(F.col("side") == 1, F.col("id"))).alias("id_right"),
+    )
 
 
 def embedding_loss(
     pairs: DataFrame, embeddings: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
     """Mean of ``(cos(u, v) - target)^2``; pairs with a zero vector are counted apart."""
-    u = embeddings.select(F.col(id_col).alias("id_left"), F.col(vector).alias("u"))
-    v = embeddings.select(F.col(id_col).alias("id_right"), F.col(vector).alias("v"))
-    scored = pairs.join(u, "id_left").join(v, "id_right").withColumn("cos", V.cosine(F.col("u"), F.col("v")))
+    vectors = embeddings.select(F.col(id_col).alias("id"), F.col(vector).alias("vector"))
+    ends = F.array(
+        F.struct(F.lit(0).alias("side"), F.col("id_left").alias("id")), F.struct(F.lit(1).alias("side"), F.col("id_right").alias("id"))
+    )
+    # one scan of the vectors serves both ends
+    both = pairs.select("pair", "target", F.inline(ends)).join(vectors, "id").groupBy("pair", "target").agg(
+        F.first(F.when(F.col("side") == 0, F.col("vector")), ignorenulls=True).alias("u"),
+        F.first(F.when(F.col("side") == 1, F.col("vector")), ignorenulls=True).alias("v"),
+    )
+    scored = both.select("target", V.cosine(F.col("u"), F.col("v")).alias("cos"))
     return scored.agg(
         F.avg(F.pow(F.col("cos") - F.col("target"), F.lit(2.0))).alias("embedding_loss"),
         F.count("cos").alias("n_pairs"),

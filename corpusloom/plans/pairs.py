@@ -12,8 +12,8 @@ from corpusloom.sources import derived as D
 
 
 def contrastive_pairs(spark, sf_dir):
-    coded = base.coded(spark, sf_dir).select("doc_id", "label_code", "label_text")
-    pairs = P.contrastive_pairs(coded, C.coded_classes(coded))
+    loaded = base.load(spark, sf_dir)
+    pairs = P.contrastive_pairs(loaded.part("train"), loaded.train_classes)
     return pairs.withColumn("target", F.col("target").cast("bigint"))
 
 
@@ -56,12 +56,11 @@ def _pairs(source: str, id_col: str, batch: int = 16) -> dict[str, str]:
 
 
 _VECTORS = "select vec_id, cast(label as bigint) as label_code from embeddings"
-_DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1] * z[2]))"
 _U, _V = "cast(u.embedding as double[])", "cast(v.embedding as double[])"
 
 ORACLES = {
     "contrastive_pairs": with_ctes(
-        "coded", "select pair, target, id_left, id_right from picked", **_pairs("coded", "doc_id")
+        "train", "select pair, target, id_left, id_right from picked", **_pairs("train", "doc_id")
     ),
     "embedding_loss": with_ctes(
         "",

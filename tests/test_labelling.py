@@ -82,6 +82,12 @@ def test_no_examples(queries, train):
     assert got.filter("status").count() == 30
 
 
+def test_a_slow_scorer_gets_small_tasks(queries, train, tmp_path):
+    scorer = logging_scorer(str(tmp_path), lambda p: "yes")
+    assert run(queries, train, "inst", scorer, n=1, rows_per_task=5).filter("status").count() == 30
+    assert len(os.listdir(tmp_path)) > 1 and set(requests(str(tmp_path)).values()) == {1}
+
+
 def test_category_strategy(queries, train):
     scorer = L.template_scorer("\nCategory: no\n")
     assert {r.label_pred for r in run(queries, train, "inquiry", scorer, n=1).collect()} == {"no"}
