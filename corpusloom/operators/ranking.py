@@ -38,7 +38,9 @@ class RankKey(NamedTuple):
         """True for the rows at or before this rank."""
         if self.hash is None:
             return F.lit(False)
-        return (hash_col < self.hash) | ((hash_col == self.hash) & (id_col <= F.lit(self.id)))
+        # one comparison of structs, so that the hash is computed once per row
+        key = F.struct(F.lit(self.hash).alias("h"), F.lit(self.id).alias("id"))
+        return F.struct(hash_col.alias("h"), id_col.alias("id")) <= key
 
 
 def nth_key(keys: DataFrame, rank, fetch_rows: int = FETCH_ROWS) -> RankKey:

@@ -37,20 +37,24 @@ def train_val_eval(
     df: DataFrame, id_col: str = "doc_id", fraction: float = 0.2, seed: int = 42, val: bool = True
 ) -> DataFrame:
     """Add ``split`` in train, val, eval; the val rows are split off the train rows."""
-    return _split_with_sizes(df, id_col, fraction, seed, val)[0]
+    which, _ = split_column(df.select(id_col), id_col, fraction, seed, val)
+    return df.withColumn("split", which)
 
 
-def _split_with_sizes(df, id_col, fraction, seed, val) -> tuple[DataFrame, dict[str, int]]:
-    outer = held_out_key(df, id_col, fraction, f"split{seed}")
+def split_column(
+    ids: DataFrame, id_col: str, fraction: float = 0.2, seed: int = 42, val: bool = True
+) -> tuple[Column, dict[str, int]]:
+    """The split as a Column over the id, and the rows per split; reads only ``ids``."""
+    outer = held_out_key(ids, id_col, fraction, f"split{seed}")
     held_out = _reached(outer, f"split{seed}", id_col)
     sizes = {"eval": math.ceil(fraction * outer.rows)}
     which = F.when(held_out, "eval")
     if val:
-        inner = held_out_key(df.filter(~held_out), id_col, fraction, f"val{seed}")
+        inner = held_out_key(ids.filter(~held_out), id_col, fraction, f"val{seed}")
         which = which.when(_reached(inner, f"val{seed}", id_col), "val")
         sizes["val"] = math.ceil(fraction * inner.rows)
     sizes["train"] = outer.rows - sum(sizes.values())
-    return df.withColumn("split", which.otherwise("train")), sizes
+    return which.otherwise("train"), sizes
 
 
 class Splits(NamedTuple):
@@ -76,5 +80,6 @@ def load_splits(
     keys = write_through(corpus.select(id_col, "label"), "labels")
     classes = C.class_table(keys, order=id_col)
     coded = C.factorize(keys, classes).withColumn("label_text", F.col("label"))
-    rows, sizes = _split_with_sizes(coded, id_col, fraction, seed, val)
+    which, sizes = split_column(keys.select(id_col), id_col, fraction, seed, val)
+    rows = write_through(coded.withColumn("split", which), "splits")
     return Splits(rows, sizes, classes, C.coded_classes(rows.filter(F.col("split") == "train")))

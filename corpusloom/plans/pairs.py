@@ -44,10 +44,10 @@ def _pairs(source: str, id_col: str, batch: int = 16) -> dict[str, str]:
         "numbers": f"""select unnest(range(least({cap}, 2 * greatest(pt, qt))::bigint)) as pair, pt, qt from totals""",
         "spots": f"""select pair, pair % 2 as side, pt, qt,
             ((pair // 2) % pt * ({prime} % pt)) % pt as pi, ((pair // 2) % qt * ({prime} % qt)) % qt as qi from numbers""",
-        "pos": """select pair, 1 as target, b + l - j * (j + 1) // 2 as gl, b + j as gr from (
+        "pos": """select pair, cast(1 as bigint) as target, b + l - j * (j + 1) // 2 as gl, b + j as gr from (
             select pair, s.b, pi - s.p_lo as l, floor((sqrt(8 * cast(pi - s.p_lo as double) + 1) - 1) / 2)::hugeint as j
             from spots join slots s on pi >= s.p_lo and pi < s.p_lo + s.p_n where side = 0)""",
-        "neg": """select pair, 0 as target, (qi - s.q_lo) % s.b as gl, s.b + (qi - s.q_lo) // s.b as gr
+        "neg": """select pair, cast(0 as bigint) as target, (qi - s.q_lo) % s.b as gl, s.b + (qi - s.q_lo) // s.b as gr
             from spots join slots s on qi >= s.q_lo and qi < s.q_lo + s.q_n where side = 1""",
         "picked": """select pair, target, a.id as id_left, c.id as id_right
             from (select * from pos union all select * from neg) p

@@ -144,10 +144,10 @@ ORACLES = {
         f" from (select vec_id, s, sqrt(list_dot_product(s, s)) as norm"
         f" from (select vec_id, list_transform({_V}, lambda x: x * (label + 1)) as s from embeddings))",
     "argmax_predict":
-        "select vec_id, list_position(embedding, list_max(embedding)) - 1 as pred_code from embeddings",
+        "select vec_id, cast(list_position(embedding, list_max(embedding)) - 1 as bigint) as pred_code from embeddings",
     "softmax_probs":
         "select vec_id, round(list_max(e) / t, 9) as pred_prob, round(e[1] / t, 9) as first_prob,"
-        " list_position(e, list_max(e)) - 1 as pred_code"
+        " cast(list_position(e, list_max(e)) - 1 as bigint) as pred_code"
         f" from (select vec_id, e, list_sum(e) as t from (select vec_id, {_EXP} as e from embeddings))",
     "weighted_ce":
         f"select round(sum(w * ({_LSE} - {_V}[label + 1])) / sum(w), 6) as weighted_ce, count(*) as n"
@@ -164,9 +164,9 @@ ORACLES = {
         "",
         "select vec_id, label, label_pred, round(score, 6) as score from scored"
         " qualify row_number() over (partition by vec_id order by score desc, label_pred) = 1",
-        dims=f"select vec_id, label, unnest({_V}) as x, unnest(range(1, len(embedding) + 1)) as i from embeddings",
+        dims=f"select vec_id, cast(label as bigint) as label, unnest({_V}) as x, unnest(range(1, len(embedding) + 1)) as i from embeddings",
         centroids="select label as label_pred, list(m order by i) as c from"
                   " (select label, i, avg(x) as m from dims group by label, i) group by label",
-        scored=f"select vec_id, label, label_pred, list_dot_product({_V}, c) as score from embeddings, centroids",
+        scored=f"select vec_id, cast(label as bigint) as label, label_pred, list_dot_product({_V}, c) as score from embeddings, centroids",
     ),
 }
