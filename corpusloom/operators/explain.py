@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as V
+from corpusloom.operators import head
 
 N_STEPS = 500
 BATCH = 40
@@ -84,3 +85,11 @@ def integrated_gradients(
             "attr_score": V.attribution_score(F.col("attributions")),
         })
     )
+
+
+def attribute_errors(
+    df: DataFrame, model: LogisticRegressionModel, target: int, label: str = "label_code", **options
+) -> DataFrame:
+    """Attribution records of the rows the head gets wrong."""
+    wrong = head.predict(model, df).filter(F.col("pred_code") != F.col(label)).select(*df.columns)
+    return integrated_gradients(wrong, model, target, **options)

@@ -23,7 +23,8 @@ from corpusloom.session import bounded_rows, local_table
 #: Makes, once per Python worker, a function from a batch of texts to vectors.
 EncoderFactory = Callable[[], Callable[[pd.Series], Sequence]]
 
-METRICS = ("f1_macro", "balanced_accuracy", "accuracy")
+#: Metric names of the configs and the columns that hold them.
+METRICS = {"f1_macro": "f1_score_macro", "balanced_accuracy": "balanced_accuracy", "accuracy": "accuracy"}
 
 
 def encode(df: DataFrame, encoder: EncoderFactory, text: str = "text", out: str = "embedding") -> DataFrame:
@@ -82,21 +83,29 @@ def evaluate_head(model: LogisticRegressionModel, df: DataFrame) -> DataFrame:
     return metrics.classification_metrics(predict(model, df), "label_code", "pred_code")
 
 
-def metric_column(name: str) -> str:
+def named_metric(name: str) -> Callable[[DataFrame], DataFrame]:
+    """The metric of a config as a function; an error for an unknown name."""
     if name not in METRICS:
         raise ValueError("no valid metric specified")
-    return {"f1_macro": "f1_score_macro"}.get(name, name)
+
+    def score(runs: DataFrame) -> DataFrame:
+        values = metrics.metrics_by(runs, "trial", "label_code", "pred_code")
+        return values.select("trial", F.col(METRICS[name]).alias("value"))
+
+    return score
 
 
 def search_head(
-    train: DataFrame, val: DataFrame, grid: Sequence[Mapping[str, Any]], metric: str = "f1_macro"
+    train: DataFrame, val: DataFrame, grid: Sequence[Mapping[str, Any]],
+    metric: str | Callable[[DataFrame], DataFrame] = "f1_macro",
 ) -> DataFrame:
     """``trial, state, value, reg, max_iter``: every grid point fitted on train, scored on val.
 
     The fits run on cached features; all models then score val in one scan and one
-    aggregation.  The value of a trial is that of its final model.
+    aggregation.  The value of a trial is that of its final model.  ``metric`` is a name,
+    or a function from ``trial, label_code, pred_code`` rows to ``trial, value``.
     """
-    column = metric_column(metric)
+    score = metric if callable(metric) else named_metric(metric)
     train = train.select("features", "label_code", "weight").filter(F.col("label_code") >= 0).persist()
     try:
         base = head()
@@ -113,14 +122,14 @@ def search_head(
         scored = model.transform(scored)
         names.append(F.struct(F.lit(g["trial"]).cast("bigint").alias("trial"), F.col(name).cast("bigint").alias("pred_code")))
     runs = scored.select("label_code", F.inline(F.array(*names)))
-    values = metrics.metrics_by(runs, "trial", "label_code", "pred_code")
+    values = score(runs)
     points = local_table(
         train.sparkSession,
         [(int(g["trial"]), float(g["reg"]), int(g["max_iter"])) for g in grid],
         "trial bigint, reg double, max_iter int",
     )
     return values.join(points, "trial").select(
-        "trial", F.lit("COMPLETE").alias("state"), F.col(column).alias("value"), "reg", "max_iter"
+        "trial", F.lit("COMPLETE").alias("state"), "value", "reg", "max_iter"
     )
 
 

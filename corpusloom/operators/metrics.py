@@ -117,6 +117,16 @@ def eval_few_shots(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return metrics_from_classes(per_class(counts, by, F.col("status")), by)
 
 
+def metrics_table(df: DataFrame, by: Sequence[str] = ("model", "project")) -> DataFrame:
+    """One report line per model and project: counts and metrics of the valid rows."""
+    return eval_few_shots(df, by)
+
+
+def first_rows(df: DataFrame, order: str = "doc_id", k: int = 5) -> DataFrame:
+    """The first rows by id, for inspection; each task keeps only ``k`` rows."""
+    return df.orderBy(order).limit(k)
+
+
 def best_run(metrics: DataFrame, key: str = "n_samples", metric: str = "f1_score_macro") -> DataFrame:
     """The run with the largest metric; the smallest key on ties."""
     best = F.max_by(F.struct(key, metric), F.struct(F.col(metric), -F.col(key)))

@@ -40,6 +40,14 @@ def metrics_by_run(spark, sf_dir):
     return _rounded(M.metrics_by(D.run_predictions(spark, sf_dir).filter("status"), "n_samples"))
 
 
+def metrics_table(spark, sf_dir):
+    """A report per model and project: the runs as models, the languages as projects."""
+    project = D.table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("project"))
+    model = F.concat(F.lit("shots-"), F.col("n_samples"))
+    runs = D.run_predictions(spark, sf_dir).join(project, "doc_id").withColumn("model", model)
+    return _rounded(M.metrics_table(runs))
+
+
 def best_run(spark, sf_dir):
     runs = M.metrics_by(D.run_predictions(spark, sf_dir).filter("status"), "n_samples")
     return _rounded(M.best_run(runs), ("f1_score_macro",))
@@ -115,7 +123,7 @@ def parse_last_message(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        confusion_matrix, classification_metrics, few_shot_metrics, metrics_by_run, best_run, pending_runs,
+        confusion_matrix, classification_metrics, few_shot_metrics, metrics_by_run, metrics_table, best_run, pending_runs,
         misclassified, validate_labels, annotation_labels, annotator_pairs, label_filter, agreement_matrix,
         cohen_kappa, parse_suffix, parse_category, parse_last_message,
     )
@@ -159,6 +167,16 @@ ORACLES = {
         "run_predictions", f"select n_samples, {_METRICS} from per_class group by n_samples",
         valid="select * from run_predictions where status", **_per_class("valid", "n_samples,"),
     ),
+    "metrics_table": with_ctes(
+        "run_predictions",
+        f"select m.model, m.project, c.n_valid, c.n_invalid, m.balanced_accuracy, m.f1_score_macro, m.accuracy"
+        f" from (select model, project, {_METRICS} from per_class group by model, project) m"
+        " join (select model, project, count(*) filter (status) as n_valid, count(*) filter (not status) as n_invalid"
+        " from runs group by model, project) c on c.model = m.model and c.project = m.project",
+        runs="select r.*, concat('shots-', r.n_samples) as model, d.lang as project"
+             " from run_predictions r join documents d on d.doc_id = r.doc_id",
+        valid="select * from runs where status", **_per_class("valid", "model, project,"),
+    ),
     "best_run": with_ctes(
         "run_predictions",
         f"select n_samples, f1_score_macro from (select n_samples, {_METRICS} from per_class group by n_samples)"

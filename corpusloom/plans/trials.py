@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import trials as T
 from corpusloom.plans.sql import key, unit, with_ctes
+from corpusloom.session import write_through
 from corpusloom.sources import derived as D
 
 # A search space as the configs write it.
@@ -44,7 +45,7 @@ def trial_budget(spark, sf_dir):
 
 
 def prune_flags(spark, sf_dir):
-    flags = T.prune_flags(D.trial_log(spark, sf_dir))
+    flags = T.prune_flags(write_through(D.trial_log(spark, sf_dir), "trials"))
     return flags.select("trial", "step", "best_value", F.round("median", 6).alias("median"), "prune")
 
 
@@ -53,7 +54,7 @@ def epoch_loss(spark, sf_dir):
 
 
 def best_checkpoint(spark, sf_dir):
-    best = T.best_checkpoint(D.trial_log(spark, sf_dir), direction="minimize")
+    best = T.best_checkpoint(write_through(D.trial_log(spark, sf_dir), "trials"), direction="minimize")
     return best.select("trial", "step", "best_value", "best_step", "is_best")
 
 

@@ -122,6 +122,12 @@ def integrated_gradients(spark, sf_dir):
     )
 
 
+def error_attributions(spark, sf_dir):
+    model, held_out = _fitted(spark, sf_dir, max_iter=25)
+    records = E.attribute_errors(held_out, model, target=1)
+    return records.select("vec_id", "label_code", "pred_class", F.round("attr_score", 6).alias("attr_score"), "delta")
+
+
 def project_2d(spark, sf_dir):
     return H.project_2d(_vectors(spark, sf_dir)).select("vec_id", "label", "x", "y")
 
@@ -130,7 +136,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         l2_normalize, argmax_predict, softmax_probs, weighted_ce, weighted_bce, attribution_summary,
-        centroid_predict, head_fit_predict, head_evaluate, head_search, integrated_gradients, project_2d,
+        centroid_predict, head_fit_predict, head_evaluate, head_search, integrated_gradients,
+        error_attributions, project_2d,
     )
 }
 

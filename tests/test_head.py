@@ -59,6 +59,8 @@ def test_search_and_refit(parts):
     refit, best = H.refit_best(train, results)
     assert best["trial"] == 1 and best["max_iter"] == 20
     assert H.evaluate_head(refit, held_out).first().f1_score_macro > 0.8
+    own = H.search_head(train, val, grid, metric=lambda runs: runs.groupBy("trial").agg(F.avg("pred_code").alias("value")))
+    assert {r.trial for r in own.collect()} == {0, 1}
     with pytest.raises(ValueError, match="no valid metric"):
         H.search_head(train, val, grid, metric="loss")
 
@@ -77,6 +79,13 @@ def test_attributions_are_complete(vectors, model):
     assert len(records) == 240 and records[0].attr_class == 1
 
 
+def test_errors_only(vectors, parts):
+    weak = H.fit_head(parts[0], max_iter=0)
+    errors = H.predict(weak, parts[2]).filter("pred_code <> label_code").count()
+    records = E.attribute_errors(parts[2], weak, target=1).collect()
+    assert errors == len(records) > 0 and all(r.pred_class != r.label_code for r in records)
+
+
 def test_attributions_match_a_plain_path_integral(vectors, model):
     weights, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     row = E.integrated_gradients(vectors.limit(1), model, target=2, n_steps=50).first()

@@ -64,6 +64,18 @@ def test_metrics_per_run(make):
     assert got == {1: 1.0, 2: 0.5}
 
 
+def test_report_per_model_and_project(make):
+    rows = [("m", "p", "a", "a", True), ("m", "q", "a", "b", True), ("m", "q", "a", "?", False)]
+    got = M.metrics_table(make(rows, "model string, project string, " + PAIR + ", status boolean"))
+    assert {(r.model, r.project): (r.n_valid, r.n_invalid, r.accuracy) for r in got.collect()} == {
+        ("m", "p"): (1, 0, 1.0), ("m", "q"): (1, 1, 0.0),
+    }
+
+
+def test_first_rows(spark):
+    assert [r.doc_id for r in M.first_rows(spark.range(99, -1, -1).withColumnRenamed("id", "doc_id")).collect()] == [0, 1, 2, 3, 4]
+
+
 def test_best_run_takes_the_first_on_ties(make):
     df = make([(3, 0.7), (1, 0.5), (2, 0.7)], "n_samples bigint, f1_score_macro double")
     assert tuple(M.best_run(df).first()) == (2, 0.7)
