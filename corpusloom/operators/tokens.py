@@ -162,13 +162,16 @@ def whole_word_mask(
             F.map_from_entries(F.collect_list(F.when(F.col("at") >= 0, F.struct("at", "token")))).alias("_words"),
         )
     )
+    def act_at(i: Column) -> Column:
+        return F.get(F.col("_act"), i)
+
     filled = F.transform(
-        F.arrays_zip("tokens", "_act"),
-        lambda x, i: F.when(x["_act"] == "mask", F.lit(mask))
-        .when(x["_act"] == "random", F.col("_words")[i])
-        .otherwise(x["tokens"]),
+        "tokens",
+        lambda t, i: F.when(act_at(i).isNull() | (act_at(i) == "keep"), t)
+        .when(act_at(i) == "mask", F.lit(mask))
+        .otherwise(F.col("_words")[i]),
     )
-    labels = F.transform(F.arrays_zip("tokens", "_act"), lambda x: F.when(x["_act"].isNotNull(), x["tokens"]))
+    labels = F.transform("tokens", lambda t, i: F.when(act_at(i).isNotNull(), t))
     return found.select(
         id_col, "tokens", filled.alias("input_tokens"), labels.alias("labels"), F.col("_act").alias("action")
     )
