@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import hash_bigint, md5_key
@@ -33,15 +33,10 @@ def shot_pool(
     coded = train.filter(F.col("label_code") >= 0)
     keys = coded.select("label_code", "label_text", F.col(id_col).alias("train_id"))
     keyed = keys.withColumn("h", md5_key(f"pool{seed}", "train_id"))
-    sizes = None if classes is None else {r["label_code"]: r["n"] for r in class_rows(classes)}
+    sizes = None if classes is None else _sizes(classes)
     return positions_by_hash(keyed, "label_code", "h", "train_id", sizes=sizes).drop("h")
 
 
-def with_examples(pool: DataFrame, texts: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The pool with the text of each row."""
-    return pool.join(texts.select(F.col(id_col).alias("train_id"), F.col("text").alias("example")), "train_id")
-
-
 def draw_positions(
     queries: DataFrame, sizes: dict[int, int], n: int, attempt: int = 0, query_id: str = "query_id"
 ) -> DataFrame:
@@ -65,6 +60,30 @@ def draw_positions(
     )
 
 
+def _sizes(classes: DataFrame) -> dict[int, int]:
+    return {r["label_code"]: r["n"] for r in class_rows(classes)}
+
+
+def _salts(sizes: dict[int, int], n: int, n_queries: int) -> dict[int, int]:
+    """Copies per row that keep each copy below ``HITS_PER_ROW`` draws, for the hot classes."""
+    copies = {c: math.ceil(n_queries * n / size / HITS_PER_ROW) for c, size in sizes.items()}
+    return {c: k for c, k in copies.items() if k > 1}
+
+
+def _by_class(values: dict[int, int], other: int | None = None) -> Column:
+    """The value of a row's class."""
+    found = F.create_map(*[F.lit(v).cast("bigint") for item in values.items() for v in item])[F.col("label_code")]
+    return found if other is None else F.coalesce(found, F.lit(other).cast("bigint"))
+
+
+def _salted(draws: DataFrame, salts: dict[int, int], query_id: str) -> DataFrame:
+    return draws.withColumn("salt", hash_bigint(md5_key("salt", query_id, "k")) % _by_class(salts, 1))
+
+
+def _copied(rows: DataFrame, salts: dict[int, int]) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), _by_class(salts, 1) - 1)))
+
+
 def few_shot_sample(
     pool: DataFrame,
     classes: DataFrame,
@@ -75,14 +94,13 @@ def few_shot_sample(
     query_id: str = "query_id",
     n_queries: int | None = None,
 ) -> DataFrame:
-    """Join every query with ``n`` pool rows of every class.
+    """``query_id, label_code, k, train_id, label_text``: ``n`` pool rows of every class.
 
     ``classes`` holds the train counts.  A class with fewer than ``n`` rows is an error,
-    or with ``on_short="all"`` gives all its rows.  Rows of a small class answer many
-    queries; they are copied under as many salts as keep each copy below
-    ``HITS_PER_ROW`` draws.
+    or with ``on_short="all"`` gives all its rows.  Rows of a rare class answer many
+    queries; they are copied under salts, so that no key is hot.
     """
-    sizes = {r["label_code"]: r["n"] for r in class_rows(classes)}
+    sizes = _sizes(classes)
     if n <= 0:
         raise ValueError("draw at least one row per class; with no examples skip the draw")
     short = [c for c, size in sizes.items() if size < n]
@@ -90,19 +108,31 @@ def few_shot_sample(
         raise ValueError(f"class {short[0]} has fewer than {n} rows")
     draws = draw_positions(queries, sizes, n, attempt, query_id)
     if short:
-        size_of = F.create_map(*[F.lit(v).cast("bigint") for item in sizes.items() for v in item])
-        draws = draws.filter(F.col("k") < size_of[F.col("label_code")])
-    if n_queries is None:
-        n_queries = queries.count()
-    salts = {c: max(1, math.ceil(n_queries * n / size / HITS_PER_ROW)) for c, size in sizes.items()}
-    if max(salts.values(), default=1) == 1:
+        draws = draws.filter(F.col("k") < _by_class(sizes))
+    salts = _salts(sizes, n, queries.count() if n_queries is None else n_queries)
+    if not salts:
         return draws.join(pool, ["label_code", "pos"]).drop("pos")
-    salt_of = F.create_map(*[F.lit(v).cast("bigint") for item in salts.items() for v in item])
-    copies = pool.withColumn(
-        "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salt_of[F.col("label_code")] - 1))
-    )
-    salted = draws.withColumn("salt", hash_bigint(md5_key("salt", query_id)) % salt_of[F.col("label_code")])
-    return salted.join(copies, ["label_code", "pos", "salt"]).drop("pos", "salt")
+    keys = ["label_code", "pos", "salt"]
+    return _salted(draws, salts, query_id).join(_copied(pool, salts), keys).drop("pos", "salt")
+
+
+def with_examples(
+    shots: DataFrame, texts: DataFrame, pool: DataFrame, classes: DataFrame, n: int, n_queries: int,
+    id_col: str = "doc_id", query_id: str = "query_id",
+) -> DataFrame:
+    """The drawn rows with their texts, as ``example``.
+
+    Draws are narrow, so each text moves once, by its id.  The texts of rare classes,
+    which many draws ask for, are few; they alone are copied under salts.
+    """
+    payload = texts.select(F.col(id_col).alias("train_id"), F.col("text").alias("example"))
+    salts = _salts(_sizes(classes), n, n_queries)
+    if not salts:
+        return shots.join(payload, "train_id")
+    is_hot = F.col("label_code").isin(list(salts))
+    copies = _copied(pool.filter(is_hot).select("label_code", "train_id").join(payload, "train_id"), salts)
+    hot = _salted(shots.filter(is_hot), salts, query_id).join(copies.drop("label_code"), ["train_id", "salt"])
+    return shots.filter(~is_hot).join(payload, "train_id").unionByName(hot.drop("salt"))
 
 
 def examples_array(shots: DataFrame, query_id: str = "query_id") -> DataFrame:

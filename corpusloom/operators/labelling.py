@@ -139,23 +139,25 @@ def build_prompts(
 
 
 def label_once(
-    queries: DataFrame, pool: DataFrame | None, classes: DataFrame, labels: Sequence[str],
+    queries: DataFrame, pool: DataFrame | None, texts: DataFrame, classes: DataFrame, labels: Sequence[str],
     strategy: Strategy, scorer: ScorerFactory, n: int, attempt: int = 0, n_queries: int | None = None,
-    on_short: str = "error", rows_per_task: int | None = None,
+    id_col: str = "doc_id", on_short: str = "error", rows_per_task: int | None = None,
 ) -> DataFrame:
     """One round: ``query_id, label_pred, status, attempt, text``.
 
     The text stays only with the rows that have to be asked again.  Spark sizes tasks
     by bytes; for a slow scorer ``rows_per_task`` bounds the prompts of one task.
     """
+    if n_queries is None:
+        n_queries = queries.count()
     shots = None
     if n > 0:
         shots = fewshot.few_shot_sample(
             pool, classes, queries.select("query_id"), n, attempt, on_short, n_queries=n_queries
         )
+        shots = fewshot.with_examples(shots, texts, pool, classes, n, n_queries, id_col)
     asked = build_prompts(queries, shots, labels, strategy)
     if rows_per_task is not None:
-        n_queries = queries.count() if n_queries is None else n_queries
         asked = asked.repartition(max(1, math.ceil(n_queries / rows_per_task)), "query_id")
     answered = generate(asked, scorer, **strategy.sampling)
     label, status = strategy.parser(F.col("prompt"), F.col("completion"), labels)
@@ -193,15 +195,15 @@ def label_with_retry(
     """
     if labels is None:
         labels = [r["label_text"] for r in class_rows(classes)]
-    pool = None
-    if n > 0:
-        ranked = fewshot.shot_pool(train, id_col, classes=classes)
-        pool = write_through(fewshot.with_examples(ranked, texts, id_col), "pool")
+    pool = write_through(fewshot.shot_pool(train, id_col, classes=classes), "pool") if n > 0 else None
     left = queries.select("query_id", "text")
     result = None
     for attempt in range(max_retry):
         done = write_through(
-            label_once(left, pool, classes, labels, strategy, scorer, n, attempt, n_queries, on_short, rows_per_task),
+            label_once(
+                left, pool, texts, classes, labels, strategy, scorer, n, attempt, n_queries,
+                id_col, on_short, rows_per_task,
+            ),
             f"answers{attempt}",
         )
         last = attempt + 1 == max_retry

@@ -34,6 +34,10 @@ class Inputs(NamedTuple):
             pool, self.classes, self.queries, n, attempt, on_short="all", n_queries=self.n_queries
         )
 
+    def examples(self, n: int) -> DataFrame:
+        pool = self.pool()
+        return S.with_examples(self.draw(pool, n), self.texts, pool, self.classes, n, self.n_queries)
+
 
 def _inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     loaded = base.load(spark, sf_dir)
@@ -67,8 +71,8 @@ def few_shot_retry(spark, sf_dir):
 
 def _asked(spark, sf_dir, n=2):
     x = _inputs(spark, sf_dir)
-    shots = x.draw(S.with_examples(x.pool(), x.texts), n)
-    return _with_text(x).join(S.examples_array(shots), "query_id", "left"), _prompt_labels(x.train)
+    examples = S.examples_array(x.examples(n))
+    return _with_text(x).join(examples, "query_id", "left"), _prompt_labels(x.train)
 
 
 def _prompt(builder):
@@ -101,7 +105,7 @@ def label_by_scorer(spark, sf_dir):
     labels = _prompt_labels(x.train)
     scorer = L.echo_scorer(labels, "", _INVALID)
     answers = L.label_once(
-        _with_text(x), S.with_examples(x.pool(), x.texts), x.classes, labels, L.STRATEGIES["inst"], scorer, 1,
+        _with_text(x), x.pool(), x.texts, x.classes, labels, L.STRATEGIES["inst"], scorer, 1,
         n_queries=x.n_queries, on_short="all",
     )
     return answers.drop("attempt", "text")

@@ -77,8 +77,22 @@ def test_salted_join_gives_the_same_draws(train, queries, monkeypatch):
     assert sorted_rows(salted.select("query_id", "label_code", "k", "train_id")) == plain
 
 
+def examples(train, queries, n=2):
+    pool, classes = S.shot_pool(train), C.coded_classes(train)
+    shots = S.few_shot_sample(pool, classes, queries, n)
+    return S.with_examples(shots, train, pool, classes, n, queries.count())
+
+
 def test_examples_are_ordered_by_class_and_draw(train, queries):
-    pool = S.with_examples(S.shot_pool(train), train)
-    shots = S.few_shot_sample(pool, C.coded_classes(train), queries, 2)
-    row = S.examples_array(shots).first()
+    row = S.examples_array(examples(train, queries)).first()
     assert [(e.label_code, e.k) for e in row.examples] == [(c, k) for c in range(3) for k in range(2)]
+
+
+def test_texts_of_rare_classes_arrive_through_salts(train, queries, monkeypatch):
+    columns = ["query_id", "label_code", "k", "train_id", "label_text", "example"]
+    plain = sorted_rows(examples(train, queries).select(columns))
+    assert len(plain) == 300 and all(r[5] == f"text\n{r[3]}" for r in plain)
+    monkeypatch.setattr(S, "HITS_PER_ROW", 4)
+    salted = examples(train, queries)
+    assert "Union" in salted._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted_rows(salted.select(columns)) == plain
