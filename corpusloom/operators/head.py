@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel, Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, PCA, HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as V
 from corpusloom.operators import metrics, trials
-from corpusloom.operators.tokens import SENTENCE_TOKENS, word_tokens
+from corpusloom.operators.tokens import word_tokens
 from corpusloom.session import bounded_rows, local_table
 
 #: Makes, once per Python worker, a function from a batch of texts to vectors.
@@ -38,12 +39,12 @@ def encode(df: DataFrame, encoder: EncoderFactory, text: str = "text", out: str
     return df.withColumn(out, vectors(text))
 
 
-def hash_encoder(df: DataFrame, dims: int = 1024, max_length: int = SENTENCE_TOKENS) -> tuple[PipelineModel, DataFrame]:
+def hash_encoder(df: DataFrame, dims: int = 1024) -> tuple[PipelineModel, DataFrame]:
     """Built-in encoder: hashed term frequencies weighted by inverse document frequency.
 
-    Returns the fitted model and ``df`` with ``features``.
+    Whole texts take part.  Returns the fitted model and ``df`` with ``features``.
     """
-    tokens = df.withColumn("tokens", F.slice(word_tokens(F.col("text")), 1, max_length))
+    tokens = df.withColumn("tokens", word_tokens(F.col("text")))
     stages = [
         HashingTF(numFeatures=dims, inputCol="tokens", outputCol="tf"),
         IDF(inputCol="tf", outputCol="features"),
@@ -97,11 +98,11 @@ def named_metric(name: str) -> Callable[[DataFrame], DataFrame]:
 
 def search_head(
     train: DataFrame, val: DataFrame, grid: Sequence[Mapping[str, Any]],
-    metric: str | Callable[[DataFrame], DataFrame] = "f1_macro",
+    metric: str | Callable[[DataFrame], DataFrame] = "f1_macro", parallelism: int = 4,
 ) -> DataFrame:
     """``trial, state, value, reg, max_iter``: every grid point fitted on train, scored on val.
 
-    The fits run on cached features; all models then score val in one scan and one
+    The fits run on cached features, up to ``parallelism`` at a time; all models then score val in one scan and one
     aggregation.  The value of a trial is that of its final model.  ``metric`` is a name,
     or a function from ``trial, label_code, pred_code`` rows to ``trial, value``.
     """
@@ -109,9 +110,11 @@ def search_head(
     train = train.select("features", "label_code", "weight").filter(F.col("label_code") >= 0).persist()
     try:
         base = head()
-        models = base.fit(train, [
-            {base.regParam: float(g["reg"]), base.maxIter: int(g["max_iter"])} for g in grid
-        ])
+        params = [{base.regParam: float(g["reg"]), base.maxIter: int(g["max_iter"])} for g in grid]
+        fits = base.fitMultiple(train, params)
+        with ThreadPool(min(parallelism, len(params))) as pool:
+            fitted = dict(pool.imap_unordered(lambda _: next(fits), params))
+        models = [fitted[i] for i in range(len(params))]
     finally:
         train.unpersist()
     scored = val.select("features", "label_code")

@@ -53,32 +53,37 @@ def map_text(df: DataFrame, scorer: ScorerFactory, prefix: str = templates.TRANS
 
 # -- parsers: (prompt, completion) -> columns ---------------------------------
 
-def validate(raw: Column, allowed: Sequence[str], whole: Column | None = None) -> tuple[Column, Column]:
-    """``(label_pred, status)``: an exact match with an allowed label, or marked invalid."""
-    known = F.coalesce(raw.isin(list(allowed)), F.lit(False))
+def validate(
+    raw: Column, allowed: Sequence[str] | None, whole: Column | None = None
+) -> tuple[Column, Column]:
+    """``(label_pred, status)``: an exact match with an allowed label, or marked invalid.
+
+    Without allowed labels every answer is valid.
+    """
+    known = raw.isNotNull() if allowed is None else F.coalesce(raw.isin(list(allowed)), F.lit(False))
     marked = X.invalid_label(raw if whole is None else whole)
     return F.when(known, raw).otherwise(marked), known
 
 
-def answer_suffix(prompt: Column, completion: Column, allowed: Sequence[str]) -> tuple[Column, Column]:
+def answer_suffix(prompt: Column, completion: Column, allowed: Sequence[str] | None) -> tuple[Column, Column]:
     """The answer is all that follows the prompt."""
     generated = F.concat(prompt, completion)
     return validate(X.parse_suffix(prompt, generated), allowed)
 
 
-def answer_category(prompt: Column, completion: Column, allowed: Sequence[str]) -> tuple[Column, Column]:
+def answer_category(prompt: Column, completion: Column, allowed: Sequence[str] | None) -> tuple[Column, Column]:
     """The answer is the first category line of prompt and completion together."""
     generated = F.concat(prompt, completion)
     return parse_generated(generated, allowed)
 
 
-def parse_generated(generated: Column, allowed: Sequence[str]) -> tuple[Column, Column]:
+def parse_generated(generated: Column, allowed: Sequence[str] | None) -> tuple[Column, Column]:
     found = X.parse_category(generated)
     label, status = validate(found, allowed, whole=generated)
     return F.when(found.isNull(), X.invalid_match(generated)).otherwise(label), status
 
 
-def answer_message(prompt: Column, completion: Column, allowed: Sequence[str]) -> tuple[Column, Column]:
+def answer_message(prompt: Column, completion: Column, allowed: Sequence[str] | None) -> tuple[Column, Column]:
     """The answer is the content of the last message, which the scorer wrote."""
     return validate(completion, allowed)
 
@@ -94,7 +99,7 @@ class Strategy:
     """How a model family is asked and how its answer is read."""
 
     template: Callable[[Column, Sequence[str], Column], Column]
-    parser: Callable[[Column, Column, Sequence[str]], tuple[Column, Column]]
+    parser: Callable[[Column, Column, Sequence[str] | None], tuple[Column, Column]]
     sampling: dict[str, Any] = field(default_factory=lambda: dict(templates.SAMPLING_COMPLETION))
 
     def prompt(self, query: Column, labels: Sequence[str], examples: Column) -> Column:
@@ -141,12 +146,13 @@ def build_prompts(
 def label_once(
     queries: DataFrame, pool: DataFrame | None, texts: DataFrame, classes: DataFrame, labels: Sequence[str],
     strategy: Strategy, scorer: ScorerFactory, n: int, attempt: int = 0, n_queries: int | None = None,
-    id_col: str = "doc_id", on_short: str = "error", rows_per_task: int | None = None,
+    id_col: str = "doc_id", on_short: str = "error", rows_per_task: int | None = None, check: bool = True,
 ) -> DataFrame:
     """One round: ``query_id, label_pred, status, attempt, text``.
 
     The text stays only with the rows that have to be asked again.  Spark sizes tasks
-    by bytes; for a slow scorer ``rows_per_task`` bounds the prompts of one task.
+    by bytes; for a slow scorer ``rows_per_task`` bounds the prompts of one task.  With
+    ``check=False`` any answer that can be read is valid.
     """
     if n_queries is None:
         n_queries = queries.count()
@@ -160,7 +166,7 @@ def label_once(
     if rows_per_task is not None:
         asked = asked.repartition(max(1, math.ceil(n_queries / rows_per_task)), "query_id")
     answered = generate(asked, scorer, **strategy.sampling)
-    label, status = strategy.parser(F.col("prompt"), F.col("completion"), labels)
+    label, status = strategy.parser(F.col("prompt"), F.col("completion"), labels if check else None)
     return answered.select(
         "query_id",
         label.alias("label_pred"),
@@ -184,6 +190,7 @@ def label_with_retry(
     on_short: str = "error",
     n_queries: int | None = None,
     rows_per_task: int | None = None,
+    check: bool = True,
 ) -> DataFrame:
     """Ask up to ``max_retry`` times, each time only the rows still without a valid label.
 
@@ -202,7 +209,7 @@ def label_with_retry(
         done = write_through(
             label_once(
                 left, pool, texts, classes, labels, strategy, scorer, n, attempt, n_queries,
-                id_col, on_short, rows_per_task,
+                id_col, on_short, rows_per_task, check,
             ),
             f"answers{attempt}",
         )

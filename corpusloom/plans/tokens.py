@@ -8,7 +8,6 @@ from corpusloom.functions import templates
 from corpusloom.functions import text as X
 from corpusloom.operators import tokens as K
 from corpusloom.plans.sql import big, key, with_ctes, words
-from corpusloom.session import write_through
 from corpusloom.sources import derived as D
 
 

@@ -97,6 +97,13 @@ def test_category_strategy(queries, train):
     assert odd.label_pred.startswith("INVALID LABEL: You are") and not odd.status
 
 
+def test_without_a_check_any_readable_answer_is_valid(queries, train):
+    got = run(queries, train, "inst", L.template_scorer("free text"), n=1, check=False)
+    assert {(r.label_pred, r.status) for r in got.collect()} == {("free text", True)}
+    unread = run(queries, train, "inquiry", L.template_scorer("free text"), n=1, max_retry=1, check=False)
+    assert unread.filter("status").count() == 0
+
+
 def test_chat_strategy_passes_its_sampling(queries, train):
     def factory(max_new_tokens, temperature, top_p):
         assert (max_new_tokens, temperature, top_p) == (256, 0.6, 0.9)

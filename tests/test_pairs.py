@@ -1,8 +1,6 @@
-import random
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import sorted_rows
 from corpusloom.operators import classes as C
