@@ -105,11 +105,6 @@ def whole_word_mask(
     n = F.size("tokens")
     # round half to even in double arithmetic, at least one word of a non-empty row
     wanted = F.when(n > 0, F.greatest(F.lit(1), F.rint(n * F.lit(p)).cast("int"))).otherwise(0)
-    key = F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))
-
-    def rank_of(i: Column) -> Column:
-        return F.md5(F.concat_ws(":", key, i.cast("string")))
-
     draw = F.concat_ws(":", F.lit(f"act{seed}"), F.col(id_col).cast("string"))
 
     def action(i: Column) -> Column:
@@ -120,7 +115,10 @@ def whole_word_mask(
 
     # The wanted-th smallest key bounds the chosen words: no lookup per word.
     actions = let(
-        F.transform("tokens", lambda t, i: rank_of(i)),
+        let(
+            F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"), F.lit(":")),
+            lambda key: F.transform("tokens", lambda t, i: F.md5(F.concat(key, i.cast("string")))),
+        ),
         lambda keys: let(
             F.get(F.array_sort(keys), F.col("_wanted") - 1),
             lambda bound: F.transform(keys, lambda k, i: F.when(k <= bound, action(i))),
