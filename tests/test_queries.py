@@ -10,7 +10,9 @@ import __spark_entry__ as registry
 from conftest import DATA
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
+PLANS = registry.library_plans()
+QUERIES = {name: run for plan in PLANS for name, run in plan.QUERIES.items()}
+ORACLES = {name: sql for plan in PLANS for name, sql in plan.ORACLES.items()}
 SF = f"{DATA}/sf0.001"
 
 
