@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, exact_dedup, packing, sharding, warc
+from corpusloom.llm import decontam, exact_dedup, jaccard, packing, sharding, warc
 from corpusloom.llm.common import table
 from corpusloom.llm.oracles import ORACLES  # noqa: F401
 from corpusloom.session import shared_path
@@ -61,6 +61,11 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op8_ngram_jaccard_join(spark, sf_dir):
+    groups = jaccard.similar_groups(table(spark, sf_dir, "documents"), percent=90, width=3)
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
 def op9_pack(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -70,5 +75,6 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op5_byte_shards": op5_byte_shards,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_pack": op9_pack,
 }
