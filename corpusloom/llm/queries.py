@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, exact_dedup, jaccard, packing, sharding, warc
-from corpusloom.llm.common import table
+from corpusloom.llm import decontam, exact_dedup, jaccard, langid, packing, sharding, toxicity, warc
+from corpusloom.llm.common import id_remainder, table
 from corpusloom.llm.oracles import ORACLES  # noqa: F401
 from corpusloom.session import shared_path
 
 N_SHARDS = 16
+TOXIC_AT = 0.3
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -48,6 +49,24 @@ def op3_decontaminate(spark, sf_dir):
     )
 
 
+def toxic_model(spark, sf_dir):
+    """The toxicity model of the query and the pipeline."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.fit(docs, table(spark, sf_dir, "labels"), id_remainder("doc_id", 4) != 2)
+
+
+def op4_toxic_spans(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxic_model(spark, sf_dir))
+    return scored.select(
+        "doc_id",
+        (id_remainder("doc_id", 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"),
+        "spans",
+    )
+
+
 def op5_byte_shards(spark, sf_dir):
     sized = sharding.sized(table(spark, sf_dir, "documents"))
     placed = sharding.byte_shards(sized, N_SHARDS, order=("doc_id", "text_crc32", "size"))
@@ -57,6 +76,14 @@ def op5_byte_shards(spark, sf_dir):
     )
 
 
+def op6_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    identifier = langid.fit(docs, id_remainder("doc_id", 5) != 0)
+    return langid.identify(docs.select("doc_id", "text"), identifier).select(
+        "doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -73,7 +100,9 @@ def op9_pack(spark, sf_dir):
 QUERIES = {
     "op2_warc_transactions": op2_warc_transactions,
     "op3_decontaminate": op3_decontaminate,
+    "op4_toxic_spans": op4_toxic_spans,
     "op5_byte_shards": op5_byte_shards,
+    "op6_language_id": op6_language_id,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_pack": op9_pack,

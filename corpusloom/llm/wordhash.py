@@ -47,8 +47,8 @@ class WordHasher:
         self.powers = _powers(_R, n)
         self.inverse = _powers(pow(_R, -1, 1 << 64), n)
 
-    def _block(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and start places of the words of one block; words end inside it."""
+    def _block(self, data: np.ndarray, cuts: Sequence[int]) -> tuple[np.ndarray, ...]:
+        """Starts, ends, hashes and piece hashes of the words of one block; words end inside it."""
         if len(data) > len(self.powers):
             self._grow(len(data))
         solid = np.empty(len(data) + 2, bool)
@@ -62,13 +62,27 @@ class WordHasher:
         values *= self.powers[: len(data)]
         np.cumsum(values, out=sums[1:])
         hashes = (sums[ends] - sums[starts]) * self.inverse[starts]
-        return mix(hashes + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93)), starts
+        out = [starts, ends, mix(hashes + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))]
+        for k in cuts:
+            a = starts if k > 0 else np.maximum(starts, ends + k)
+            z = np.minimum(ends, starts + k) if k > 0 else ends
+            out.append(mix((sums[z] - sums[a]) * self.inverse[a] + U(k % 256)))
+        return tuple(out)
 
     def words(self, texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words in order, and where each text's words begin (one place more than texts)."""
-        blob = b" ".join(texts).translate(LOWER)
+        _, _, hashes, begins = self.pieces(texts)
+        return hashes, begins
+
+    def pieces(self, texts: Sequence[bytes], cuts: Sequence[int] = (), table: bytes = LOWER) -> tuple[np.ndarray, ...]:
+        """Places (start, end) in the joined texts, hashes, a hash for each cut, and each text's first word.
+
+        A cut of k takes a word's first k bytes, one of -k its last k; ``table`` maps the
+        bytes before they are cut into words.  Texts are joined by one space.
+        """
+        blob = b" ".join(texts).translate(table)
         data = np.frombuffer(blob, np.uint8)
-        hashes, places, at = [], [], 0
+        found, at = [], 0
         while at < len(data):
             end = at + _BLOCK
             if end < len(data):
@@ -78,15 +92,15 @@ class WordHasher:
                 else:  # a very long word: go on to the next space
                     while end < len(data) and not _SPACES[data[end]]:
                         end += 1
-            h, s = self._block(data[at:end])
-            hashes.append(h)
-            places.append(s + at)
+            starts, ends, *hashes = self._block(data[at:end], cuts)
+            found.append((starts + at, ends + at, *hashes))
             at = min(end, len(data))
         lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         begins = np.concatenate([[0], np.cumsum(lengths)])
-        if not hashes:
-            return np.empty(0, U), np.zeros(len(texts) + 1, np.int64)
-        return np.concatenate(hashes), np.searchsorted(np.concatenate(places), begins)
+        if not found:
+            return (*[np.empty(0, np.int64)] * 2, *[np.empty(0, U)] * (1 + len(cuts)), np.zeros(len(texts) + 1, np.int64))
+        columns = [np.concatenate(c) for c in zip(*found)]
+        return (*columns, np.searchsorted(columns[0], begins))
 
 
 _HASHER: list[WordHasher] = []
