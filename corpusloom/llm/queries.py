@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, exact_dedup, jaccard, langid, packing, sharding, toxicity, warc
+from corpusloom.llm import decontam, exact_dedup, htmltext, jaccard, langid, packing, sharding, toxicity, warc
 from corpusloom.llm.common import id_remainder, table
 from corpusloom.llm.oracles import ORACLES  # noqa: F401
 from corpusloom.session import shared_path
@@ -97,6 +97,10 @@ def op9_pack(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_main_text(spark, sf_dir):
+    return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {
     "op2_warc_transactions": op2_warc_transactions,
     "op3_decontaminate": op3_decontaminate,
@@ -106,4 +110,5 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_pack": op9_pack,
+    "op10_main_text": op10_main_text,
 }
