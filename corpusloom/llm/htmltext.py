@@ -188,7 +188,7 @@ def _features(block: tuple) -> list[int]:
     names = [
         "any", f"words:{min(words, 30) // 5}", f"linked:{int(linked * 4)}", f"control:{control}",
         f"end:{text[-1] if text[-1] in '.!?:,;' else 'other'}",
-        f"mark:{'©' in text or '|' in text or '»' in text}",
+        f"mark:{'©' in text}",
     ]
     return [*[_bucket(n) for n in names], *_path_features(path)][:WIDTH]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, exact_dedup, htmltext, jaccard, langid, packing, sharding, toxicity, warc
+from corpusloom.llm import decontam, exact_dedup, hpylm, htmltext, jaccard, langid, packing, sharding, toxicity, warc
 from corpusloom.llm.common import id_remainder, table
 from corpusloom.llm.oracles import ORACLES  # noqa: F401
 from corpusloom.session import shared_path
@@ -21,6 +21,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_hpylm_score(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return hpylm.score(docs, id_remainder("doc_id", 10) != 0)
+
+
 def op2_warc_transactions(spark, sf_dir):
     path = shared_path(spark, "archives")
     warc.write_archives(warc.capture_records(table(spark, sf_dir, "pages")), path)
@@ -102,6 +107,7 @@ def op10_main_text(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_hpylm_score": op1_hpylm_score,
     "op2_warc_transactions": op2_warc_transactions,
     "op3_decontaminate": op3_decontaminate,
     "op4_toxic_spans": op4_toxic_spans,
