@@ -30,7 +30,7 @@ CUTS = (3, 4, 5, -4)
 #: A chain is cut after so many tokens.
 CHAIN = 64
 #: Labelled rows of each class that the model learns from.
-ROWS_PER_CLASS = 3000
+ROWS_PER_CLASS = 1000
 MIN_DOCUMENTS, MIN_RATIO = 8, 15.0
 SPAN_AT = 0.5
 
