@@ -132,7 +132,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, float, bool]]:
         if token.group(2) is None:
             continue
         closing, tag = token.group(1), token.group(2).lower()
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in HIDDEN or tag in ("head", "title"):
             current = None
         elif tag == "br":
             text(" ")

@@ -77,7 +77,8 @@ def sized(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 def write_shards(docs: DataFrame, shards: DataFrame, path: str, id_column: str = "doc_id") -> None:
     """Write each shard's documents under ``path/shard=K``.
 
-    ``shards`` has one row per id; documents without an id there are not written.
+    ``shards`` has one row per id; documents without an id there are not written,
+    and a column named ``shard`` is replaced.
     """
-    placed = docs.join(shards.select(id_column, "shard"), id_column)
+    placed = docs.drop("shard").join(shards.select(id_column, "shard"), id_column)
     placed.write.partitionBy("shard").parquet(path)
