@@ -29,6 +29,7 @@ WORDPIECE_MARK = "##"
 INVALID_LABEL = "INVALID LABEL: "
 INVALID_MATCH = "INVALID OUTPUT MATCH: "
 CATEGORY_PATTERN = ">>>\nCategory: ([^\n]*)\n"
+CATEGORY_PATTERN_DA = ">>>\nKategori: ([^\n]*)\n"
 
 # Prompt texts.
 ROLE_INST = (

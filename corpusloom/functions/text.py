@@ -75,15 +75,13 @@ def parse_suffix(prompt: Column, generated: Column) -> Column:
     return F.substr(generated, F.char_length(prompt) + 1)
 
 
-def has_category(generated: Column) -> Column:
-    return generated.rlike(templates.CATEGORY_PATTERN)
+def has_category(generated: Column, pattern: str = templates.CATEGORY_PATTERN) -> Column:
+    return generated.rlike(pattern)
 
 
-def parse_category(generated: Column) -> Column:
+def parse_category(generated: Column, pattern: str = templates.CATEGORY_PATTERN) -> Column:
     """First text between the category mark and the next newline; null if none."""
-    return F.when(
-        has_category(generated), F.regexp_extract(generated, templates.CATEGORY_PATTERN, 1)
-    )
+    return F.when(has_category(generated, pattern), F.regexp_extract(generated, pattern, 1))
 
 
 def parse_last_message(messages: Column) -> Column:

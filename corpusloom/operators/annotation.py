@@ -46,7 +46,13 @@ def labelled_examples(examples: DataFrame, marks: DataFrame) -> DataFrame:
     files = examples.select(
         F.col("id").alias("example_id"), meta_field(F.col("meta"), "pdf_file").alias("pdf_file")
     )
-    return marks.join(files, "example_id").select("pdf_file", F.inline("marks"))
+    # without a report there is nothing to compare; see unreadable_examples
+    return marks.join(files.where(F.col("pdf_file").isNotNull()), "example_id").select("pdf_file", F.inline("marks"))
+
+
+def unreadable_examples(examples: DataFrame) -> int:
+    """Examples whose metadata names no report; ``labelled_examples`` leaves them out."""
+    return examples.where(meta_field(F.col("meta"), "pdf_file").isNull()).count()
 
 
 def labels_by_pdf(db: Annotations, projects: Sequence[str]) -> DataFrame:

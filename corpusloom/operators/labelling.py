@@ -77,8 +77,15 @@ def answer_category(prompt: Column, completion: Column, allowed: Sequence[str] |
     return parse_generated(generated, allowed)
 
 
-def parse_generated(generated: Column, allowed: Sequence[str] | None) -> tuple[Column, Column]:
-    found = X.parse_category(generated)
+def answer_category_da(prompt: Column, completion: Column, allowed: Sequence[str] | None) -> tuple[Column, Column]:
+    """As ``answer_category``, with the Danish mark."""
+    return parse_generated(F.concat(prompt, completion), allowed, templates.CATEGORY_PATTERN_DA)
+
+
+def parse_generated(
+    generated: Column, allowed: Sequence[str] | None, pattern: str = templates.CATEGORY_PATTERN
+) -> tuple[Column, Column]:
+    found = X.parse_category(generated, pattern)
     label, status = validate(found, allowed, whole=generated)
     return F.when(found.isNull(), X.invalid_match(generated)).otherwise(label), status
 
@@ -114,7 +121,7 @@ STRATEGIES = {
     "inst": Strategy(prompts.prompt_inst, answer_suffix),
     "im": Strategy(prompts.prompt_im, answer_suffix),
     "inquiry": Strategy(prompts.prompt_inquiry, answer_category),
-    "inquiry_da": Strategy(prompts.prompt_inquiry_da, answer_category),
+    "inquiry_da": Strategy(prompts.prompt_inquiry_da, answer_category_da),
     "messages": Strategy(_chat, answer_message, dict(templates.SAMPLING_CHAT)),
 }
 

@@ -96,12 +96,27 @@ def metrics_from_classes(classes: DataFrame, by: Sequence[str] = ()) -> DataFram
     )
 
 
+def _unlabelled(df: DataFrame, true: str) -> Column:
+    codes = df.schema[true].dataType.typeName() in ("byte", "short", "integer", "long")
+    return F.col(true).isNull() | ((F.col(true) == -1) if codes else F.lit(False))
+
+
+def labelled(df: DataFrame, true: str = "label_true") -> DataFrame:
+    """Rows with a truth: a null label, or its code -1, is no class and enters no metric."""
+    return df.where(~_unlabelled(df, true))
+
+
+def count_unlabelled(df: DataFrame, by: Sequence[str] = (), true: str = "label_true") -> DataFrame:
+    """How many rows the metrics leave out for want of a truth."""
+    return df.groupBy(*by).agg(F.count_if(_unlabelled(df, true)).alias("n_unlabelled"))
+
+
 def metrics_by(
     df: DataFrame, by: Sequence[str] | str, true: str = "label_true", pred: str = "label_pred"
 ) -> DataFrame:
     """The metrics of every run in one pass over the rows."""
     by = [by] if isinstance(by, str) else list(by)
-    classes = per_class(confusion_counts(df, true, pred, by), by)
+    classes = per_class(confusion_counts(labelled(df, true), true, pred, by), by)
     return metrics_from_classes(classes, by).drop("n_invalid", "n_valid")
 
 
@@ -112,7 +127,7 @@ def classification_metrics(df: DataFrame, true: str = "label_true", pred: str =
 def eval_few_shots(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Metrics of the valid rows, with the counts of valid and invalid ones."""
     # Invalid answers are free text: fold them into one cell before the shuffle.
-    folded = df.withColumn("label_pred", F.when(F.col("status"), F.col("label_pred")))
+    folded = labelled(df).withColumn("label_pred", F.when(F.col("status"), F.col("label_pred")))
     counts = confusion_counts(folded, by=[*by, "status"])
     return metrics_from_classes(per_class(counts, by, F.col("status")), by)
 

@@ -144,6 +144,51 @@ def contrastive_pairs(
     )
 
 
+def embedding_loss_over_all(
+    embeddings: DataFrame, label: str = "label", vector: str = "embedding"
+) -> DataFrame:
+    """The loss over all pairs of one table, the positive and the negative mean weighing the same.
+
+    Pairs of one class (with the pairs of a vector and itself) aim at a cosine of 1, the
+    others at 0.  For unit vectors the sums of cosines and of their squares follow from a
+    class's vector sum and Gram matrix, so no pair is ever listed: one cell of these sums
+    is added up per class and place.  Null and zero vectors and null labels are left out
+    and counted.
+    """
+    rows = embeddings.select(F.col(label).alias("label"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    rows = rows.withColumn("norm", norm)
+    usable = F.coalesce((F.col("norm") > 0) & F.col("label").isNotNull(), F.lit(False))
+    units = rows.where(usable).select("label", F.transform("v", lambda x: x / F.col("norm")).alias("u"))
+    cells = units.select("label", F.posexplode(F.concat(
+        F.flatten(F.transform("u", lambda x: F.transform("u", lambda y: x * y))), "u"
+    )).alias("place", "x"), F.size("u").alias("d"))
+    sums = cells.groupBy("label", "place", "d").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    gram = F.col("place") < F.col("d") * F.col("d")
+    square = F.when(gram, F.col("x") * F.col("x")).otherwise(0.0)
+    length = F.when(gram, 0.0).otherwise(F.col("x") * F.col("x"))
+    inside = sums.groupBy("label").agg(
+        F.sum(square).alias("cos2"), F.sum(length).alias("cos"), F.max("n").cast("double").alias("n"))
+    own = inside.agg(
+        F.sum("cos2").alias("cos2"), F.sum((F.col("cos") - F.col("n")) / 2).alias("cos_in"),
+        F.sum((F.col("cos2") - F.col("n")) / 2).alias("cos2_in"), F.sum("n").alias("n"),
+        F.sum(F.col("n") * (F.col("n") + 1) / 2).alias("n_pos"))
+    whole = sums.where(gram).groupBy("place").agg(F.sum("x").alias("x")).agg(F.sum(F.col("x") * F.col("x")).alias("all2"))
+    dropped = rows.agg(F.count_if(~usable).alias("n_dropped"))
+    # three tables of one row each, side by side
+    stacked = own.unionByName(whole, allowMissingColumns=True).unionByName(dropped, allowMissingColumns=True)
+    one = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+    n_in = F.col("n_pos") - F.col("n")
+    n_neg = F.col("n") * (F.col("n") + 1) / 2 - F.col("n_pos")
+    positive = (n_in - 2 * F.col("cos_in") + F.col("cos2_in")) / F.nullif(F.col("n_pos"), F.lit(0.0))
+    negative = (F.col("all2") - F.col("cos2")) / 2 / F.nullif(n_neg, F.lit(0.0))
+    return one.select(
+        F.coalesce((positive + negative) / 2, positive, negative).alias("embedding_loss"),
+        F.coalesce(F.col("n_pos") + n_neg, F.lit(0)).cast("bigint").alias("n_pairs"),
+        "n_dropped",
+    )
+
+
 def embedding_loss(
     pairs: DataFrame, embeddings: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:

@@ -19,6 +19,11 @@ def _tokens(spark, sf_dir):
     return K.tokenize(_documents(spark, sf_dir)).select("doc_id", "tokens")
 
 
+def _whole_tokens(spark, sf_dir):
+    """Tokens of whole texts: batches and masks are not cut."""
+    return _documents(spark, sf_dir).select("doc_id", K.word_tokens(F.col("text")).alias("tokens"))
+
+
 def _digest(tokens):
     return F.md5(F.array_join(tokens, " ", "~"))
 
@@ -35,7 +40,7 @@ def vocabulary(spark, sf_dir):
 
 
 def pad_batches(spark, sf_dir):
-    padded = K.pad_batches(_tokens(spark, sf_dir))
+    padded = K.pad_batches(_whole_tokens(spark, sf_dir))
     return padded.select(
         "doc_id",
         "batch",
@@ -46,7 +51,7 @@ def pad_batches(spark, sf_dir):
 
 
 def whole_word_mask(spark, sf_dir):
-    tokens = _tokens(spark, sf_dir)
+    tokens = _whole_tokens(spark, sf_dir)
     vocab = K.indexed_vocabulary(tokens)
     masked = K.whole_word_mask(tokens, vocab)
 
@@ -77,6 +82,7 @@ QUERIES = {
     f.__name__: f for f in (tokenize_truncate, vocabulary, pad_batches, whole_word_mask, strip_wordpiece)
 }
 
+_WHOLE = f"select doc_id, {words('text')} as tokens from documents"
 _WORD = "t.doc_id, ':', t.i"
 _MASK_STEPS = {
     "words": "select doc_id, unnest(tokens) as token, unnest(range(len(tokens))) as i, len(tokens) as n from tokens",
@@ -98,19 +104,21 @@ ORACLES = {
     ),
     "vocabulary": f"select token, count(*) as n from (select unnest({words('text')}) as token from documents) group by token",
     "pad_batches": with_ctes(
-        "tokens",
+        "",
         "select doc_id, batch, width, len(tokens) as mask_sum, md5(array_to_string(list_concat(tokens,"
         " list_transform(range(width - len(tokens)), lambda x: '[PAD]')), ' ')) as ids_md5"
         " from (select *, max(len(tokens)) over (partition by batch) as width from placed)",
+        tokens=_WHOLE,
         placed="select *, (row_number() over (order by doc_id) - 1) // 128 as batch from tokens",
     ),
     "whole_word_mask": with_ctes(
-        "tokens",
+        "",
         "select d.doc_id, count(*) filter (act = 'mask') as n_mask, count(*) filter (act = 'random') as n_random,"
         " count(*) filter (act = 'keep') as n_keep,"
         " md5(coalesce(string_agg(input, ' ' order by i), '')) as input_md5,"
         " md5(coalesce(string_agg(case when act is null then '~' else token end, ' ' order by i), '')) as labels_md5"
         " from tokens d left join filled f on d.doc_id = f.doc_id group by d.doc_id",
+        tokens=_WHOLE,
         **_MASK_STEPS,
     ),
     "strip_wordpiece":

@@ -103,8 +103,18 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def append_metrics(df: DataFrame, path: str) -> None:
-    """Add metric rows to the running metrics table, one partition per ``n_samples``."""
-    write_results(df, path)
+    """Add metric rows to the running metrics table, one partition per ``n_samples``.
+
+    Rows of runs that the table already has (same model, project and n_samples, as far as
+    the table names them) are not added again; nothing that is there is replaced.
+    """
+    there = read_metrics(df.sparkSession, path)
+    if there is not None:
+        keys = [c for c in ("model", "project", "n_samples") if c in df.columns and c in there.columns]
+        known = there.select(*[F.col(c).alias(f"_{c}") for c in keys]).distinct()
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+        df = df.join(known, same, "left_anti")
+    df.write.mode("append").partitionBy("n_samples").parquet(path)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame | None:
