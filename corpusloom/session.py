@@ -64,7 +64,22 @@ def write_through(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``write_through`` returned, once their last reader has run.
+
+    Other DataFrames, and tables derived from written ones, are left alone.
+    """
+    for table in tables:
+        named = getattr(table, "_written_path", None)
+        if named is None:
+            continue
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(named)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def local_table(spark: SparkSession, rows: Sequence[Sequence], schema: T.StructType | str) -> DataFrame:
