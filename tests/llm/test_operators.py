@@ -8,6 +8,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,6 +236,33 @@ def test_similar_groups_of_short_sets(spark):
         assert pairs_of(found, "doc_id", "n_shingles", "component_id") == brute_components(rows, percent, 1)
 
 
+def test_similar_groups_of_one_spread_out_family(spark):
+    """Copies with a few to many words changed: most pairs share segments, and few link."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(160)]
+    texts = []
+    for k in range(240):
+        words = list(base)
+        for at in rng.choice(160, size=int(rng.integers(1, 12)), replace=False):
+            words[at] = f"x{rng.integers(0, 4000)}"
+        texts.append(" ".join(words))
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for percent, width in ((90, 3), (80, 5)):
+        found = jaccard.similar_groups(made, percent, width)
+        want = brute_components(list(enumerate(texts)), percent, width)
+        assert 20 < len({c for _, _, c in want}) < len(texts)
+        assert pairs_of(found, "doc_id", "n_shingles", "component_id") == want
+
+
+def test_parity_sketch_bounds_the_difference():
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 2**63, 600, dtype=np.uint64)
+    for changed in (0, 1, 17, 200):
+        a, b = pool[: 300 + changed], pool[changed:300 + changed]
+        one, two = (jaccard.parity_sketch(x, 500).view(np.uint64) for x in (a, b))
+        assert int(np.bitwise_count(one ^ two).sum()) <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
 def test_one_of_each(docs, no_docs):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
