@@ -106,6 +106,8 @@ def search_head(
     aggregation.  The value of a trial is that of its final model.  ``metric`` is a name,
     or a function from ``trial, label_code, pred_code`` rows to ``trial, value``.
     """
+    if not grid:
+        raise ValueError("a search needs at least one grid point")
     score = metric if callable(metric) else named_metric(metric)
     train = train.select("features", "label_code", "weight").filter(F.col("label_code") >= 0).persist()
     try:
@@ -147,11 +149,20 @@ def refit_best(train: DataFrame, results: DataFrame, direction: str = "maximize"
 
 
 def project_2d(df: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Add ``x, y``: the first two principal components."""
+    """Add ``x, y``: the first two principal components of the centred vectors.
+
+    The largest loading of a component is positive, so its sign does not hang on the solver.
+    """
     featured = as_features(df, vector)
     model = PCA(k=2, inputCol="features", outputCol="xy").fit(featured)
+    mean = featured.agg(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray()
+    loadings = model.pc.toArray()
+    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), range(2)])
+    shift = mean @ loadings
     xy = vector_to_array("xy")
-    return model.transform(featured).withColumns({"x": xy[0], "y": xy[1]}).drop("features", "xy")
+    return model.transform(featured).withColumns({
+        name: (xy[k] - F.lit(float(shift[k]))) * F.lit(float(signs[k])) for k, name in enumerate("xy")
+    }).drop("features", "xy")
 
 
 # -- nearest class centroid ----------------------------------------------------

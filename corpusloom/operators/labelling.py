@@ -207,6 +207,8 @@ def label_with_retry(
     is split, so a scorer that answers differently each time is asked once per row and
     round.  The last answer of a row is the one kept.
     """
+    if max_retry < 1:
+        raise ValueError("ask at least once")
     if labels is None:
         labels = [r["label_text"] for r in class_rows(classes)]
     pool = write_through(fewshot.shot_pool(train, id_col, classes=classes), "pool") if n > 0 else None

@@ -32,7 +32,7 @@ def confusion(
     """Full confusion matrix in long form, empty cells as 0.
 
     Without ``labels`` the axes are the labels seen on either side; with them, a pair is
-    dropped when either side is outside the list.
+    dropped when either side is outside the list.  A pair with a null side is in no cell.
     """
     if labels is not None:
         df = df.filter(F.col(true).isin(list(labels)) & F.col(pred).isin(list(labels)))
@@ -40,7 +40,9 @@ def confusion(
     if labels is None:
         # asking for n keeps this the same aggregate as the one joined below, computed once
         seen = counts.filter(F.col("n") > 0).select(F.explode(F.array("label_true", "label_pred")).alias("l"))
-        axis = seen.agg(F.collect_set("l").alias("axis"))
+        # one label past the bound is enough to refuse, so no more are ever gathered
+        listed = seen.where(F.col("l").isNotNull()).distinct().limit(MAX_LOCAL_ROWS + 1)
+        axis = listed.agg(F.collect_list("l").alias("axis"))
         axis = axis.withColumn(
             "axis",
             F.when(F.size("axis") <= MAX_LOCAL_ROWS, F.col("axis")).otherwise(
@@ -173,10 +175,11 @@ def misclassified(pred: DataFrame, corpus: DataFrame, key: str = "doc_id") -> Da
 # -- losses ------------------------------------------------------------------
 
 def weighted_ce(df: DataFrame, logits: str = "logits", code: str = "label_code", weight: str = "weight") -> DataFrame:
-    """Weighted mean of ``-log p``; rows without a class (-1) are left out."""
+    """Weighted mean of ``-log p``; rows without a class (-1), or with one past the logits, are left out."""
     w = F.col(weight)
     nll = -V.log_prob(F.col(logits), F.col(code).cast("int"))
-    return df.filter(F.col(code) >= 0).agg(
+    inside = (F.col(code) >= 0) & (F.col(code) < F.size(logits))
+    return df.filter(inside).agg(
         (F.sum(w * nll) / F.sum(w)).alias("weighted_ce"), F.count("*").alias("n")
     )
 

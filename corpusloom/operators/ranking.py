@@ -91,19 +91,23 @@ def positions_by_hash(
     if sizes is not None and all(n <= max_rows for n in sizes.values()):
         order = W.partitionBy(group).orderBy(hash_col, id_col)
         return df.withColumn(position, (F.row_number().over(order) - 1).cast("bigint"))
-    cut = df.join(_prefix_digits(df, group, sizes, max_rows), group)
+    digits = _prefix_digits(df, group, sizes, max_rows).withColumnRenamed(group, "_group")
+    # null is a group like any other
+    cut = df.join(digits, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
     cut = cut.withColumn("_part", F.substr(hash_col, F.lit(1), F.col("_digits"))).drop("_digits")
     counts = cut.groupBy(group, "_part").count()
     before = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(
-        group, "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset")
+        F.col(group).alias("_group"), F.col("_part").alias("_cut"),
+        F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"),
     )
+    same = F.col(group).eqNullSafe(F.col("_group")) & F.col("_part").eqNullSafe(F.col("_cut"))
     order = W.partitionBy(group, "_part").orderBy(hash_col, id_col)
     return (
         cut.withColumn("_rank", F.row_number().over(order))
-        .join(offsets, [group, "_part"])
+        .join(offsets, same)
         .withColumn(position, (F.col("_offset") + F.col("_rank") - 1).cast("bigint"))
-        .drop("_part", "_offset", "_rank")
+        .drop("_group", "_part", "_cut", "_offset", "_rank")
     )
 
 

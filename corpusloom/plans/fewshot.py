@@ -117,7 +117,7 @@ def label_with_retry(spark, sf_dir):
     scorer = L.echo_scorer(labels, "\n###", _INVALID, opening="\nCategory: ")
     answers = L.label_with_retry(
         _with_text(x), x.train, x.texts, x.classes, L.STRATEGIES["inquiry"], scorer,
-        n=2, max_retry=3, labels=labels, on_short="all", n_queries=x.n_queries,
+        n=2, max_retry=5, labels=labels, on_short="all", n_queries=x.n_queries,
     )
     return answers.select("query_id", F.md5("label_pred").alias("label_md5"), "status", "attempt")
 
@@ -267,7 +267,7 @@ ORACLES = {
         " chr(10), '###') end) as label_md5, status, attempt from answered"
         " qualify row_number() over (partition by query_id order by case when status then attempt else 99 end,"
         " attempt desc) = 1",
-        **_prompts("inquiry", 2, attempts=3),
+        **_prompts("inquiry", 2, attempts=5),
         answered=f"select query_id, attempt, p, a, a <> 'maybe' as status"
                  f" from (select query_id, attempt, p, {_ANSWER} as a from prompts, labels)",
     ),
