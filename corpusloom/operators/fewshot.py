@@ -1,8 +1,8 @@
 """Class-balanced few-shot draws.
 
-Every train row has one shuffled position in its class.  A query draws from each class
-by stepping through those positions from a hashed start with a hashed stride, so a draw
-is an equi-join on ``(class, position)``: no query meets the whole train set.
+Every train row has one shuffled position in its class.  A query draws positions of each
+class by Floyd's sampling on hashed numbers, so every subset is as likely as any other and
+a draw is an equi-join on ``(class, position)``: no query meets the whole train set.
 """
 
 from __future__ import annotations
@@ -16,9 +16,6 @@ from corpusloom.functions.hashing import hash_bigint, md5_key
 from corpusloom.operators.classes import class_rows
 from corpusloom.operators.ranking import positions_by_hash
 
-#: Primes above any class size: stepping by one of them visits every position once.
-STRIDES = (1_000_000_000_039, 1_000_000_000_000_037, 1_000_000_000_000_000_003, 2_305_843_009_213_693_951)
-
 #: Draws that one pool row may answer before it is copied under a salt.
 HITS_PER_ROW = 100_000
 
@@ -40,23 +37,30 @@ def shot_pool(
 def draw_positions(
     queries: DataFrame, sizes: dict[int, int], n: int, attempt: int = 0, query_id: str = "query_id"
 ) -> DataFrame:
-    """``query_id, label_code, k, pos``: ``n`` distinct positions per query and class."""
+    """``query_id, label_code, k, pos``: ``n`` distinct positions per query and class.
+
+    Floyd's sampling: the k-th draw takes a number up to ``size - n + k``, or that bound
+    itself if the number was drawn before.  A class with fewer than ``n`` rows gives all.
+    """
     cells = F.array(*[
         F.struct(F.lit(code).cast("bigint").alias("label_code"), F.lit(size).cast("bigint").alias("size"))
         for code, size in sorted(sizes.items())
+        if size > 0
     ])
-    start = hash_bigint(md5_key(f"start{attempt}", query_id, "label_code")) % F.col("size")
-    which = hash_bigint(md5_key(f"stride{attempt}", query_id, "label_code")) % len(STRIDES)
-    stride = F.get(F.array(*[F.lit(p) for p in STRIDES]), which.cast("int")) % F.col("size")
+    taken = F.least(F.lit(n).cast("bigint"), F.col("size"))
+
+    def draw(drawn: Column, k: Column) -> Column:
+        last = F.col("size") - taken + k
+        number = hash_bigint(md5_key(f"draw{attempt}", query_id, "label_code", k)) % (last + 1)
+        return F.concat(drawn, F.array(F.when(F.array_contains(drawn, number), last).otherwise(number)))
+
+    steps = F.sequence(F.lit(0).cast("bigint"), taken - 1)
+    drawn = F.aggregate(steps, F.array().cast("array<bigint>"), draw)
     return (
         queries.select(query_id, F.explode(cells).alias("c"))
         .select(query_id, "c.label_code", "c.size")
-        .select(query_id, "label_code", "size", start.alias("start"), stride.alias("stride"))
-        .select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1))).alias("k"))
-        .select(
-            query_id, "label_code", "k",
-            ((F.col("start") + F.col("k") * F.col("stride")) % F.col("size")).alias("pos"),
-        )
+        .select(query_id, "label_code", F.posexplode(drawn).alias("k", "pos"))
+        .withColumn("k", F.col("k").cast("bigint"))
     )
 
 
@@ -107,8 +111,6 @@ def few_shot_sample(
     if short and on_short == "error":
         raise ValueError(f"class {short[0]} has fewer than {n} rows")
     draws = draw_positions(queries, sizes, n, attempt, query_id)
-    if short:
-        draws = draws.filter(F.col("k") < _by_class(sizes))
     salts = _salts(sizes, n, queries.count() if n_queries is None else n_queries)
     if not salts:
         return draws.join(pool, ["label_code", "pos"]).drop("pos")

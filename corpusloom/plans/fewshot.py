@@ -148,17 +148,24 @@ QUERIES = {
 _POOL = f"""select label_code, label_text, doc_id as train_id, replace(text, chr(10), ' ') as example,
   row_number() over (partition by label_code order by {key('pool42', 'doc_id')}, doc_id) - 1 as pos from train"""
 _QUERY = "select doc_id as query_id, text from splits where split = 'eval'"
-_STRIDES = "[" + ", ".join(str(p) for p in S.STRIDES) + "]"
 
 
 def _shots(n: int, attempt: str = "0", source: str = "asked") -> str:
-    start = big(f"md5(concat('start', {attempt}, ':', query_id, ':', label_code))")
-    which = big(f"md5(concat('stride', {attempt}, ':', query_id, ':', label_code))")
+    """Floyd's sampling with one column a draw."""
+    def number(k):
+        digest = big(f"md5(concat('draw', {attempt}, ':', query_id, ':', label_code, ':', {k}))")
+        return f"({digest}) % greatest(n - least({n}, n) + {k} + 1, 1)"
+
+    drawn = ["{0} as t0, t0 as p0".format(number(0))]
+    for k in range(1, n):
+        before = ", ".join(f"p{i}" for i in range(k))
+        drawn.append(f"{number(k)} as t{k}, case when t{k} in ({before}) then n - least({n}, n) + {k} else t{k} end as p{k}")
+    places = ", ".join(f"p{k}" for k in range(n))
     return f"""
 select d.query_id, d.attempt, d.label_code, d.k, p.train_id, p.example, p.label_text
-from (select query_id, {attempt} as attempt, label_code, k,
-    (({start}) % n + k * ({_STRIDES}[({which}) % {len(S.STRIDES)} + 1] % n)) % n as pos
-  from {source}, train_classes, (select unnest(range({n})) as k) where k < n) d
+from (select query_id, attempt, label_code, k, list_extract([{places}], cast(k + 1 as bigint)) as pos
+  from (select query_id, {attempt} as attempt, label_code, n, {", ".join(drawn)} from {source}, train_classes),
+    (select unnest(range({n})) as k) where k < n) d
 join pool p on p.label_code = d.label_code and p.pos = d.pos"""
 
 

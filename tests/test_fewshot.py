@@ -6,19 +6,17 @@ from corpusloom.operators import classes as C
 from corpusloom.operators import fewshot as S
 
 
-def is_prime(n):
-    d, s = n - 1, 0
-    while d % 2 == 0:
-        d, s = d // 2, s + 1
-    for a in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37):
-        x = pow(a, d, n)
-        if x not in (1, n - 1) and all(pow(x, 2**r, n) != n - 1 for r in range(1, s)):
-            return False
-    return True
-
-
-def test_strides_are_primes():
-    assert all(is_prime(p) for p in S.STRIDES)
+def test_draws_of_many_queries_are_independent(spark):
+    queries = spark.range(20_000).withColumnRenamed("id", "query_id")
+    drawn = S.draw_positions(queries, {0: 1000, 1: 2, 2: 5}, 2)
+    pairs = drawn.groupBy("query_id", "label_code").agg(F.array_sort(F.collect_list("pos")).alias("pair"))
+    counts = {}
+    for r in pairs.groupBy("label_code", "pair").count().collect():
+        counts.setdefault(r.label_code, {})[tuple(r.pair)] = r["count"]
+    assert len(counts[0]) > 19_000 and all(0 <= a < b < 1000 for a, b in counts[0])
+    assert counts[1] == {(0, 1): 20_000}
+    # each of the ten pairs of five rows is as likely as any other
+    assert len(counts[2]) == 10 and all(abs(n - 2000) < 250 for n in counts[2].values())
 
 
 @pytest.fixture
