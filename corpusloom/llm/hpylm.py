@@ -1,342 +1,479 @@
 """Hierarchical Pitman-Yor language model of words, with seatings sampled by Gibbs sweeps.
 
-Each context, the class of the word before, has a restaurant; all of them share one parent,
-the root, whose base measure is continuous: every new table at the root is a new word, so
-the mass of the root's next new table is the probability of a word never seen.  A customer
-of a context joins a table of its word or opens one, which sends a customer to the root.
-
-A sweep redraws every word's seating in all contexts, given the numbers of tables that the
-sweep before left in the restaurants.  Words are independent given these numbers, so a
-sweep is one pass over the word table, and only the restaurants' sums leave the tasks.
-The predictive probabilities are averaged over the sweeps after the burn-in.
-
-Counts cover all training texts.  Texts are dealt into blocks; a task adds up a word's
-contexts and notes the blocks that will ask for it, so one narrow shuffle builds the word
-table and one sends each block the words it holds.
+Each context, the whole word before, has a restaurant.  Its parent is the restaurant of the
+context's class (two bytes at its end), and all classes hang on one root, whose base measure
+is continuous: every new table at the root is a new word, so the mass of the root's next new
+table is the probability of a word never seen.  A customer of a restaurant joins a table of
+its word or opens one, which sends a customer to the parent.
+
+The state is the number of tables of every word in every context and class; it is written
+after each sweep and the next one starts from it.  A sweep takes the customers of a cell (a
+word in a restaurant) out and seats them again, given the other cells' tables in the
+restaurant and the word's tables in the parents.  Cells of up to EXACT customers are drawn
+from that distribution itself; the customers of larger ones leave and return in runs.
+All cells of a sweep see the totals of contexts, classes and root that the sweep before left.
+
+Counts cover all training texts.  Texts are cut into blocks; words and contexts are dealt
+into parts by hash.  A block asks each part for its pairs of context and word, a part asks
+the owners of its contexts for their tables, and both get back only what they asked for.
 """
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import as_bytes
 from corpusloom.llm.wordhash import U, hasher
-from corpusloom.session import write_through
+from corpusloom.session import discard, write_through
 
-CONTEXTS = 16  # 0 is the start of a text, the rest are classes of the last two bytes before
+CLASSES = 16  # 0 is the start of a text, the rest are classes of the last two bytes before
 END = np.array([0x1F83D9ABFB41BD6B], U)
 SWEEPS, BURN_IN = 6, 2
 STRENGTH = 1.0
 ADD = 0.1  # of the base score
-#: Bytes of text in a block, which one task scores at a time.
-BLOCK_BYTES = 16 << 20
-#: Tokens that a task holds before it adds them up.
-HELD_TOKENS = 3_000_000
-
-_CELL = np.dtype([("context", "u1"), ("n", "<u4")])
-_SHARE = np.dtype([("context", "u1"), ("p", "<f4")])
-_BLOCK = np.dtype("<u4")
+#: Bytes of text in a block, which one task scores at a time, and for each part of the words.
+BLOCK_BYTES, PART_BYTES = 8 << 20, 4 << 20
+#: Customers of a cell whose tables are drawn exactly.
+EXACT = 64
+#: Runs in which the customers of larger cells are moved.
+RUNS = 32
+#: Records of a state in one row.
+ROW_RECORDS = 250_000
+
+_PAIR = np.dtype([("word", "<u8"), ("context", "<u8"), ("n", "<u4")])
+_CELL = np.dtype([("word", "<u8"), ("context", "<u8"), ("n", "<u4"), ("t", "<u4"), ("sum", "<u4")])
+_WORD = np.dtype([("word", "<u8"), ("s", "<u4", CLASSES), ("p", "<f4", CLASSES)])
+_CONTEXT = np.dtype([("context", "<u8"), ("n", "<u8"), ("t", "<u8")])
+_ANSWER = np.dtype([("n", "<u4"), ("p", "<f4")])
+ASK, CELLS, WORDS, CONTEXTS, SUMS, REPLY, TOTAL = range(7)
+_EMPTY = {"part": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "source": pa.array([], pa.int64()),
+          "data": pa.array([], pa.binary())}
+_ROW = "part long, kind int, source long, data binary"
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes (words and one end per text), contexts, and each text's first token."""
+    """Token hashes (words and one end per text), contexts, and each text's first token.
+
+    A context is the hash of the whole word before with its class in the last four bits.
+    """
     _, _, hashes, tails, begins = hasher().pieces(texts, (-2,))
     n, counts = len(texts), np.diff(begins)
     firsts = begins + np.arange(n + 1)
     words = np.empty(len(hashes) + n, U)
-    contexts = np.zeros(len(words), np.uint8)
+    contexts = np.zeros(len(words), U)
     ends = firsts[1:] - 1
     inner = np.ones(len(words), bool)
     inner[ends] = False
     words[ends] = END
     words[inner] = hashes
-    classes = (tails >> U(7)) % U(CONTEXTS - 1) + U(1)
+    classes = (tails >> U(7)) % U(CLASSES - 1) + U(1)
     after = np.flatnonzero(inner) + 1  # the token behind each word
-    contexts[after] = classes.astype(np.uint8)
+    contexts[after] = hashes & ~U(CLASSES - 1) | classes
     assert counts.sum() == len(hashes)
     return words, contexts, firsts
 
 
-def _packed(owners: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
-    """Binary cells: the records of each owner (sorted), joined."""
-    offsets = np.searchsorted(owners, np.arange(n + 1)) * values.dtype.itemsize
-    return pa.Array.from_buffers(
-        pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values.tobytes())])
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> U(20)) % U(parts)).astype(np.int64)
 
 
-def _unpacked(column: pa.Array, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """Owners and records of binary cells."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    sizes = np.diff(offsets) // dtype.itemsize
-    return np.repeat(np.arange(len(column)), sizes), np.frombuffer(data.tobytes(), dtype)
+def _class(contexts: np.ndarray) -> np.ndarray:
+    return (contexts & U(CLASSES - 1)).astype(np.int64)
 
 
-def _word_rows(names: np.ndarray, owners: np.ndarray, cells: np.ndarray, block_owners: np.ndarray, blocks: np.ndarray):
+def _added(words: np.ndarray, contexts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs with their counts, sorted by word and context, and each token's pair."""
+    names, owner = np.unique(words, return_inverse=True)
+    before, place = np.unique(contexts, return_inverse=True)
+    keys, inverse = np.unique(owner * max(len(before), 1) + place, return_inverse=True)
+    out = np.empty(len(keys), _PAIR)
+    out["word"], out["context"] = names[keys // max(len(before), 1)], before[keys % max(len(before), 1)]
+    out["n"] = np.minimum(np.bincount(inverse, n, len(keys)), 2**32 - 1)
+    return out, inverse
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    part, kind, source, data = zip(*rows)
     return pa.record_batch(
-        [pa.array(names.view(np.int64)), _packed(owners, cells, len(names)), _packed(block_owners, blocks, len(names))],
-        names=["word", "cells", "blocks"])
-
-
-def _added(owner: np.ndarray, context: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cells summed by (owner, context), sorted by owner."""
-    keys, inverse = np.unique(owner.astype(np.int64) * 256 + context, return_inverse=True)
-    cells = np.empty(len(keys), _CELL)
-    cells["context"] = keys % 256
-    cells["n"] = np.minimum(np.bincount(inverse, n, len(keys)), 2**32 - 1)
-    return keys // 256, cells
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of a task with their training cells and the blocks that hold them."""
-    held: list[tuple] = []
-    size = 0
-
-    def flush():
-        words, contexts, blocks, train = (np.concatenate(c) for c in zip(*held))
-        names, owner = np.unique(words, return_inverse=True)
-        owners, cells = _added(owner[train], contexts[train], np.ones(int(train.sum())))
-        asked = np.unique(owner.astype(np.int64) << 32 | blocks.astype(np.int64))
-        rows = _word_rows(names, owners, cells, asked >> 32, (asked & 0xFFFFFFFF).astype(_BLOCK))
-        held.clear()
-        return rows
+        [pa.array(part, pa.int64()), pa.array(kind, pa.int32()), pa.array(source, pa.int64()), pa.array(data, pa.binary())],
+        names=["part", "kind", "source", "data"])
 
+
+def _bytes(records: np.ndarray) -> bytes:
+    """Records field by field, which packs well."""
+    return b"".join(np.ascontiguousarray(records[name]).tobytes() for name in records.dtype.names)
+
+
+def _records(data: bytes, dtype: np.dtype) -> np.ndarray:
+    out = np.empty(len(data) // dtype.itemsize, dtype)
+    at = 0
+    for name in dtype.names:
+        size = len(out) * dtype[name].itemsize
+        out[name] = np.frombuffer(data[at : at + size], dtype[name].base).reshape(out[name].shape)
+        at += size
+    return out
+
+
+def _dealt(records: np.ndarray, key: str, parts: int, kind: int, source: int) -> list[tuple]:
+    """One row per part that owns some of the records."""
+    part = _part(records[key], parts)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    return [(p, kind, source, _bytes(records[order[cuts[p] : cuts[p + 1]]])) for p in np.unique(part).tolist()]
+
+
+def _read(table: pa.Table, kind: int, dtype: np.dtype) -> np.ndarray:
+    """The records of all rows of a kind, by source."""
+    chosen = sorted(
+        (s, d) for k, s, d in zip(*(table.column(c).to_pylist() for c in ("kind", "source", "data"))) if k == kind)
+    return np.concatenate([np.empty(0, dtype), *(_records(d, dtype) for _, d in chosen)])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with the number of their block; blocks are runs of a task's texts."""
+    block, size = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            words, contexts, firsts = tokens([as_bytes(t) for t in part.column(2).to_pylist()])
-            sizes = np.diff(firsts)
-            blocks = np.repeat(part.column(0).to_numpy(zero_copy_only=False).astype(np.uint32), sizes)
-            train = np.repeat(part.column(1).to_numpy(zero_copy_only=False), sizes)
-            held.append((words, contexts, blocks, train))
-            size += len(words)
-            if size >= HELD_TOKENS:
-                yield flush()
-                size = 0
-    if held:
-        yield flush()
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by word, those of one word made one; words without training cells go."""
-    carry = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch] if carry is None else [carry, batch]).combine_chunks()
-        whole = table.to_batches()[0] if table.num_rows else None
-        if whole is None:
-            continue
-        words = whole.column(0).to_numpy()
-        # the last word may go on in the next batch; its rows so far are added up
-        cut = int(np.searchsorted(words, words[-1]))
-        done, carry = whole.slice(0, cut), _merged(whole.slice(cut), keep_all=True)
-        if done.num_rows:
-            yield _merged(done)
-    if carry is not None:
-        yield _merged(carry)
-
-
-def _merged(batch: pa.RecordBatch, keep_all: bool = False) -> pa.RecordBatch:
-    names, owner = np.unique(batch.column(0).to_numpy(), return_inverse=True)
-    rows, cells = _unpacked(batch.column(1), _CELL)
-    owners, summed = _added(owner[rows], cells["context"], cells["n"])
-    rows, blocks = _unpacked(batch.column(2), _BLOCK)
-    asked = np.unique(owner[rows].astype(np.int64) << 32 | blocks.astype(np.int64))
-    asker, blocks = asked >> 32, (asked & 0xFFFFFFFF).astype(_BLOCK)
-    if not keep_all:
-        known = np.zeros(len(names), bool)
-        known[owners] = True
-        place = np.cumsum(known) - 1
-        asker, blocks = place[asker[known[asker]]], blocks[known[asker]]
-        names, owners = names[known], place[owners]
-    return _word_rows(names.view(U), owners, summed, asker, blocks)
+        numbers = []
+        for length in (len(as_bytes(t)) for t in batch.column(2).to_pylist()):
+            if size and size + length > BLOCK_BYTES:
+                block, size = block + 1, 0
+            size += length
+            numbers.append(block)
+        yield pa.record_batch([pa.array(numbers, pa.int64()), *batch.columns], names=["block", *batch.schema.names])
+
+
+def _count(parts: int):
+    """What each block asks of each part: its pairs, with their counts in training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
+
+        def flush():
+            pairs, _ = _added(*(np.concatenate(c) for c in zip(*held)))
+            held.clear()
+            return _rows(_dealt(pairs, "word", parts, ASK, now))
+
+        for batch in batches:
+            blocks, train = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for block, first, upto in zip(*_runs(blocks)):
+                if held and block != now:
+                    yield flush()
+                now = block
+                for at in range(first, upto, 512):
+                    end = min(at + 512, upto)
+                    words, contexts, firsts = tokens([as_bytes(t) for t in batch.column(2).slice(at, end - at).to_pylist()])
+                    held.append((words, contexts, np.repeat(train[at:end].astype(float), np.diff(firsts))))
+        if held:
+            yield flush()
+
+    return run
 
 
 class Totals:
-    """Customers, tables and discounts of the restaurants."""
-
-    def __init__(self, customers, kinds, ones, twos, words):
-        self.customers, self.words = customers, words
-        self.discount = np.where((ones > 0) & (twos > 0), ones / np.maximum(ones + 2 * twos, 1), 0.5)
-        self.tables = kinds.astype(float)  # at first one table per word and context
-        self.root_discount = 0.5
-        self.all = float(customers.sum())
-
-    def after(self, tables: np.ndarray, ones: float, twos: float) -> Totals:
-        out = object.__new__(Totals)
-        out.__dict__.update(self.__dict__)
-        out.tables = tables
-        out.root_discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-        return out
+    """Customers, tables and discounts of the classes and the root, and the contexts' discounts."""
 
-    @property
-    def root_customers(self) -> float:
-        return float(self.tables.sum())
+    def __init__(self, sums: np.ndarray):
+        cells, at_class = sums[:48].reshape(3, CLASSES), sums[48:112].reshape(4, CLASSES)
+        self.all, self.words = float(cells[0].sum()), float(sums[112])
+        self.context_discount = _discount(*cells[1:])
+        self.customers, self.tables = at_class[:2]
+        self.discount = _discount(*at_class[2:])
+        self.root_discount = float(_discount(*sums[113:115]))
 
     @property
     def new_word(self) -> float:
         """Probability at the root of a word never seen."""
-        return (STRENGTH + self.root_discount * self.words) / (STRENGTH + self.root_customers)
+        return (STRENGTH + self.root_discount * self.words) / (STRENGTH + self.tables.sum())
 
     @property
     def back_off(self) -> np.ndarray:
-        """Share of every context that its parent decides."""
+        """Share of every class that the root decides."""
         return (STRENGTH + self.discount * self.tables) / (STRENGTH + self.customers)
 
+    def root(self, tables: np.ndarray) -> np.ndarray:
+        """Probability at the root of words with so many tables in the classes."""
+        seen = (tables - self.root_discount) / (STRENGTH + self.tables.sum())
+        return np.where(tables > 0, seen, self.new_word)
+
+
+def _discount(ones, twos):
+    """From the numbers of cells with one and with two customers."""
+    known = (ones > 0) & (twos > 0)
+    return np.clip(np.where(known, ones / np.maximum(ones + 2 * twos, 1), 0.5), 0.02, 0.98)
+
+
+@lru_cache(maxsize=256)
+def _ways(discount: float) -> np.ndarray:
+    """Logarithms of the weights of n customers at t tables (generalised Stirling numbers)."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[1, 1] = 0
+    t = np.arange(1, EXACT + 1)
+    for n in range(1, EXACT):
+        with np.errstate(divide="ignore"):
+            stay = np.log(np.maximum(n - discount * t, 1e-300)) + out[n, 1:]
+        out[n + 1, 1:] = np.logaddexp(out[n, :-1], stay)
+    return out
 
-def seat(context: np.ndarray, n: np.ndarray, owner: np.ndarray, words: int, totals: Totals, rng) -> np.ndarray:
-    """Tables of every cell (a word in a context), drawn by seating its customers in turn.
 
-    The first customers are seated one by one; later ones in doubling runs, whose new
-    tables are Poisson with the rate that the open tables and the parent's probability
-    give at the run's middle.
+def _alone(n: np.ndarray, t: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Expected tables with one customer among t tables of n customers.
+
+    Table sizes are tilted Sibuya numbers; the tilt x = 1 - exp(-z) makes their mean n / t.
     """
-    kinds = np.bincount(owner, minlength=words)
-    at_root = np.maximum(kinds, 1) - totals.root_discount
-    parent = (at_root / (STRENGTH + max(totals.root_customers, 1)))[owner]
-    d = totals.discount[context]
-    pull = (STRENGTH + d * totals.tables[context]) * parent
-    tables = np.ones(len(n))
-    i = 1
-    while True:
-        live = np.flatnonzero(n > i)
-        if not len(live):
-            return tables.astype(np.int64)
-        t, a = tables[live], pull[live]
-        if i < 8:
-            tables[live] += rng.random(len(live)) * (a + i - d[live] * t) < a
-            i += 1
-        else:
-            upto = np.minimum(2.0 * i, n[live])
-            low = np.maximum(i - d[live] * t, 0.1)
-            rate = a * np.log((upto - d[live] * t + a) / (low + a)).clip(0)
-            tables[live] += np.minimum(rng.poisson(rate), upto - i)
-            i *= 2
-
-
-def _drawn(batch: pa.RecordBatch, totals: Totals, sweep: int):
-    """Cells of a batch of words with their tables in one sweep; the same each time it is asked."""
-    owner, cells = _unpacked(batch.column(1), _CELL)
-    context, n = cells["context"].astype(np.int64), cells["n"].astype(float)
-    first = int(batch.column(0)[0].as_py()) if batch.num_rows else 0
-    rng = np.random.default_rng([sweep, first & (2**63 - 1)])
-    return owner, context, n, seat(context, n, owner, batch.num_rows, totals, rng)
-
-
-def _rebatch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            yield batch
+    low, high = np.full(len(n), 1e-9), np.full(len(n), 700.0)
+    for _ in range(60):
+        z = np.sqrt(low * high)
+        mean = d * -np.expm1(-z) * np.exp((1 - d) * z) / -np.expm1(-d * z)
+        more = mean * t < n
+        low, high = np.where(more, z, low), np.where(more, high, z)
+    return np.minimum((t - 1) * d * -np.expm1(-z) / -np.expm1(-d * z), n)
 
 
-def _sums(packed, sweep: int):
-    """One row per task: sums of the counts (sweep 0) or of a sweep's tables by context."""
+def reseat(n: np.ndarray, t: np.ndarray, others: np.ndarray, d: np.ndarray, p: np.ndarray, rng) -> np.ndarray:
+    """Tables of cells with n customers, drawn anew from the state with t tables.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((4, CONTEXTS))
-        words = ones = twos = 0
-        for batch in _rebatch(batches):
-            words += batch.num_rows
-            if sweep:
-                owner, context, n, tables = _drawn(batch, packed.value, sweep)
-                sums[0] += np.bincount(context, tables, CONTEXTS)
-                at_root = np.bincount(owner, tables, batch.num_rows)
-                ones, twos = ones + int((at_root == 1).sum()), twos + int((at_root == 2).sum())
-            else:
-                _, cells = _unpacked(batch.column(1), _CELL)
-                context, n = cells["context"], cells["n"]
-                for k, x in enumerate((n, np.ones(len(n)), n == 1, n == 2)):
-                    sums[k] += np.bincount(context, x, CONTEXTS)
-        values = [*sums.ravel().tolist(), float(words), float(ones), float(twos)]
-        yield pa.record_batch([pa.array([values], pa.list_(pa.float64()))], names=["sums"])
+    ``others`` counts the tables of other words in the restaurant, ``d`` is its discount and
+    ``p`` the parent's probability of the word, given the word's other tables.
+    """
+    n, t, p = n.astype(np.int64), t.astype(np.int64), np.maximum(p, 1e-300)
+    out = np.minimum(np.maximum(t, 1), n)
+    rates, rate_of = np.unique(d, return_inverse=True)
+    ways = np.stack([_ways(float(x)) for x in rates]) if len(rates) else None
+    small = np.flatnonzero((n > 1) & (n <= EXACT))
+    small = small[np.argsort(n[small], kind="stable")]
+    for size, at, upto in zip(*_runs(n[small])):
+        for k in range(at, upto, 2_000_000 // size):
+            rows = small[k : min(k + 2_000_000 // size, upto)]
+            opened = STRENGTH + d[rows, None] * (others[rows, None] + np.arange(1, size))
+            weight = ways[rate_of[rows], size, 1 : size + 1]
+            weight[:, 1:] += np.cumsum(np.log(opened * p[rows, None]), 1)
+            share = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
+            out[rows] = 1 + (share < rng.random(len(rows))[:, None] * share[:, -1:]).sum(1)
+    large = np.flatnonzero(n > EXACT)
+    if len(large):
+        n, d, others, p, now = n[large], d[large], others[large], p[large], out[large]
+        for k in range(RUNS):
+            moved = n * (k + 1) // RUNS - n * k // RUNS
+            rest = np.maximum(now - 1, 1)
+            leave = rng.binomial(now - 1, np.clip(moved / (n - moved / 2) * _alone(n, now, d) / rest, 0, 1))
+            opens = (STRENGTH + d * (others + now)) * p
+            now = np.clip(now - leave + rng.binomial(moved, opens / (opens + n - moved / 2 - d * now)), 1, n)
+        out[large] = now
+    return out
+
+
+def _runs(values: np.ndarray) -> tuple[list, list, list]:
+    """Distinct sorted values with the places where each begins and ends."""
+    names, firsts = np.unique(values, return_index=True)
+    return names.tolist(), firsts.tolist(), [*firsts[1:].tolist(), len(values)]
+
+
+class _State:
+    """A part's cells, words and the contexts they need, all sorted."""
+
+    def __init__(self, cells: np.ndarray, words: np.ndarray, contexts: np.ndarray):
+        self.cells, self.words, self.contexts = cells.copy(), words.copy(), contexts.copy()
+        self.owner = np.searchsorted(self.words["word"], self.cells["word"])
+        self.place = np.searchsorted(self.contexts["context"], self.cells["context"])
+        self.kind = _class(self.cells["context"])
+
+    @classmethod
+    def begun(cls, pairs: np.ndarray) -> _State:
+        """One table per word and context, and per word and class."""
+        asked = np.unique(pairs["context"])
+        pairs, _ = _added(pairs["word"], pairs["context"], pairs["n"])
+        pairs = pairs[pairs["n"] > 0]
+        cells = np.zeros(len(pairs), _CELL)
+        cells["word"], cells["context"], cells["n"], cells["t"] = pairs["word"], pairs["context"], pairs["n"], 1
+        names = np.unique(cells["word"])
+        words, contexts = np.zeros(len(names), _WORD), np.zeros(len(asked), _CONTEXT)
+        words["word"], contexts["context"] = names, asked
+        out = cls(cells, words, contexts)
+        out.words["s"] = out.at_classes(out.cells["t"]) > 0
+        return out
+
+    @classmethod
+    def read(cls, table: pa.Table) -> _State:
+        return cls(_read(table, CELLS, _CELL), _read(table, WORDS, _WORD), _read(table, CONTEXTS, _CONTEXT))
+
+    def at_classes(self, values: np.ndarray) -> np.ndarray:
+        """Cells' values summed by word and class."""
+        size = len(self.words) * CLASSES
+        return np.bincount(self.owner * CLASSES + self.kind, values, size)[:size].reshape(-1, CLASSES)
+
+    def sample(self, totals: Totals, tables: np.ndarray) -> None:
+        """Add the present seating to the sums that the predictions are made of."""
+        self.cells["sum"] += self.cells["t"]
+        self.contexts["t"] += tables.astype(np.uint64)
+        m, s = self.at_classes(self.cells["t"]), self.words["s"].astype(float)
+        own = np.maximum(m - totals.discount * s, 0) / (STRENGTH + totals.customers)
+        self.words["p"] += own + totals.back_off * totals.root(s.sum(1))[:, None]
+
+    def sweep(self, totals: Totals, tables: np.ndarray, rng) -> None:
+        """Seat all customers again: those of contexts given the classes, then those of classes given the root."""
+        t, s = self.cells["t"].astype(np.int64), self.words["s"].astype(float)
+        m = self.at_classes(t)
+        root = totals.root(s.sum(1))
+        # the cell's other customers at the parent, and the one that its first table has sent
+        rest = m[self.owner, self.kind] - t + 1
+        open_tables = np.minimum(s[self.owner, self.kind], rest)
+        p = (rest - totals.discount[self.kind] * open_tables) / (STRENGTH + totals.customers[self.kind])
+        p = p + totals.back_off[self.kind] * root[self.owner]
+        others = np.maximum(tables[self.place] - t, 0)
+        self.cells["t"] = reseat(self.cells["n"], t, others, totals.context_discount[self.kind], p, rng)
+        m = self.at_classes(self.cells["t"])
+        owner, kind = np.nonzero(m)
+        before = s[owner, kind]
+        p = totals.root(np.maximum(s.sum(1)[owner] - before, 0) + 1)
+        others = np.maximum(totals.tables[kind] - before, 0)
+        self.words["s"][owner, kind] = reseat(m[owner, kind], before, others, totals.discount[kind], p, rng)
+
+    def rows(self, part: int, parts: int) -> list[tuple]:
+        """The state, what its cells add to their contexts, and its sums by class."""
+        out = [(part, kind, at, _bytes(records[at : at + ROW_RECORDS]))
+               for kind, records in ((CELLS, self.cells), (WORDS, self.words), (CONTEXTS, self.contexts))
+               for at in range(0, len(records), ROW_RECORDS)]
+        sent = self.contexts.copy()
+        sent["n"] = np.bincount(self.place, self.cells["n"], len(sent))
+        sent["t"] = np.bincount(self.place, self.cells["t"], len(sent))
+        out += _dealt(sent, "context", parts, SUMS, part)
+        n, m, s = self.cells["n"], self.at_classes(self.cells["t"]), self.words["s"].astype(np.int64)
+        cells = [np.bincount(self.kind, x, CLASSES) for x in (n, n == 1, n == 2)]
+        classes = [x.sum(0) for x in (m, s, m == 1, m == 2)]
+        root = s.sum(1)
+        sums = [*cells, *classes, [len(root), (root == 1).sum(), (root == 2).sum()]]
+        out.append((part, TOTAL, 0, np.concatenate(sums).astype("<f8").tobytes()))
+        return out
+
+
+def _begin(parts: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_rows(_State.begun(_read(table, ASK, _PAIR)).rows(key[0].as_py(), parts))])
 
     return run
 
 
-def _answers(packed):
-    """Per block and word: the training count, the root's probability and the shares of its contexts."""
+def _reply(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Customers and tables of the part's contexts, to each part that has cells in them."""
+    kinds = table.column("kind").to_numpy()
+    parts = table.column("source").to_numpy()[kinds == SUMS]
+    sent = [_records(d, _CONTEXT) for d in table.column("data").filter(pa.array(kinds == SUMS)).to_pylist()]
+    flat = np.concatenate(sent)
+    names, owner = np.unique(flat["context"], return_inverse=True)
+    added = np.zeros(len(names), _CONTEXT)
+    added["context"] = names
+    for c in ("n", "t"):
+        added[c] = np.bincount(owner, flat[c], len(names))
+    own = np.split(owner, np.cumsum([len(x) for x in sent])[:-1])
+    return pa.Table.from_batches(
+        [_rows([(p, REPLY, key[0].as_py(), _bytes(added[o])) for p, o in zip(parts.tolist(), own)])])
+
+
+def _told(table: pa.Table, state: _State) -> np.ndarray:
+    """The replies in the order of the state's contexts."""
+    told = _read(table, REPLY, _CONTEXT)
+    return told[np.argsort(told["context"])]
+
+
+def _sweep(packed, parts: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        totals, sweep, burn_in = packed.value
+        part = key[0].as_py()
+        state = _State.read(table)
+        tables = _told(table, state)["t"].astype(float)
+        if sweep - 1 > burn_in:
+            state.sample(totals, tables)
+        state.sweep(totals, tables, np.random.default_rng([sweep, part]))
+        return pa.Table.from_batches([_rows(state.rows(part, parts))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        samples = packed.value
-        for batch in _rebatch(batches):
-            for at in range(0, batch.num_rows, 20_000):
-                part = batch.slice(at, 20_000)
-                root = np.zeros(part.num_rows)
-                owner, context, n, _ = _drawn(batch, samples[0][1], samples[0][0])
-                here = (owner >= at) & (owner < at + part.num_rows)
-                share = np.zeros(int(here.sum()))
-                for sweep, before, after in samples:
-                    owner, context, n, tables = _drawn(batch, before, sweep)
-                    owner, context, n, tables = owner[here] - at, context[here], n[here], tables[here]
-                    at_root = np.bincount(owner, tables, part.num_rows)
-                    root += (at_root - after.root_discount) / (STRENGTH + after.root_customers)
-                    share += (n - after.discount[context] * tables) / (STRENGTH + after.customers[context])
-                shares = np.empty(len(share), _SHARE)
-                shares["context"], shares["p"] = context, share / len(samples)
-                counts = np.bincount(owner, n, part.num_rows).astype(np.int64)
-                rows, blocks = _unpacked(part.column(2), _BLOCK)
-                texts = np.asarray(_packed(owner, shares, part.num_rows).to_pylist(), object)
-                for k in range(0, len(rows), 100_000):
-                    r = rows[k : k + 100_000]
-                    yield pa.record_batch(
-                        [pa.array(blocks[k : k + 100_000].astype(np.int64)), part.column(0).take(pa.array(r)),
-                         pa.array(counts[r]), pa.array(root[r] / len(samples)), pa.array(texts[r].tolist(), pa.binary())],
-                        names=["block", "word", "n", "root", "shares"])
+    return run
+
+
+def _answer(packed):
+    """Per block the probabilities of the pairs it asked for, in their order, and the words' training counts."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        totals, samples, new, _ = packed.value
+        state = _State.read(table)
+        told = _told(table, state)
+        state.sample(totals, told["t"].astype(float))
+        count = np.bincount(state.owner, state.cells["n"], len(state.words)).astype(np.int64)
+        customers, tables = told["n"].astype(float), state.contexts["t"] / samples
+        names, order = state.words["word"], np.argsort(table.column("kind").to_numpy(), kind="stable")
+        cell_key = state.owner * max(len(told), 1) + state.place  # sorted like the cells
+        out = []
+        kinds, sources, data = (table.column(c) for c in ("kind", "source", "data"))
+        rows = order[: int((kinds.to_numpy() == ASK).sum())].tolist()
+        of_block: dict[int, list[int]] = {}
+        for row in rows:
+            of_block.setdefault(sources[row].as_py(), []).append(row)
+        for block, rows in of_block.items():
+            asked = _records(data[rows[0]].as_py(), _PAIR)
+            if len(rows) > 1:  # a block that two tasks have read
+                asked = np.concatenate([_records(data[row].as_py(), _PAIR) for row in rows])
+                asked, _ = _added(asked["word"], asked["context"], asked["n"])
+            kind, place = _class(asked["context"]), np.searchsorted(told["context"], asked["context"])
+            owner = np.minimum(np.searchsorted(names, asked["word"]), max(len(names) - 1, 0))
+            known = names[owner] == asked["word"] if len(names) else np.zeros(len(asked), bool)
+            p = np.where(known, state.words["p"][owner, kind] / samples, new[kind]) if len(names) else new[kind]
+            d = totals.context_discount[kind]
+            p = p * (STRENGTH + d * tables[place]) / (STRENGTH + customers[place])
+            if len(cell_key):
+                wanted = owner * max(len(told), 1) + place
+                spot = np.minimum(np.searchsorted(cell_key, wanted), len(cell_key) - 1)
+                cell = state.cells[spot]
+                own = np.maximum(cell["n"] - d * (cell["sum"] / samples), 0) / (STRENGTH + customers[place])
+                p = p + np.where(known & (cell_key[spot] == wanted), own, 0)
+            records = np.empty(len(asked), _ANSWER)
+            records["p"] = p
+            records["n"] = np.minimum(np.where(known, count[owner], 0), 2**32 - 1) if len(names) else 0
+            out.append((block, ASK, key[0].as_py(), _bytes(records)))
+        return pa.Table.from_batches([_rows(out)]) if out else pa.table(_EMPTY)
 
     return run
 
 
-def _score(packed):
+def _score(packed, parts: int):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        model = packed.value
-        order = np.argsort(right.column("word").to_numpy(), kind="stable")
-        words = right.column("word").to_numpy()[order]
-        counts, root = right.column("n").to_numpy()[order], right.column("root").to_numpy()[order]
-        shares_column = right.column("shares").combine_chunks()
-        if isinstance(shares_column, pa.ChunkedArray):
-            shares_column = pa.concat_arrays(shares_column.chunks) if shares_column.num_chunks else pa.array([], pa.binary())
-        owner, cells = _unpacked(shares_column, _SHARE)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        pair = rank[owner] * CONTEXTS + cells["context"] if len(owner) else np.zeros(0, np.int64)
-        by = np.argsort(pair)
-        pair, p_of = pair[by], cells["p"].astype(float)[by]
-        out: list[list] = [[] for _ in range(4)]
-        texts = left.column("text")
-        for at in range(0, left.num_rows, 256):
-            hashes, contexts, firsts = tokens([as_bytes(t) for t in texts.slice(at, 256).to_pylist()])
-            hashes = hashes.view(np.int64)
-            place = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
-            known = words[place] == hashes if len(words) else np.zeros(len(hashes), bool)
-            c = np.where(known, counts[place], 0) if len(words) else np.zeros(len(hashes))
-            p = np.where(known, root[place], model["new"]) if len(words) else np.full(len(hashes), model["new"])
-            p = p * model["back_off"][contexts]
-            if len(pair):
-                wanted = place * CONTEXTS + contexts
-                spot = np.minimum(np.searchsorted(pair, wanted), len(pair) - 1)
-                p += np.where(known & (pair[spot] == wanted), p_of[spot], 0.0)
-            logs = np.log10(np.maximum(p, 1e-300))
-            base = np.log10((c + ADD) / (model["tokens"] + ADD * (model["words"] + 1)))
-            cuts = firsts[:-1]
-            out[0] += np.diff(firsts).tolist()
-            out[1] += np.add.reduceat(known.astype(np.int64), cuts).tolist()
-            out[2] += np.add.reduceat(base, cuts).tolist()
-            out[3] += np.add.reduceat(logs, cuts).tolist()
+        totals = packed.value[0]
+        held, texts = [], left.column("text")
+        for at in range(0, left.num_rows, 512):
+            words, contexts, firsts = tokens([as_bytes(t) for t in texts.slice(at, 512).to_pylist()])
+            held.append((words, contexts, np.diff(firsts)))
+        words, contexts, sizes = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        pairs, pair = _added(words, contexts, np.ones(len(words)))
+        told = np.empty(len(pairs), _ANSWER)  # a block has an answer for each of its pairs
+        told[np.argsort(_part(pairs["word"], parts), kind="stable")] = _read(right, ASK, _ANSWER)
+        base = np.log10((told["n"] + ADD) / (totals.all + ADD * (totals.words + 1)))
+        logs = np.log10(np.maximum(told["p"].astype(float), 1e-300))
+        cuts = np.cumsum(sizes) - sizes
+        out = [sizes, *(np.add.reduceat(x[pair], cuts) for x in ((told["n"] > 0).astype(np.int64), base, logs))]
         n = left.num_rows
         return pa.table(
             [left.column("id"), left.column("train"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
-             pa.array([int(model["tokens"])] * n, pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64())],
+             pa.array([int(totals.all)] * n, pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64())],
             names=["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
+def _collect(spark) -> None:
+    """Shuffle files of past jobs go when the driver collects its garbage; states would pile up until then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column: str = "text",
           sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> DataFrame:
     """Learn from the rows for which ``train`` holds and score all rows.
@@ -350,42 +487,51 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks = max(1, math.ceil(total / BLOCK_BYTES))
+    parts = max(1, math.ceil(total / PART_BYTES))
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(
         F.col(id_column).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), text.alias("text"))
-    # texts are dealt by id and length, copies of one text by their ids
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(blocks)).cast("long"))
-
-    word_rows = "word long, cells binary, blocks binary"
-    counted = rows.select("block", "train", "text").mapInArrow(_count, word_rows)
-    sorted_words = counted.repartition("word").sortWithinPartitions("word")
-    words = write_through(sorted_words.mapInArrow(_merge, word_rows), "words")
-
-    def sums(totals, sweep: int) -> np.ndarray:
-        packed = spark.sparkContext.broadcast(totals)  # a few numbers per restaurant
-        parts = words.mapInArrow(_sums(packed, sweep), "sums array<double>")
-        size = 4 * CONTEXTS + 3
-        added = parts.agg(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(size)]).first()
-        return np.array([x or 0.0 for x in added])
-
-    got = sums(None, 0)
-    totals = Totals(*got[: 4 * CONTEXTS].reshape(4, CONTEXTS), got[-3])
-    states = [totals]
+    # blocks follow from the partitions, which must not change between the passes
+    rows = write_through(rows.mapInArrow(_cut, f"block long, id {kind}, train boolean, text string"), "blocks")
+    asks = rows.select("block", "train", "text").mapInArrow(_count(parts), _ROW)
+    state = write_through(asks.groupBy("part").applyInArrow(_begin(parts), _ROW), "state")
+    _collect(spark)
+
+    def totals() -> Totals:
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(115)
+            for batch in batches:
+                for d in batch.column(0).to_pylist():
+                    sums += np.frombuffer(d, "<f8")
+            yield pa.record_batch([pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+        found = state.where(F.col("kind") == TOTAL).select("data").mapInArrow(read, "sums array<double>")
+        added = found.agg(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(115)]).first()
+        return Totals(np.array([x or 0.0 for x in added]))
+
+    def met(*more: DataFrame):
+        """The parts' states with the totals of the contexts they asked for."""
+        told = state.where(F.col("kind") == SUMS).groupBy("part").applyInArrow(_reply, _ROW)
+        out = state.where(F.col("kind").isin(CELLS, WORDS, CONTEXTS)).unionAll(told)
+        for table in more:
+            out = out.unionAll(table)
+        return out.groupBy("part")
+
+    seen = []
     for sweep in range(1, sweeps + 1):
-        got = sums(states[-1], sweep)
-        states.append(states[-1].after(got[:CONTEXTS], got[-2], got[-1]))
-    samples = [(k, states[k - 1], states[k]) for k in range(burn_in + 1, sweeps + 1)]
-    mean = lambda values: reduce(lambda a, b: a + b, values) / len(samples)
-    model = spark.sparkContext.broadcast({
-        "new": mean([after.new_word for _, _, after in samples]),
-        "back_off": mean([after.back_off for _, _, after in samples]),
-        "tokens": totals.all, "words": totals.words,
-    })
-    answers = words.mapInArrow(
-        _answers(spark.sparkContext.broadcast(samples)), "block long, word long, n long, root double, shares binary")
+        seen.append(totals())
+        packed = spark.sparkContext.broadcast((seen[-1], sweep, burn_in))  # a few numbers per class
+        last, state = state, write_through(met().applyInArrow(_sweep(packed, parts), _ROW), "state")
+        discard(last)
+        _collect(spark)
+    seen.append(totals())
+    new = np.mean([x.back_off * x.new_word for x in seen[burn_in + 1 :]], 0)
+    packed = spark.sparkContext.broadcast((seen[-1], sweeps - burn_in, new, None))
+    answers = write_through(met(asks).applyInArrow(_answer(packed), _ROW), "answers")
+    discard(state)
+    _collect(spark)
     result = f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(model), result)
+    scored = rows.groupBy("block").cogroup(answers.groupBy("part")).applyInArrow(_score(packed, parts), result)
     return scored.select(
         F.col("id").alias(id_column), (~F.col("train")).alias("held_out"),
         "n_tokens", "n_known", "train_tokens", "base_score", "score")

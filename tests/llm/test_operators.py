@@ -428,3 +428,24 @@ def test_blocks_of_held_out_layouts():
             got = field.viterbi(field.emissions(htmltext.page_features(blocks)))
             wrong, total = wrong + sum(int(a) != b for a, b in zip(got, labels)), total + len(labels)
     assert total > 1000 and wrong <= 0.02 * total
+
+
+def test_hpylm_contexts_are_whole_words(spark):
+    """Words whose last two bytes agree keep histories of their own."""
+    texts = ["xxing aa", "yying bb"] * 30
+    asked = ["xxing aa", "xxing bb", "yying bb", "yying aa"]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, t) for k, t in enumerate(asked)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in hpylm.score(made, F.col("doc_id") < 1000).collect()}
+    assert got[1000] > got[1001] + 0.5 and got[1002] > got[1003] + 0.5
+
+
+def test_hpylm_of_many_parts(docs, monkeypatch):
+    """Dealing words and contexts into parts changes no count, and scores only as another draw does."""
+    train = F.pmod(F.col("doc_id"), F.lit(4)) != 0
+    one = sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.base_score, r.score) for r in hpylm.score(docs, train).collect())
+    monkeypatch.setattr(hpylm, "PART_BYTES", 40_000)
+    many = sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.base_score, r.score) for r in hpylm.score(docs, train).collect())
+    assert [x[:3] for x in one] == [x[:3] for x in many]
+    assert all(abs(a[3] - b[3]) < 1e-6 * max(1, abs(a[3])) for a, b in zip(one, many))
+    assert all(abs(a[4] - b[4]) < 0.05 * abs(a[4]) + 0.3 for a, b in zip(one, many))
