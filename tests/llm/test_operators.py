@@ -449,3 +449,22 @@ def test_hpylm_of_many_parts(docs, monkeypatch):
     assert [x[:3] for x in one] == [x[:3] for x in many]
     assert all(abs(a[3] - b[3]) < 1e-6 * max(1, abs(a[3])) for a, b in zip(one, many))
     assert all(abs(a[4] - b[4]) < 0.05 * abs(a[4]) + 0.3 for a, b in zip(one, many))
+
+
+def test_hpylm_seats_by_the_exact_distribution():
+    """Tables of a cell, moved on from sweep to sweep, against their exact distribution."""
+    rng, d, others = np.random.default_rng(1), 0.6, 300.0
+    ways = np.full((201, 201), -np.inf)
+    ways[1, 1] = 0
+    for n in range(1, 200):
+        ways[n + 1, 1:] = np.logaddexp(ways[n, :-1], np.log(np.maximum(n - d * np.arange(1, 201), 1e-300)) + ways[n, 1:])
+    for n, p in ((5, 0.1), (40, 0.05), (200, 0.02)):
+        t = np.arange(1, n + 1)
+        weight = ways[n, 1 : n + 1] + np.concatenate([[0], np.cumsum(np.log((1 + d * (others + t[:-1])) * p))])
+        share = np.exp(weight - weight.max())
+        mean = (share * t).sum() / share.sum()
+        spread = ((share * t * t).sum() / share.sum() - mean**2) ** 0.5
+        now = np.ones(2000, int)
+        for _ in range(12):
+            now = hpylm.reseat(np.full(2000, n), now, np.full(2000, others), np.full(2000, d), np.full(2000, p), rng)
+        assert abs(now.mean() - mean) < 0.03 * mean and abs(now.std() - spread) < 0.1 * spread
