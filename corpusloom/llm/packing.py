@@ -62,8 +62,9 @@ class ChunkEncoder:
         if new:
             if len(cache) + len(new) > CACHE_CHUNKS:
                 new = {c for chunks in cut for c in chunks}
-            # a word with marks behind it is the word's ids and the marks' ids
-            split = {c: m.groups() for c in new if (m := _LETTERS_THEN_MARKS.match(c))}
+            # an ASCII word with marks behind it is the word's ids and the marks' ids; elsewhere
+            # accents may join the marks and lower-casing may look at what follows
+            split = {c: m.groups() for c in new if c.isascii() and (m := _LETTERS_THEN_MARKS.match(c))}
             parts = {p.lower() for pair in split.values() for p in pair} if split else set()
             plain = {c for c in new if c not in split}
             self._learn([p for p in parts | plain if p not in cache or len(cache) + len(new) > CACHE_CHUNKS])

@@ -468,3 +468,12 @@ def test_hpylm_seats_by_the_exact_distribution():
         for _ in range(12):
             now = hpylm.reseat(np.full(2000, n), now, np.full(2000, others), np.full(2000, d), np.full(2000, p), rng)
         assert abs(now.mean() - mean) < 0.03 * mean and abs(now.std() - spread) < 0.1 * spread
+
+
+def test_chunks_are_coded_as_the_tokenizer_codes_texts():
+    from tokenizers import Tokenizer
+
+    tokenizer, coder = Tokenizer.from_file(tokenizer_path()), packing.ChunkEncoder(tokenizer_path())
+    texts = ["café", "un café, é!", "ΟΔΟΣ, ΟΔΟΣ.", "İ. Iİ, x", "Word, word. WORD!? it's", "ﬁn, Straße; ÀÉ… «x»"]
+    for text, ids in zip(texts, coder.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
