@@ -477,3 +477,11 @@ def test_chunks_are_coded_as_the_tokenizer_codes_texts():
     texts = ["café", "un café, é!", "ΟΔΟΣ, ΟΔΟΣ.", "İ. Iİ, x", "Word, word. WORD!? it's", "ﬁn, Straße; ÀÉ… «x»"]
     for text, ids in zip(texts, coder.encode(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_one_of_each_takes_out_rows_not_ids(spark):
+    near, clean = edited(BASE, 1, 77), prose(60, 901)
+    rows = [(None, near), (None, clean), (7, BASE), (3, prose(50, 902)), (9, prose(70, 903)), (9, prose(50, 902) + " end")]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [rows[k] for k in (1, 2, 3, 4)]
+    assert sorted((r.doc_id or -1, r.text) for r in kept) == sorted((i or -1, t) for i, t in want)
