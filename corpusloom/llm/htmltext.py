@@ -166,7 +166,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, float, bool]]:
 
 
 BUCKETS = 1 << 14
-WIDTH = 40  # features per block at most; ancestors nearest to the block come first
+WIDTH = 40  # of the arrays for training, unless a block has more features
 
 
 def _bucket(name: str) -> int:
@@ -190,17 +190,23 @@ def _features(block: tuple) -> list[int]:
         f"end:{text[-1] if text[-1] in '.!?:,;' else 'other'}",
         f"mark:{'©' in text}",
     ]
-    return [*[_bucket(n) for n in names], *_path_features(path)][:WIDTH]
+    return [*[_bucket(n) for n in names], *_path_features(path)]
 
 
 def page_features(blocks: list[tuple]) -> np.ndarray:
-    out = np.zeros((len(blocks), WIDTH), np.int64)  # bucket 0 has no weight
-    for k, block in enumerate(blocks):
-        own = _features(block)
+    """All features of the blocks, padded to the longest."""
+    found = [_features(block) for block in blocks]
+    out = np.zeros((len(blocks), max([WIDTH, *map(len, found)])), np.int64)  # bucket 0 has no weight
+    for k, own in enumerate(found):
         out[k, : len(own)] = own
     return out
 
 
+def emissions(blocks: list[tuple], field: ChainCrf) -> np.ndarray:
+    """Scores of the blocks from all their features; nothing is padded, as paths may be long."""
+    return np.fromiter((field.weights[_features(block)].sum() for block in blocks), float, len(blocks))
+
+
 # -- labelled pages ------------------------------------------------------------------------
 
 _SYLLABLES = "ka lo mi ten ra sel du por vi an est or".split()
@@ -322,10 +328,10 @@ def trained(pages: int = TRAINING_PAGES) -> ChainCrf:
         if len(clean) == len(labels) and labels:
             made.append((page_features(clean), labels))
     longest = max(len(labels) for _, labels in made)
-    features = np.zeros((len(made), longest, WIDTH), np.int64)
+    features = np.zeros((len(made), longest, max(own.shape[1] for own, _ in made)), np.int64)
     marks = np.zeros((len(made), longest), np.int64)
     for k, (own, labels) in enumerate(made):
-        features[k, : len(labels)], marks[k, : len(labels)] = own, labels
+        features[k, : len(labels), : own.shape[1]], marks[k, : len(labels)] = own, labels
     lengths = np.array([len(labels) for _, labels in made])
     field = ChainCrf(BUCKETS).fit(features, marks, lengths, epochs=80, rate=0.1, penalty=1e-5)
     field.weights[0] = 0
@@ -336,7 +342,7 @@ def main_text(page: str | None, field: ChainCrf) -> str:
     blocks = leaf_blocks(page or "")
     if not blocks:
         return ""
-    labels = field.viterbi(field.emissions(page_features(blocks)))
+    labels = field.viterbi(emissions(blocks, field))
     return "\n".join(block[0] for block, label in zip(blocks, labels) if label)
 
 

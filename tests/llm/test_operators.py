@@ -485,3 +485,15 @@ def test_one_of_each_takes_out_rows_not_ids(spark):
     kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [rows[k] for k in (1, 2, 3, 4)]
     assert sorted((r.doc_id or -1, r.text) for r in kept) == sorted((i or -1, t) for i, t in want)
+
+
+def test_all_features_of_a_block_count():
+    utility = " ".join(a + b for a in "abcdefgh" for b in "ijklmnop")
+    page = f'<div class="{utility}"><div class="sidebar widget"><p>some words of an advert</p></div></div>'
+    (block,) = htmltext.leaf_blocks(page)
+    field = htmltext.trained()
+    assert {htmltext._bucket(f"word:{w}") for w in ("sidebar", "widget")} <= set(htmltext._features(block))
+    assert np.allclose(field.emissions(htmltext.page_features([block])), htmltext.emissions([block], field))
+    article = "".join(f"<p>{prose(30, k)}.</p>" for k in range(4))
+    wrapped = htmltext.main_text(f'<div class="{utility}"><article>{article}</article><div class="sidebar widget"><p>Some words</p></div></div>', field)
+    assert wrapped.count("\n") == 3 and "Some words" not in wrapped
