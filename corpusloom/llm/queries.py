@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, exact_dedup, hpylm, htmltext, jaccard, langid, packing, sharding, toxicity, warc
+from corpusloom.llm import (
+    audit, decontam, exact_dedup, hpylm, htmltext, jaccard, langid, neardup, packing, sharding, toxicity, warc, zonemaps,
+)
 from corpusloom.llm.common import id_remainder, table
 from corpusloom.llm.oracles import ORACLES  # noqa: F401
 from corpusloom.session import shared_path
@@ -106,6 +108,19 @@ def op10_main_text(spark, sf_dir):
     return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_centroid_clusters(spark, sf_dir):
+    return zonemaps.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, width=64, scale=1024, salt="3:")
+
+
+def op12_filter_audit(spark, sf_dir):
+    counts = audit.mask_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return audit.filter_interactions(counts)
+
+
+def op13_embedding_near_dedup(spark, sf_dir):
+    return neardup.near_groups(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 QUERIES = {
     "op1_hpylm_score": op1_hpylm_score,
     "op2_warc_transactions": op2_warc_transactions,
@@ -117,4 +132,7 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_pack": op9_pack,
     "op10_main_text": op10_main_text,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_embedding_near_dedup": op13_embedding_near_dedup,
 }
