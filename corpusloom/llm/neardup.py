@@ -310,7 +310,8 @@ def _compare(cosine: float):
             if (root == before).all():
                 break
         held = np.flatnonzero(links)
-        return pa.table({"node": pa.array(nodes[held], pa.int64()), "links": pa.array(links[held]), "other": pa.array(nodes[root[held]], pa.int64())})
+        names = np.where(block.core >= 0, -block.core - 1, nodes)
+        return pa.table({"node": nodes[held], "links": links[held], "here": names[held], "there": names[root[held]]})
 
     return compare
 
@@ -347,16 +348,18 @@ def near_groups(vectors: DataFrame, cosine: float = 0.9, id_column: str = "vec_i
 
     places = cells(units, core_at, near_at)
     placed = write_through(units.join(places, "node").join(distinct.select("node", "n", "part"), "node"), "placed")
-    found = _deal(placed.drop("part")).groupBy("cell", "of_core", "i", "j").applyInArrow(_compare(cosine), "node long, links long, other long")
+    found = _deal(placed.drop("part")).groupBy("cell", "of_core", "i", "j").applyInArrow(
+        _compare(cosine), "node long, links long, here long, there long"
+    )
     found = write_through(found, "found-links")
 
-    hubs = placed.where("core is not null").select(F.col("node").alias("u"), (-F.col("core") - 1).alias("v"))
-    groups = components(found.select(F.col("node").alias("u"), F.col("other").alias("v")).unionAll(hubs))
-    groups = groups.select("node", F.col("component").alias("root"))
+    # a core is one node of the graph, named by its cell
+    groups = components(found.select(F.col("here").alias("u"), F.col("there").alias("v")))
+    groups = groups.select(F.col("node").alias("name"), F.col("component").alias("root"))
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
-    known = placed.select("node", "n", "part", "core").join(distinct.select("node", "least"), "node")
-    known = known.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    known = known.join(counted, "node", "left")
+    known = placed.select("node", "n", "part", "core", F.coalesce(-F.col("core") - 1, "node").alias("name"))
+    known = known.join(distinct.select("node", "least"), "node").join(counted, "node", "left")
+    known = answer_by_runs(known, groups, ["name"], "part").withColumn("root", F.coalesce("root", "name"))
     known = write_through(known, "known")
     smallest = known.groupBy("root").agg(F.min("least").alias("component_id"))
     totals = known.where("core is not null").groupBy("core").agg(F.sum("n").alias("in_core"))
