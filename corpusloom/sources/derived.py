@@ -143,6 +143,17 @@ def trial_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``study, trial, value, state``: one study per user, one trial per event."""
+    state = percent_bucket("state", "event_id")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("study"),
+        F.col("event_id").alias("trial"),
+        "value",
+        F.when(state < 10, "RUNNING").when(state < 20, "PRUNED").when(state < 30, "FAIL").otherwise("COMPLETE").alias("state"),
+    )
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``vec_id, embedding, label`` with the label as a class code."""
     return table(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("bigint"))
