@@ -194,10 +194,15 @@ def tpe_suggest(
         "study", F.coalesce("n", F.lit(0)).alias("n"), F.explode(F.array(*map(F.lit, space))).alias("param")
     )
     known = densities(trials, space, direction, share, most).join(sizes.filter(F.col("n") >= startup).select("study"), "study", "left_semi")
+    # few bytes with much to compute: the tasks would otherwise be merged by size
+    known = known.repartition(trials.sparkSession.sparkContext.defaultParallelism * 2, "study", "param")
     scored = log_ratio(candidates(known, space, seed, n_candidates))
     best = scored.groupBy("study", "param").agg(
-        F.max(F.struct("log_ratio", (-F.col("draw")).alias("earlier"), "z", "n_good", "n_bad")).alias("b")
-    ).select("study", "param", "b.*")
+        # rounded, so that ratios equal but for the order of a sum are equal
+        F.max(F.struct(
+            F.round("log_ratio", 9).alias("rounded"), (-F.col("draw")).alias("earlier"), "log_ratio", "z", "n_good", "n_bad",
+        )).alias("b")
+    ).select("study", "param", "b.log_ratio", "b.z", "b.n_good", "b.n_bad")
     value = F.lit(None).cast("double")
     for name, spec in space.items():
         random = suggestion(spec, uniform(md5_key(f"start{seed}", "study", "param")))

@@ -147,7 +147,7 @@ _TPE_STEPS = {
           " else greatest(0.0, least(1.0, centre + scale_good * ln(p / (1 - p)))) end as z from leveled",
     "rated": f"select *, case when param = 'num_epochs' then ln({_shares('good')}) - ln({_shares('bad')})"
              f" else ln({_kernels('good')}) - ln({_kernels('bad')}) end as log_ratio from sited",
-    "chosen": "select * from rated qualify row_number() over (partition by study, param order by log_ratio desc, draw) = 1",
+    "chosen": "select * from rated qualify row_number() over (partition by study, param order by round(log_ratio, 9) desc, draw) = 1",
     "asked": "select study, param, md5(concat('start42:', cast(study as varchar), ':', param)) as h"
              " from (select distinct study from studies),"
              " (select unnest(['head_learning_rate', 'l2_weight', 'batch_size', 'num_epochs']) as param)",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as V
 from corpusloom.operators import classes as C
+from corpusloom.operators import descent as N
 from corpusloom.operators import explain as E
 from corpusloom.operators import head as H
 from corpusloom.operators import metrics as M
@@ -113,6 +114,32 @@ def head_search(spark, sf_dir):
     return H.search_head(train, rows.filter(F.col("split") == "val"), grid)
 
 
+def head_search_pruned(spark, sf_dir):
+    rows = splits.train_val_eval(_coded(spark, sf_dir), "vec_id")
+    train = rows.filter(F.col("split") == "train")
+    train = C.with_class_weight(train, C.class_weights(train))
+    n_classes = rows.agg(F.max("label_code")).first()[0] + 1
+    space = {
+        "learning_rate": {"low": 1e-3, "high": 1e-1, "log": True}, "l2_weight": {"low": 1e-4, "high": 1e-3},
+        "num_epochs": {"choices": "5,10"},
+    }
+    grid = [r.asDict() for r in T.param_grid(spark.range(8).withColumnRenamed("id", "trial"), space).collect()]
+    results, _ = N.search_head_pruned(train, rows.filter(F.col("split") == "val"), grid, n_classes)
+    return results.withColumn("value", F.round("value", 6))
+
+
+def multi_target_fit(spark, sf_dir):
+    """Two targets of a vector: whether its class is even, and whether it is above the middle."""
+    coded = _coded(spark, sf_dir)
+    targets = F.array((F.col("label_code") % 2 == 0).cast("double"), (F.col("label_code") >= 5).cast("double"))
+    rows = splits.exact_split(coded, "vec_id").withColumn("targets", targets)
+    weights, _ = N.fit_targets(rows.filter(F.col("split") == "train"), 2, epochs=15)
+    scored = N.predict_targets(rows.filter(F.col("split") == "eval"), weights)
+    return scored.select(
+        "vec_id", *[F.round(F.get("target_probs", F.lit(k)), 6).alias(f"prob_{name}") for k, name in enumerate(("even", "high"))]
+    )
+
+
 def integrated_gradients(spark, sf_dir):
     model, _ = _fitted(spark, sf_dir, max_iter=25)
     records = E.integrated_gradients(_vectors(spark, sf_dir), model, target=1)
@@ -136,7 +163,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         l2_normalize, argmax_predict, softmax_probs, weighted_ce, weighted_bce, attribution_summary,
-        centroid_predict, head_fit_predict, head_evaluate, head_search, integrated_gradients,
+        centroid_predict, head_fit_predict, head_evaluate, head_search, head_search_pruned, multi_target_fit, integrated_gradients,
         error_attributions, project_2d,
     )
 }
