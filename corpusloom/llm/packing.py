@@ -37,41 +37,70 @@ CACHE_CHUNKS = 1_000_000
 #: Tokens of a step group: as many as 64 of the longest windows.
 STEP_WINDOWS = 64
 
-#: The tokenizer never joins ids across ASCII white space, so chunks are encoded once.
+#: White space ends a word of the tokenizer and has no ids, so chunks between white space are
+#: encoded apart.  ``str.split`` also cuts at these four characters, which are no white space to it.
+_NO_SPACE = "\x1c\x1d\x1e\x1f"
 _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
-_LETTERS_THEN_MARKS = re.compile(r"([^\W\d_]+)([^\w\s'’]+)\Z")
+#: ASCII and precomposed Latin letters: normalising leaves them alone, and each is lower-cased by
+#: itself.  Only U+0130 is left out.  Such a chunk is cut where the tokenizer cuts it, and the
+#: cuts, of which there are far fewer different ones, are encoded.
+_LATIN = "\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f"
+_PLAIN = re.compile(f"[!-~{_LATIN}]+")
+# Where the vocabulary's words end.
+_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+")
 
 
 class ChunkEncoder:
-    """Little-endian uint32 ids of texts, by a cache of chunks between white space."""
+    """Little-endian uint32 ids of texts, by a cache of chunks between white space.
+
+    The cache has two generations: what was not asked for while a generation filled up goes
+    with the next one, so a rare chunk does not throw out the frequent ones.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
+        ordered = list(words)
+        for word, coded in zip(ordered, self.tokenizer.encode_batch_fast(ordered, add_special_tokens=False)):
+            self.words[word] = array("I", coded.ids).tobytes()
+
+    def _missing(self, chunks: set[str]) -> None:
+        """Puts the chunks into the cache."""
         if len(self.cache) + len(chunks) > CACHE_CHUNKS:
-            self.cache.clear()
-        for chunk, coded in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)):
-            self.cache[chunk] = array("I", coded.ids).tobytes()
+            self.older, self.cache = self.cache, {}
+        cut: dict[str, list[str]] = {}
+        for chunk in chunks:
+            known = self.older.get(chunk)
+            if known is not None:
+                self.cache[chunk] = known
+            elif _PLAIN.fullmatch(chunk) and "<|" not in chunk:  # the vocabulary's special marks stay whole
+                cut[chunk] = _WORDS.findall(chunk.lower())
+            else:
+                cut[chunk] = [chunk]
+        if len(self.words) > CACHE_CHUNKS:
+            self.words = {}
+        words = self.words
+        new = {w for parts in cut.values() for w in parts if w not in words}
+        if new:
+            self._learn(new)
+        for chunk, parts in cut.items():
+            self.cache[chunk] = words[parts[0]] if len(parts) == 1 else b"".join([words[w] for w in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [_SPACE.split(t) for t in texts]
-        cache = self.cache
-        new = {c for chunks in cut for c in chunks if c not in cache}
+        cut = [_SPACE.split(t) if any(c in t for c in _NO_SPACE) else t.split() for t in texts]
+        get = self.cache.get
+        found = [list(map(get, chunks)) for chunks in cut]
+        new = {c for chunks, ids in zip(cut, found) if None in ids for c, i in zip(chunks, ids) if i is None}
         if new:
-            if len(cache) + len(new) > CACHE_CHUNKS:
-                new = {c for chunks in cut for c in chunks}
-            # an ASCII word with marks behind it is the word's ids and the marks' ids; elsewhere
-            # accents may join the marks and lower-casing may look at what follows
-            split = {c: m.groups() for c in new if c.isascii() and (m := _LETTERS_THEN_MARKS.match(c))}
-            parts = {p.lower() for pair in split.values() for p in pair} if split else set()
-            plain = {c for c in new if c not in split}
-            self._learn([p for p in parts | plain if p not in cache or len(cache) + len(new) > CACHE_CHUNKS])
-            cache = self.cache
-            for c, (word, marks) in split.items():
-                cache[c] = cache[word.lower()] + cache[marks.lower()]
-        return [b"".join([cache[c] for c in chunks]) for chunks in cut]
+            self._missing(new)
+            get = self.cache.get
+            # a text whose chunks were all known keeps what it got, from whichever generation
+            found = [list(map(get, chunks, ids)) if None in ids else ids for chunks, ids in zip(cut, found)]
+        return [b"".join(ids) for ids in found]
 
 
 @lru_cache(maxsize=2)
