@@ -13,6 +13,7 @@ memory does not depend on the partition, and only a task's end leaves short wind
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -61,34 +62,30 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        ordered = list(words)
-        for word, coded in zip(ordered, self.tokenizer.encode_batch_fast(ordered, add_special_tokens=False)):
-            self.words[word] = array("I", coded.ids).tobytes()
 
     def _missing(self, chunks: set[str]) -> None:
-        """Puts the chunks into the cache."""
+        """Puts the chunks into the cache; words that chunks are made of are chunks as well."""
         if len(self.cache) + len(chunks) > CACHE_CHUNKS:
             self.older, self.cache = self.cache, {}
-        cut: dict[str, list[str]] = {}
+        cache, older = self.cache, self.older
+        cut: list[tuple[str, list[str]]] = []
+        new: set[str] = set()
         for chunk in chunks:
-            known = self.older.get(chunk)
-            if known is not None:
-                self.cache[chunk] = known
+            if chunk in older:
+                cache[chunk] = older[chunk]
             elif _PLAIN.fullmatch(chunk) and "<|" not in chunk:  # the vocabulary's special marks stay whole
-                cut[chunk] = _WORDS.findall(chunk.lower())
+                low = chunk.lower()
+                words = _WORDS.findall(low)
+                if len(words) > 1 or low != chunk:
+                    cut.append((chunk, words))
+                new.update(words)
             else:
-                cut[chunk] = [chunk]
-        if len(self.words) > CACHE_CHUNKS:
-            self.words = {}
-        words = self.words
-        new = {w for parts in cut.values() for w in parts if w not in words}
-        if new:
-            self._learn(new)
-        for chunk, parts in cut.items():
-            self.cache[chunk] = words[parts[0]] if len(parts) == 1 else b"".join([words[w] for w in parts])
+                new.add(chunk)
+        ordered = [w for w in new if w not in cache]
+        for word, coded in zip(ordered, self.tokenizer.encode_batch_fast(ordered, add_special_tokens=False)):
+            cache[word] = array("I", coded.ids).tobytes()
+        for chunk, words in cut:
+            cache[chunk] = cache[words[0]] if len(words) == 1 else b"".join([cache[w] for w in words])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [_SPACE.split(t) if any(c in t for c in _NO_SPACE) else t.split() for t in texts]
@@ -105,6 +102,7 @@ class ChunkEncoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has a core, not the machine
     return ChunkEncoder(path)
 
 
