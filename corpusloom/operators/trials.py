@@ -226,3 +226,59 @@ def eval_steps(batch_size: int, total: int = 25_000, evaluations: int = 10) -> t
 def missing_params(params: Sequence[str]) -> dict[str, float]:
     """Defaults for the named parameters."""
     return {p: float(DEFAULTS[p]) for p in params if p in DEFAULTS}
+
+
+# -- heartbeats ------------------------------------------------------------------
+
+# Fixed value: seconds between two heartbeats of a live trial.
+HEARTBEAT_SECONDS = 60
+
+
+def heartbeat_sessions(beats: DataFrame, gap_seconds: int) -> DataFrame:
+    """``trial, session, first_beat, last_beat, n_beats``: runs of heartbeats without a longer gap.
+
+    ``beats`` has ``trial, at`` (a timestamp); null times are left out, repeated ones count.
+    Beats are first thinned to the first and last of every stretch of ``gap_seconds``: two
+    beats of one stretch are never further apart than the gap, so only these can border a
+    gap.  A trial with more beats than a task should sort is thus small before it is sorted.
+    """
+    beats = beats.select("trial", F.col("at").cast("timestamp").alias("at"))
+    seconds = F.col("at").cast("double")
+    stretches = beats.filter(F.col("at").isNotNull()).groupBy("trial", F.floor(seconds / gap_seconds).alias("stretch")).agg(
+        F.min("at").alias("first_beat"), F.max("at").alias("last_beat"), F.count("*").alias("n_beats")
+    )
+    by_time = W.partitionBy("trial").orderBy("stretch")
+    apart = F.col("first_beat").cast("double") - F.lag("last_beat").over(by_time).cast("double") > gap_seconds
+    marked = stretches.withColumn("_new", F.when(F.coalesce(apart, F.lit(False)), 1).otherwise(0))
+    numbered = marked.withColumn("session", F.sum("_new").over(by_time.rowsBetween(W.unboundedPreceding, 0)))
+    return numbered.groupBy("trial", "session").agg(
+        F.min("first_beat").alias("first_beat"), F.max("last_beat").alias("last_beat"), F.sum("n_beats").alias("n_beats")
+    )
+
+
+def stale_trials(beats: DataFrame, states: DataFrame, now: Column, gap_seconds: int, max_retry: int = 3) -> DataFrame:
+    """``trial, session, state, attempt, retried_from, will_retry`` and the session's times.
+
+    A trial runs while it beats.  When it is silent for more than ``gap_seconds`` it is stale:
+    it fails, and the next session of its beats is a retry of that one.  ``states`` gives
+    the state in which a trial ended (``trial, state``; a trial without one is RUNNING).
+    The last session of a trial has its end state; a RUNNING one that is silent at ``now``
+    is stale as well.  All earlier sessions are FAIL.  ``attempt`` counts from 0,
+    ``retried_from`` is the session before, and ``will_retry`` says that a failed session
+    which was silent, and is the last, may be started again: ``attempt < max_retry``.
+    Trials that never beat have no row.
+    """
+    sessions = heartbeat_sessions(beats, gap_seconds)
+    ends = states.groupBy("trial").agg(F.max("state").alias("_end"))
+    last = F.col("session") == F.max("session").over(W.partitionBy("trial"))
+    silent = now.cast("double") - F.col("last_beat").cast("double") > gap_seconds
+    end = F.coalesce("_end", F.lit("RUNNING"))
+    rows = sessions.withColumn("_last", last).join(ends, "trial", "left")
+    state = F.when(~F.col("_last"), "FAIL").when((end == "RUNNING") & silent, "FAIL").otherwise(end)
+    return rows.select(
+        "trial", F.col("session").cast("bigint").alias("session"), "first_beat", "last_beat", "n_beats",
+        state.alias("state"),
+        F.col("session").cast("bigint").alias("attempt"),
+        F.when(F.col("session") > 0, F.col("session") - 1).cast("bigint").alias("retried_from"),
+        (F.col("_last") & (end == "RUNNING") & silent & (F.col("session") < max_retry)).alias("will_retry"),
+    )

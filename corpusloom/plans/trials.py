@@ -71,9 +71,18 @@ def tpe_suggest(spark, sf_dir):
     return proposed.withColumns({"value": F.round("value", 9), "log_ratio": F.round("log_ratio", 6)})
 
 
+def stale_trials(spark, sf_dir):
+    """Users as trials, their events as heartbeats; two days of silence end a trial."""
+    beats = D.table(spark, sf_dir, "events").select(F.col("user_id").alias("trial"), F.col("ts").alias("at"))
+    states = T.trial_results(D.trial_log(spark, sf_dir)).select("trial", "state")
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    found = T.stale_trials(beats, states, now, 48 * 3600)
+    return found.drop("first_beat", "last_beat")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (param_grid, best_trial, trial_budget, prune_flags, epoch_loss, best_checkpoint, retain_latest, tpe_suggest)
+    for f in (stale_trials, param_grid, best_trial, trial_budget, prune_flags, epoch_loss, best_checkpoint, retain_latest, tpe_suggest)
 }
 
 
@@ -156,6 +165,20 @@ _TPE_STEPS = {
 }
 
 ORACLES = {
+    "stale_trials": with_ctes(
+        "results",
+        "select s.trial, cast(session as bigint) as session, n_beats, case when not is_last then 'FAIL'"
+        " when state = 'RUNNING' and silent then 'FAIL' else state end as state, cast(session as bigint) as attempt,"
+        " case when session > 0 then cast(session - 1 as bigint) end as retried_from,"
+        " is_last and state = 'RUNNING' and silent and session < 3 as will_retry"
+        " from (select *, session = max(session) over (partition by trial) as is_last,"
+        "  epoch(timestamp '2024-01-31 00:00:00') - epoch(last_beat) > 172800 as silent from sessions) s"
+        " join results r on s.trial = r.trial",
+        gaps="select user_id as trial, ts, case when epoch(ts) - lag(epoch(ts)) over (partition by user_id order by ts) > 172800"
+             " then 1 else 0 end as fresh from events",
+        numbered="select *, sum(fresh) over (partition by trial order by ts) as session from gaps",
+        sessions="select trial, session, max(ts) as last_beat, count(*) as n_beats from numbered group by trial, session",
+    ),
     "tpe_suggest": with_ctes(
         "",
         "select study, param, round(case param when 'head_learning_rate' then"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as V
+from corpusloom.functions.hashing import md5_key, uniform
 from corpusloom.operators import classes as C
 from corpusloom.operators import descent as N
 from corpusloom.operators import explain as E
@@ -13,7 +14,7 @@ from corpusloom.operators import head as H
 from corpusloom.operators import metrics as M
 from corpusloom.operators import splits
 from corpusloom.operators import trials as T
-from corpusloom.plans.sql import with_ctes
+from corpusloom.plans.sql import key, unit, with_ctes
 from corpusloom.sources import derived as D
 
 
@@ -50,6 +51,20 @@ def softmax_probs(spark, sf_dir):
     )
 
 
+def nucleus_sample(spark, sf_dir):
+    """Three seeded draws a row; logits are stretched so that both cuts bind."""
+    rows = _vectors(spark, sf_dir).select(
+        "vec_id", F.transform(V.doubles(F.col("embedding")), lambda x: x * 8).alias("logits"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2))).alias("draw"),
+    )
+    u = uniform(md5_key("draw42", "vec_id", "draw"))
+    options = dict(temperature=0.7, top_k=50, top_p=0.95)
+    return rows.select(
+        "vec_id", "draw", V.nucleus_sample(F.col("logits"), u, **options).alias("code"),
+        F.size(V.nucleus_weights(F.col("logits"), **options)).cast("bigint").alias("n_kept"),
+    )
+
+
 def weighted_ce(spark, sf_dir):
     coded = _coded(spark, sf_dir)
     rows = C.with_class_weight(coded, C.class_weights(coded)).withColumnRenamed("embedding", "logits")
@@ -162,7 +177,7 @@ def project_2d(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        l2_normalize, argmax_predict, softmax_probs, weighted_ce, weighted_bce, attribution_summary,
+        l2_normalize, argmax_predict, softmax_probs, nucleus_sample, weighted_ce, weighted_bce, attribution_summary,
         centroid_predict, head_fit_predict, head_evaluate, head_search, head_search_pruned, multi_target_fit, integrated_gradients,
         error_attributions, project_2d,
     )
@@ -183,6 +198,19 @@ ORACLES = {
         "select vec_id, round(list_max(e) / t, 9) as pred_prob, round(e[1] / t, 9) as first_prob,"
         " cast(list_position(e, list_max(e)) - 1 as bigint) as pred_code"
         f" from (select vec_id, e, list_sum(e) as t from (select vec_id, {_EXP} as e from embeddings))",
+    "nucleus_sample": with_ctes(
+        "",
+        "select p.vec_id, draw, cast(arg_min(code, place) filter (where upto > u or place = n_kept) as bigint) as code,"
+        " any_value(n_kept) as n_kept from parts p, draws d where p.vec_id = d.vec_id group by p.vec_id, draw",
+        logits=f"select vec_id, unnest({_V}) * 8 as z, unnest(range(len(embedding))) as code from embeddings",
+        ranked="select *, row_number() over (partition by vec_id order by z desc, code) as place,"
+               " exp((z - max(z) over (partition by vec_id)) / cast(0.7 as double)) as e from logits",
+        few="select *, e / sum(e) over (partition by vec_id) as q from ranked where place <= 50",
+        front="select * from (select *, sum(q) over (partition by vec_id order by place) - q as before from few) where before < 0.95 or place = 1",
+        parts="select *, sum(q) over (partition by vec_id order by place) / sum(q) over (partition by vec_id) as upto,"
+              " count(*) over (partition by vec_id) as n_kept from front",
+        draws=f"select vec_id, draw, {unit(key('draw42', 'vec_id', 'draw'))} as u from embeddings, (select unnest(range(3)) as draw)",
+    ),
     "weighted_ce":
         f"select round(sum(w * ({_LSE} - {_V}[label + 1])) / sum(w), 6) as weighted_ce, count(*) as n"
         " from (select *, cast(1 as double) / count(*) over (partition by label) as w from embeddings)",

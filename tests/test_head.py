@@ -139,3 +139,35 @@ def test_softmax_survives_large_logits(make):
     df = make([([1000.0, 0.0], 1)], "z array<double>, c int")
     got = df.select(V.softmax(F.col("z")), V.log_prob(F.col("z"), F.col("c"))).first()
     assert got[0] == [1.0, 0.0] and got[1] == -1000.0
+
+
+def test_nucleus_draws(make):
+    import math
+
+    logits = [[0.0, 2.0, 1.0, 2.0, -3.0], [5.0], [None, float("nan"), 1.0], [None], [], None, [1.0] * 6, [float("inf"), 0.0, float("inf")], [-1e9, 3.0, 1e9]]
+    df = make([(i, z, u / 20) for i, z in enumerate(logits) for u in range(20)], "k int, z array<double>, u double")
+    for top_k, top_p in [(50, 0.95), (2, 0.95), (None, 0.5), (3, None), (1, 1.0)]:
+        options = dict(temperature=0.7, top_k=top_k, top_p=top_p)
+        got = df.select("k", "z", "u", V.nucleus_weights(F.col("z"), **options).alias("w"), V.nucleus_sample(F.col("z"), F.col("u"), **options).alias("c")).collect()
+        for r in got:
+            valid = [(-z, i) for i, z in enumerate(r.z or []) if z is not None and not math.isnan(z)]
+            if not valid:
+                assert r.w is None and r.c is None
+                continue
+            order = sorted(valid)[: top_k or len(valid)]
+            e = [1.0 if m == order[0][0] else math.exp((order[0][0] - m) / 0.7) for m, _ in order]
+            q, kept, mass = [x / sum(e) for x in e], [], 0.0
+            for p, (_, i) in zip(q, order):
+                if top_p is None or mass < top_p:
+                    kept.append((p, i))
+                    mass += p
+            assert [c.code for c in r.w] == [i for _, i in kept]
+            assert sum(c.p for c in r.w) == pytest.approx(1)
+            upto = 0.0
+            for p, i in kept:
+                upto += p / mass
+                if upto > r.u:
+                    break
+            assert r.c == i
+    with pytest.raises(ValueError):
+        V.nucleus_weights(F.col("z"), temperature=0)

@@ -59,3 +59,17 @@ def test_oracles_belong_to_queries():
 
 def test_entry(spark):
     assert registry.entry(spark).count() == 1
+
+
+def test_a_missing_library_costs_only_the_optional_queries(monkeypatch):
+    real = registry.importlib.import_module
+
+    def without(name, *args):
+        if name in registry.OPTIONAL:
+            raise ModuleNotFoundError("no such library")
+        return real(name, *args)
+
+    monkeypatch.setattr(registry.importlib, "import_module", without)
+    with pytest.warns(UserWarning, match="left out"):
+        left = registry.queries()
+    assert set(left) == set(QUERIES)

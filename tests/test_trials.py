@@ -115,3 +115,42 @@ def test_retention_keeps_the_newest(make):
 def test_steps_and_defaults():
     assert T.eval_steps(16) == (1562, 156)
     assert T.missing_params(["batch_size", "unknown"]) == {"batch_size": 128.0}
+
+
+# -- heartbeats --------------------------------------------------------------------
+
+
+def test_stale_trials(spark):
+    start = 1_700_000_000
+    beats = {1: [0, 50, 100, 220, 230, 500], 2: [7], 3: [0, 60, 120], 4: [0, 61, 200, 400, 700]}
+    rows = [(t, start + s) for t, seconds in beats.items() for s in seconds] + [(1, start), (5, None)]
+    df = spark.createDataFrame(rows, "trial long, s long").selectExpr("trial", "timestamp_seconds(s) as at").repartition(3)
+    states = spark.createDataFrame([(1, "COMPLETE"), (2, "RUNNING"), (4, "RUNNING"), (9, "FAIL")], "trial long, state string")
+    now = F.timestamp_seconds(F.lit(start + 755))
+    found = {(r.trial, r.session): r for r in T.stale_trials(df, states, now, 60).collect()}
+    assert {k: (r.n_beats, r.state, r.retried_from, r.will_retry) for k, r in found.items()} == {
+        (1, 0): (4, "FAIL", None, False), (1, 1): (2, "FAIL", 0, False), (1, 2): (1, "COMPLETE", 1, False),
+        (2, 0): (1, "FAIL", None, True),
+        (3, 0): (3, "FAIL", None, True),  # 60 seconds are no gap
+        (4, 0): (1, "FAIL", None, False), (4, 1): (1, "FAIL", 0, False), (4, 2): (1, "FAIL", 1, False),
+        (4, 3): (1, "FAIL", 2, False), (4, 4): (1, "RUNNING", 3, False),
+    }
+    assert T.stale_trials(df.limit(0), states, now, 60).count() == 0
+
+
+def test_sessions_of_a_long_trial_match_a_walk(spark):
+    import random
+
+    r, t, times = random.Random(2), 0, []
+    for _ in range(3000):
+        t += r.choice([0, 1, 1, 2, 5, 59, 60, 61, 90])
+        times.append(t)
+    df = spark.createDataFrame([(1, t) for t in times], "trial long, s long").selectExpr("trial", "timestamp_seconds(s) as at")
+    want, last = [], None
+    for t in times:
+        if last is None or t - last > 60:
+            want.append(0)
+        want[-1] += 1
+        last = t
+    got = T.heartbeat_sessions(df, 60).orderBy("session").collect()
+    assert [x.n_beats for x in got] == want
