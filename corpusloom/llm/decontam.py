@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.common import LOWER, as_bytes, fresh
-from corpusloom.session import write_through
+from corpusloom.session import discard, write_through
 
 #: Words are runs of digits, letters and all bytes outside ASCII.
 WORD_BYTES = frozenset([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
@@ -56,7 +56,8 @@ def window_table(benchmark: DataFrame, width: int, id_column: str = "item_id", t
             )
 
     narrow = benchmark.select(F.col(id_column).cast("string"), F.col(text_column).cast("string"))
-    pairs = narrow.where(F.col(id_column).isNotNull()).mapInArrow(cut, "window binary, item string")
+    # an item without an id has windows that hit like any other; the set of ids leaves it out
+    pairs = narrow.mapInArrow(cut, "window binary, item string")
     return pairs.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
@@ -191,7 +192,7 @@ def find_overlaps(
     """The columns of ``docs`` (the text only with ``keep_text``) plus the fields of ``FOUND``.
 
     Null and empty texts have no words and no hits; items without words have no windows;
-    items with a null id are left out.  An empty benchmark hits nothing.  Columns of
+    items with a null id hit, but are not among ``items`` and not counted in ``n_items``.  An empty benchmark hits nothing.  Columns of
     ``docs`` named as in ``FOUND`` are replaced by the result.  ``spans`` are character
     offsets in the original text.
 
@@ -216,7 +217,9 @@ def find_overlaps(
         if k == n:
             schema = T.StructType([*fields[:-3], *fields[-1:] * keep_text, *FOUND.fields])
             return rows.mapInArrow(_scanner(packed, True, keep_text), schema)
-        rows = write_through(rows.mapInArrow(_scanner(packed, False, keep_text), rows.schema), "scanned-block")
+        scanned = write_through(rows.mapInArrow(_scanner(packed, False, keep_text), rows.schema), "scanned-block")
+        discard(rows)
+        rows = scanned
     raise AssertionError("there is always a last block")
 
 

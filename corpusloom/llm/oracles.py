@@ -85,7 +85,7 @@ hits as (
 ),
 items as (
   select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
-  from (select distinct doc_id, cast(item_id as varchar) as item from found) group by doc_id
+  from (select distinct doc_id, cast(item_id as varchar) as item from found where item_id is not null) group by doc_id
 )
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
   sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
