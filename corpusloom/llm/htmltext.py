@@ -17,6 +17,7 @@ import pickle
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,12 +32,17 @@ from corpusloom.llm.crf import ChainCrf
 # Fixed values of HTML.
 RAW_TEXT = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 #: Elements whose text is not part of the page's text.
-HIDDEN = frozenset("script style head title noscript iframe noembed noframes template svg math object".split())
+HIDDEN = frozenset("script style head title noscript iframe noembed noframes template svg annotation annotation-xml".split())
+#: Formulas are part of their sentence.
+MATH = frozenset(
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom mspace msub msup msubsup munder mover "
+    "munderover mmultiscripts mtable mtr mtd maction semantics".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output "
     "progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr button select option input".split()
-)
+) | MATH
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 "
     "h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()
@@ -56,6 +62,21 @@ _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"
 _WORDS = re.compile(r"[a-z]+|\d+")
 
 
+class Path:
+    """A block element and all it lies in: the last tag, and the names of all ancestors.
+
+    Names are shared with the parent unless the element brings a new one, so the paths of a
+    page together are as large as what its tags say.
+    """
+
+    __slots__ = ("tag", "names")
+
+    def __init__(self, tag: str, own: frozenset, parent: Path | None):
+        self.tag = tag
+        before = parent.names if parent else frozenset()
+        self.names = before if own <= before else before | own
+
+
 class Block:
     __slots__ = ("parts", "path", "linked", "buttons", "chars")
 
@@ -64,12 +85,13 @@ class Block:
 
 
 def leaf_blocks(page: str) -> list[tuple[str, tuple, float, bool]]:
-    """(text, ancestors, share of linked text, in a control) of the leaf blocks in page order.
+    """(text, path, share of linked text, in a control) of the leaf blocks in page order.
 
-    An ancestor is a tag with its class, id and role words.  Unclosed and misplaced tags
+    A path names the tags around a block with their class, id and role words.  Unclosed and misplaced tags
     are closed as a browser would, as far as that moves block boundaries.
     """
-    stack: list[tuple[str, tuple]] = []  # tag, its description
+    stack: list[tuple[str, Path | None]] = []  # tag, the path of its nearest block element
+    opened: Counter = Counter()
     blocks: list[Block] = []
     current: Block | None = None
     hidden = links = controls = 0
@@ -77,6 +99,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, float, bool]]:
 
     def count(tag: str, by: int) -> None:
         nonlocal hidden, links, controls
+        opened[tag] += by
         hidden += by * (tag in HIDDEN)
         links += by * (tag == "a")
         controls += by * (tag in ("button", "select", "option", "textarea", "label"))
@@ -88,7 +111,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, float, bool]]:
         if current is None:
             if part.isspace():
                 return
-            current = Block(tuple(d for t, d in stack if t not in INLINE))
+            current = Block(stack[-1][1] if stack else None)
             blocks.append(current)
         current.parts.append(part)
         solid = len(part.strip())
@@ -101,6 +124,8 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, float, bool]]:
             count(stack.pop()[0], -1)
 
     def close_open(tags: set, until: set) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in tags:
                 pop_to(k)
@@ -137,7 +162,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, float, bool]]:
         elif tag == "br":
             text(" ")
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[k][0] == tag:
                     pop_to(k)
                     break
@@ -151,9 +176,13 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, float, bool]]:
         if tag in VOID or token.group(3).endswith("/") and tag in ("path", "use"):
             continue
         found = _ATTRIBUTE.findall(token.group(3)) if token.group(3) else ()
-        words = tuple(w for name, *value in found for w in _WORDS.findall("".join(value).lower()) if w.isalpha())
-        gone = tuple("hidden" for name, *v in found if name.lower() == "hidden")
-        stack.append((tag, (tag, *words, *gone)))
+        around = stack[-1][1] if stack else None
+        if tag not in INLINE:
+            words = {w for _, *value in found for w in _WORDS.findall("".join(value).lower()) if w.isalpha()}
+            if any(name.lower() == "hidden" for name, *_ in found):
+                words.add("hidden")
+            around = Path(tag, frozenset({f"in:{tag}", *(f"word:{w}" for w in words)}), around)
+        stack.append((tag, around))
         count(tag, 1)
         if tag in RAW_TEXT:
             raw_end = tag
@@ -174,12 +203,8 @@ def _bucket(name: str) -> int:
 
 
 @lru_cache(maxsize=200_000)
-def _path_features(path: tuple) -> tuple[int, ...]:
-    found = {f"tag:{path[-1][0]}"} if path else {"tag:none"}
-    for description in path:
-        found.add(f"in:{description[0]}")
-        found.update(f"word:{w}" for w in description[1:])
-    return tuple(_bucket(n) for n in sorted(found))
+def _path_features(tag: str, names: frozenset) -> tuple[int, ...]:
+    return tuple(_bucket(n) for n in sorted(names | {f"tag:{tag}"}))
 
 
 def _features(block: tuple) -> list[int]:
@@ -190,7 +215,8 @@ def _features(block: tuple) -> list[int]:
         f"end:{text[-1] if text[-1] in '.!?:,;' else 'other'}",
         f"mark:{'©' in text}",
     ]
-    return [*[_bucket(n) for n in names], *_path_features(path)]
+    around = _path_features(path.tag, path.names) if path else (_bucket("tag:none"),)
+    return [*[_bucket(n) for n in names], *around]
 
 
 def page_features(blocks: list[tuple]) -> np.ndarray:

@@ -72,6 +72,64 @@ def source(docs):
     return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
 
 
+def test_deep_and_unclosed_pages_take_linear_time():
+    import time
+    import tracemalloc
+
+    for page in ("<div>x" * 100_000, "<p><b>x</i>" * 50_000, '<div class="a">' * 100_000 + "x" + "</div></p>" * 100_000):
+        tracemalloc.start()
+        began = time.process_time()
+        blocks = htmltext.leaf_blocks(page)
+        features = [htmltext._features(b) for b in blocks[-3:]]
+        assert time.process_time() - began < 60 and tracemalloc.get_traced_memory()[1] < 500e6
+        tracemalloc.stop()
+        assert blocks and all(features)
+    assert len(htmltext.leaf_blocks("<div>x" * 100_000)) == 100_000
+
+
+def test_formulas_stay_in_their_sentence():
+    page = "<p>a <math><mi>x</mi><mo>=</mo><msup><mn>2</mn><mi>k</mi></msup><annotation>hidden</annotation></math> b</p><object><p>fallback</p></object>"
+    assert [b[0] for b in htmltext.leaf_blocks(page)] == ["a x=2k b", "fallback"]
+
+
+def test_runs_are_sorted_at_every_level(docs, monkeypatch):
+    """Blocks hold sorted slices of runs; a round leaves a fan-in-th of the runs and no key twice in a run."""
+    digests = exact_dedup.digest_table(docs.repartition(9))
+    whole = Counter(r.digest for r in digests.collect())
+    runs, bits = exact_dedup.sorted_runs(digests, 2), 2
+    n_runs = digests.select("run").distinct().count()
+    assert n_runs == 9
+    for next_bits in (2, 4, 4, 5):
+        blocks, copies = defaultdict(list), Counter()
+        for row in sorted(runs.collect(), key=lambda r: (r.run, r.slice)):
+            entries = list(exact_dedup.unpacked(row.asDict()))
+            assert len(entries) == row.n and {e[0][0] >> (8 - bits) for e in entries} == {row.slice}
+            blocks[row.run] += [e[:3] for e in entries]
+            copies.update({e[0]: e[4] for e in entries})
+        assert copies == whole
+        for keys in blocks.values():
+            assert keys == sorted(set(keys))
+        assert set(blocks) == set(range(n_runs))
+        runs, n_runs = exact_dedup.merge_round(runs, 2, bits, next_bits), -(-n_runs // 2)
+        bits = next_bits
+
+
+def test_equal_digests_of_other_texts_stay_apart(spark):
+    rows = [(5, 1, bytes(32), 3, 7, 0), (4, 1, bytes(32), 3, 7, 1), (3, 1, bytes(32), 4, 7, 1), (2, 1, bytes(32), 3, 8, 2), (None, 1, bytes(32), 3, 7, 2)]
+    digests = spark.createDataFrame(rows, "id long, raw long, digest binary, n_bytes long, checksum long, run long")
+    found = exact_dedup.merge_runs(digests, fan_in=2).collect()
+    assert sorted((r.n_bytes, r.checksum, r.keep_id, r.copies) for r in found) == [(3, 7, 4, 3), (3, 8, 2, 1), (4, 7, 3, 1)]
+
+
+def test_runs_in_many_small_blocks(docs, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BLOCK_ENTRIES", 4)
+    groups = defaultdict(list)
+    for i, t in source(docs):
+        groups[normal(t)].append(i)
+    found = exact_dedup.merge_runs(exact_dedup.digest_table(docs), "largest", 3).collect()
+    assert Counter((r.keep_id, r.copies) for r in found) == Counter((max(i for i in g if i is not None) if any(i is not None for i in g) else None, len(g)) for g in groups.values())
+
+
 @pytest.mark.parametrize("keep, best", [("smallest", min), ("largest", max)])
 @pytest.mark.parametrize("fan_in", [2, 16])
 def test_exact_groups(docs, keep, best, fan_in):
@@ -175,9 +233,8 @@ def test_overlaps(spark, docs, no_docs, max_bytes):
     windows = defaultdict(set)
     for i, t in items:
         w = word_list(t)
-        if w and i is not None:
-            for k in range(max(1, len(w) - 12)):
-                windows[tuple(w[k : k + 13])].add(str(i))
+        for k in range(max(1, len(w) - 12) if w else 0):  # an item without an id hits, but has no name
+            windows[tuple(w[k : k + 13])] |= set() if i is None else {str(i)}
     found = decontam.find_overlaps(docs, benchmark, max_bytes=max_bytes, keep_text=True).collect()
     assert len(found) == len(source(docs))
     hits = 0
