@@ -51,6 +51,13 @@ _PLAIN = re.compile(f"[!-~{_LATIN}]+")
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: itself if it is printable, else one past 255, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class ChunkEncoder:
     """Little-endian uint32 ids of texts, by a cache of chunks between white space.
 
@@ -60,6 +67,7 @@ class ChunkEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges, self.letters = self.tokenizer.model, _byte_letters()
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -69,7 +77,8 @@ class ChunkEncoder:
             self.older, self.cache = self.cache, {}
         cache, older = self.cache, self.older
         cut: list[tuple[str, list[str]]] = []
-        new: set[str] = set()
+        new: set[str] = set()  # to be encoded whole
+        plain: set[str] = set()  # words: nothing is left to do but their merges
         for chunk in chunks:
             if chunk in older:
                 cache[chunk] = older[chunk]
@@ -78,12 +87,17 @@ class ChunkEncoder:
                 words = _WORDS.findall(low)
                 if len(words) > 1 or low != chunk:
                     cut.append((chunk, words))
-                new.update(words)
+                plain.update(words)
             else:
                 new.add(chunk)
         ordered = [w for w in new if w not in cache]
         for word, coded in zip(ordered, self.tokenizer.encode_batch_fast(ordered, add_special_tokens=False)):
             cache[word] = array("I", coded.ids).tobytes()
+        merge, letters = self.merges.tokenize, self.letters
+        for word in plain:
+            if word not in cache:
+                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
+                cache[word] = array("I", [t.id for t in merge(spelled)]).tobytes()
         for chunk, words in cut:
             cache[chunk] = cache[words[0]] if len(words) == 1 else b"".join([cache[w] for w in words])
 
