@@ -34,7 +34,7 @@ END_ID = 1
 #: Documents a task may hold open per tier while it looks for a good fit.
 OPEN_DOCUMENTS = 512
 #: Distinct chunks whose ids a worker remembers, in each of two generations.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 500_000
 #: Tokens of a step group: as many as 64 of the longest windows.
 STEP_WINDOWS = 64
 
