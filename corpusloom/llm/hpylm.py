@@ -13,6 +13,11 @@ restaurant and the word's tables in the parents.  Cells of up to EXACT customers
 from that distribution itself; the customers of larger ones leave and return in runs.
 All cells of a sweep see the totals of contexts, classes and root that the sweep before left.
 
+Every pair that any text asks for has a cell, those without customers too.  Each kept sweep
+adds the pair's whole probability in that state to its cell, so the prediction is the mean
+of probabilities, which add up to 1 over all words of a context.  The strength of all
+restaurants is fixed at STRENGTH; discounts follow from the counts in every sweep.
+
 Counts cover all training texts.  Texts are cut into blocks; words and contexts are dealt
 into parts by hash.  A block asks each part for its pairs of context and word, a part asks
 the owners of its contexts for their tables, and both get back only what they asked for.
@@ -20,7 +25,6 @@ the owners of its contexts for their tables, and both get back only what they as
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -49,11 +53,12 @@ RUNS = 32
 #: Records of a state in one row.
 ROW_RECORDS = 250_000
 
-_PAIR = np.dtype([("word", "<u8"), ("context", "<u8"), ("n", "<u4")])
-_CELL = np.dtype([("word", "<u8"), ("context", "<u8"), ("n", "<u4"), ("t", "<u4"), ("sum", "<u4")])
-_WORD = np.dtype([("word", "<u8"), ("s", "<u4", CLASSES), ("p", "<f4", CLASSES)])
+_PAIR = np.dtype([("word", "<u8"), ("context", "<u8"), ("n", "<u8")])
+_CELL = np.dtype([("word", "<u8"), ("context", "<u8"), ("n", "<u8"), ("t", "<u8"), ("sum", "<f4")])
+_WORD = np.dtype([("word", "<u8"), ("s", "<u8", CLASSES)])
+_NAME = np.dtype([("context", "<u8")])
 _CONTEXT = np.dtype([("context", "<u8"), ("n", "<u8"), ("t", "<u8")])
-_ANSWER = np.dtype([("n", "<u4"), ("p", "<f4")])
+_ANSWER = np.dtype([("n", "<u8"), ("p", "<f4")])
 ASK, CELLS, WORDS, CONTEXTS, SUMS, REPLY, TOTAL = range(7)
 _EMPTY = {"part": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "source": pa.array([], pa.int64()),
           "data": pa.array([], pa.binary())}
@@ -97,7 +102,7 @@ def _added(words: np.ndarray, contexts: np.ndarray, n: np.ndarray) -> tuple[np.n
     keys, inverse = np.unique(owner * max(len(before), 1) + place, return_inverse=True)
     out = np.empty(len(keys), _PAIR)
     out["word"], out["context"] = names[keys // max(len(before), 1)], before[keys % max(len(before), 1)]
-    out["n"] = np.minimum(np.bincount(inverse, n, len(keys)), 2**32 - 1)
+    out["n"] = np.bincount(inverse, n, len(keys))  # doubles count exactly up to 2^53
     return out, inverse
 
 
@@ -289,14 +294,12 @@ class _State:
 
     @classmethod
     def begun(cls, pairs: np.ndarray) -> _State:
-        """One table per word and context, and per word and class."""
-        asked = np.unique(pairs["context"])
+        """One table per word and context with customers, and per word and class."""
         pairs, _ = _added(pairs["word"], pairs["context"], pairs["n"])
-        pairs = pairs[pairs["n"] > 0]
         cells = np.zeros(len(pairs), _CELL)
-        cells["word"], cells["context"], cells["n"], cells["t"] = pairs["word"], pairs["context"], pairs["n"], 1
-        names = np.unique(cells["word"])
-        words, contexts = np.zeros(len(names), _WORD), np.zeros(len(asked), _CONTEXT)
+        cells["word"], cells["context"], cells["n"], cells["t"] = pairs["word"], pairs["context"], pairs["n"], pairs["n"] > 0
+        names, asked = np.unique(cells["word"]), np.unique(cells["context"])
+        words, contexts = np.zeros(len(names), _WORD), np.zeros(len(asked), _NAME)
         words["word"], contexts["context"] = names, asked
         out = cls(cells, words, contexts)
         out.words["s"] = out.at_classes(out.cells["t"]) > 0
@@ -304,20 +307,22 @@ class _State:
 
     @classmethod
     def read(cls, table: pa.Table) -> _State:
-        return cls(_read(table, CELLS, _CELL), _read(table, WORDS, _WORD), _read(table, CONTEXTS, _CONTEXT))
+        return cls(_read(table, CELLS, _CELL), _read(table, WORDS, _WORD), _read(table, CONTEXTS, _NAME))
 
     def at_classes(self, values: np.ndarray) -> np.ndarray:
         """Cells' values summed by word and class."""
         size = len(self.words) * CLASSES
         return np.bincount(self.owner * CLASSES + self.kind, values, size)[:size].reshape(-1, CLASSES)
 
-    def sample(self, totals: Totals, tables: np.ndarray) -> None:
-        """Add the present seating to the sums that the predictions are made of."""
-        self.cells["sum"] += self.cells["t"]
-        self.contexts["t"] += tables.astype(np.uint64)
+    def sample(self, totals: Totals, told: np.ndarray) -> None:
+        """Add every pair's probability under the present seating to its sum."""
         m, s = self.at_classes(self.cells["t"]), self.words["s"].astype(float)
-        own = np.maximum(m - totals.discount * s, 0) / (STRENGTH + totals.customers)
-        self.words["p"] += own + totals.back_off * totals.root(s.sum(1))[:, None]
+        parent = np.maximum(m - totals.discount * s, 0) / (STRENGTH + totals.customers)
+        parent += totals.back_off * totals.root(s.sum(1))[:, None]
+        d, n, t = totals.context_discount[self.kind], self.cells["n"].astype(float), self.cells["t"].astype(float)
+        customers, tables = (told[c].astype(float)[self.place] for c in ("n", "t"))
+        back_off = (STRENGTH + d * tables) * parent[self.owner, self.kind]
+        self.cells["sum"] += (np.maximum(n - d * t, 0) + back_off) / (STRENGTH + customers)
 
     def sweep(self, totals: Totals, tables: np.ndarray, rng) -> None:
         """Seat all customers again: those of contexts given the classes, then those of classes given the root."""
@@ -338,21 +343,29 @@ class _State:
         others = np.maximum(totals.tables[kind] - before, 0)
         self.words["s"][owner, kind] = reseat(m[owner, kind], before, others, totals.discount[kind], p, rng)
 
+    def sent(self) -> np.ndarray:
+        """What the cells add to their contexts."""
+        out = np.zeros(len(self.contexts), _CONTEXT)
+        out["context"] = self.contexts["context"]
+        for c in ("n", "t"):
+            out[c] = np.bincount(self.place, self.cells[c], len(out))
+        return out
+
+    def sums(self) -> np.ndarray:
+        """What the state adds to the totals."""
+        n, m, s = self.cells["n"], self.at_classes(self.cells["t"]), self.words["s"].astype(np.int64)
+        cells = [np.bincount(self.kind, x, CLASSES) for x in (n, n == 1, n == 2)]
+        classes = [x.sum(0) for x in (m, s, m == 1, m == 2)]
+        root = s.sum(1)
+        return np.concatenate([*cells, *classes, [(root > 0).sum(), (root == 1).sum(), (root == 2).sum()]]).astype("<f8")
+
     def rows(self, part: int, parts: int) -> list[tuple]:
         """The state, what its cells add to their contexts, and its sums by class."""
         out = [(part, kind, at, _bytes(records[at : at + ROW_RECORDS]))
                for kind, records in ((CELLS, self.cells), (WORDS, self.words), (CONTEXTS, self.contexts))
                for at in range(0, len(records), ROW_RECORDS)]
-        sent = self.contexts.copy()
-        sent["n"] = np.bincount(self.place, self.cells["n"], len(sent))
-        sent["t"] = np.bincount(self.place, self.cells["t"], len(sent))
-        out += _dealt(sent, "context", parts, SUMS, part)
-        n, m, s = self.cells["n"], self.at_classes(self.cells["t"]), self.words["s"].astype(np.int64)
-        cells = [np.bincount(self.kind, x, CLASSES) for x in (n, n == 1, n == 2)]
-        classes = [x.sum(0) for x in (m, s, m == 1, m == 2)]
-        root = s.sum(1)
-        sums = [*cells, *classes, [len(root), (root == 1).sum(), (root == 2).sum()]]
-        out.append((part, TOTAL, 0, np.concatenate(sums).astype("<f8").tobytes()))
+        out += _dealt(self.sent(), "context", parts, SUMS, part)
+        out.append((part, TOTAL, 0, self.sums().tobytes()))
         return out
 
 
@@ -390,10 +403,10 @@ def _sweep(packed, parts: int):
         totals, sweep, burn_in = packed.value
         part = key[0].as_py()
         state = _State.read(table)
-        tables = _told(table, state)["t"].astype(float)
+        told = _told(table, state)
         if sweep - 1 > burn_in:
-            state.sample(totals, tables)
-        state.sweep(totals, tables, np.random.default_rng([sweep, part]))
+            state.sample(totals, told)
+        state.sweep(totals, told["t"].astype(float), np.random.default_rng([sweep, part]))
         return pa.Table.from_batches([_rows(state.rows(part, parts))])
 
     return run
@@ -403,14 +416,13 @@ def _answer(packed):
     """Per block the probabilities of the pairs it asked for, in their order, and the words' training counts."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        totals, samples, new, _ = packed.value
+        totals, samples = packed.value
         state = _State.read(table)
-        told = _told(table, state)
-        state.sample(totals, told["t"].astype(float))
-        count = np.bincount(state.owner, state.cells["n"], len(state.words)).astype(np.int64)
-        customers, tables = told["n"].astype(float), state.contexts["t"] / samples
-        names, order = state.words["word"], np.argsort(table.column("kind").to_numpy(), kind="stable")
-        cell_key = state.owner * max(len(told), 1) + state.place  # sorted like the cells
+        state.sample(totals, _told(table, state))
+        count = np.bincount(state.owner, state.cells["n"], len(state.words))
+        order = np.argsort(table.column("kind").to_numpy(), kind="stable")
+        width = max(len(state.contexts), 1)
+        cell_key = state.owner * width + state.place  # sorted like the cells
         out = []
         kinds, sources, data = (table.column(c) for c in ("kind", "source", "data"))
         rows = order[: int((kinds.to_numpy() == ASK).sum())].tolist()
@@ -422,21 +434,11 @@ def _answer(packed):
             if len(rows) > 1:  # a block that two tasks have read
                 asked = np.concatenate([_records(data[row].as_py(), _PAIR) for row in rows])
                 asked, _ = _added(asked["word"], asked["context"], asked["n"])
-            kind, place = _class(asked["context"]), np.searchsorted(told["context"], asked["context"])
-            owner = np.minimum(np.searchsorted(names, asked["word"]), max(len(names) - 1, 0))
-            known = names[owner] == asked["word"] if len(names) else np.zeros(len(asked), bool)
-            p = np.where(known, state.words["p"][owner, kind] / samples, new[kind]) if len(names) else new[kind]
-            d = totals.context_discount[kind]
-            p = p * (STRENGTH + d * tables[place]) / (STRENGTH + customers[place])
-            if len(cell_key):
-                wanted = owner * max(len(told), 1) + place
-                spot = np.minimum(np.searchsorted(cell_key, wanted), len(cell_key) - 1)
-                cell = state.cells[spot]
-                own = np.maximum(cell["n"] - d * (cell["sum"] / samples), 0) / (STRENGTH + customers[place])
-                p = p + np.where(known & (cell_key[spot] == wanted), own, 0)
-            records = np.empty(len(asked), _ANSWER)
-            records["p"] = p
-            records["n"] = np.minimum(np.where(known, count[owner], 0), 2**32 - 1) if len(names) else 0
+            owner = np.searchsorted(state.words["word"], asked["word"])
+            wanted = owner * width + np.searchsorted(state.contexts["context"], asked["context"])
+            records = np.empty(len(asked), _ANSWER)  # every pair asked for has a cell
+            records["p"] = state.cells["sum"][np.searchsorted(cell_key, wanted)] / samples
+            records["n"] = count[owner]
             out.append((block, ASK, key[0].as_py(), _bytes(records)))
         return pa.Table.from_batches([_rows(out)]) if out else pa.table(_EMPTY)
 
@@ -468,12 +470,6 @@ def _score(packed, parts: int):
     return run
 
 
-def _collect(spark) -> None:
-    """Shuffle files of past jobs go when the driver collects its garbage; states would pile up until then."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column: str = "text",
           sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> DataFrame:
     """Learn from the rows for which ``train`` holds and score all rows.
@@ -495,7 +491,6 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
     rows = write_through(rows.mapInArrow(_cut, f"block long, id {kind}, train boolean, text string"), "blocks")
     asks = rows.select("block", "train", "text").mapInArrow(_count(parts), _ROW)
     state = write_through(asks.groupBy("part").applyInArrow(_begin(parts), _ROW), "state")
-    _collect(spark)
 
     def totals() -> Totals:
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -517,19 +512,13 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
             out = out.unionAll(table)
         return out.groupBy("part")
 
-    seen = []
     for sweep in range(1, sweeps + 1):
-        seen.append(totals())
-        packed = spark.sparkContext.broadcast((seen[-1], sweep, burn_in))  # a few numbers per class
+        packed = spark.sparkContext.broadcast((totals(), sweep, burn_in))  # a few numbers per class
         last, state = state, write_through(met().applyInArrow(_sweep(packed, parts), _ROW), "state")
         discard(last)
-        _collect(spark)
-    seen.append(totals())
-    new = np.mean([x.back_off * x.new_word for x in seen[burn_in + 1 :]], 0)
-    packed = spark.sparkContext.broadcast((seen[-1], sweeps - burn_in, new, None))
+        packed = spark.sparkContext.broadcast((totals(), sweeps - burn_in))
     answers = write_through(met(asks).applyInArrow(_answer(packed), _ROW), "answers")
     discard(state)
-    _collect(spark)
     result = f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scored = rows.groupBy("block").cogroup(answers.groupBy("part")).applyInArrow(_score(packed, parts), result)
     return scored.select(
