@@ -1,7 +1,8 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-A text becomes symbols: lower-cased letters, and one symbol for every run of anything
-else.  Each language has a character model of order 4 with interpolated Kneser-Ney
+A text becomes symbols: lower-cased letters, each letter of the training sample as a symbol
+of its own and one for all letters never seen there, and one symbol for every run of
+anything else.  Each language has a character model of order 4 with interpolated Kneser-Ney
 smoothing, kept as sorted arrays of n-gram codes with their discounted shares and the
 weights of their contexts.  A text goes to the language with the lowest cross-entropy per
 symbol.  A temperature fitted on rows that the models have not seen turns the gaps into a
@@ -23,35 +24,62 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import fresh
 
 ORDER = 4
-SYMBOLS = 64  # 0 is the boundary, 1-26 a-z, the rest is shared by all other letters
-BITS = 6
+BITS = 16  # of a symbol: 0 is the boundary, 1 a letter never seen, the rest are the taught letters
+#: Taught letters with symbols of their own; of more, the rarest count as never seen.
+MAX_LETTERS = (1 << BITS) - 2
 UNDETERMINED = "und"
 #: Labelled rows per language that train the models; as many again calibrate.
 ROWS_PER_LANGUAGE = 400
-#: Codes whose scores a worker keeps.
-KEPT_CODES = 3_000_000
+#: Bytes of text that train and calibrate a language; texts are whole, and one of each is always taken.
+BYTES_PER_LANGUAGE = 4 << 20
+#: Languages that a model tells apart; more are refused.
+MAX_LANGUAGES = 1000
+#: Scores that a worker keeps, over all codes and languages.
+KEPT_SCORES = 1 << 24
 
 
 @lru_cache(maxsize=1)
-def symbol_table() -> np.ndarray:
-    table = np.zeros(0x110000, np.uint8)
+def folded() -> np.ndarray:
+    """The lower-case letter of every code point, 0 for what is no letter."""
+    table = np.zeros(0x110000, np.uint32)
     for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
-            low = ord(c.lower()[0])
-            table[cp] = low - 96 if 97 <= low <= 122 else 27 + ((low * 2654435761) >> 16) % 37
+            table[cp] = ord(c.lower()[0])
     return table
 
 
-def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def alphabet(texts: list[str]) -> np.ndarray:
+    """The lower-cased letters of the texts, most frequent first."""
+    counts = np.zeros(0x110000, np.int64)
+    for text in texts:
+        letters, n = np.unique(folded()[_points(text)], return_counts=True)
+        counts[letters] += n
+    counts[0] = 0
+    order = np.argsort(-counts, kind="stable")
+    return order[: min(int((counts > 0).sum()), MAX_LETTERS)]
+
+
+def symbol_table(letters: np.ndarray) -> np.ndarray:
+    """The symbol of every code point."""
+    number = np.ones(0x110000, np.uint16)
+    number[letters] = np.arange(2, len(letters) + 2)
+    number[0] = 0
+    return number[folded()]
+
+
+def symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """4-gram codes of all texts, each text's first code, and its number of letters.
 
     Before each text stand as many boundaries as a context is long.
     """
     gap = "\n" * (ORDER - 1)
     joined = gap + gap.join(texts) + gap
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    raw = symbol_table()[points]
+    raw = table[_points(joined)]
     lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     begins = np.concatenate([[0], np.cumsum(lengths + ORDER - 1)]) + ORDER - 1  # first character of each text
     keep = raw != 0
@@ -59,10 +87,10 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k in range(1, ORDER):
         keep[begins - k] = True
     place = np.concatenate([[0], np.cumsum(keep)])
-    kept = raw[keep].astype(np.uint32)
+    kept = raw[keep].astype(np.uint64)
     codes = kept.copy()
     for k in range(1, ORDER):
-        codes[k:] |= kept[:-k] << np.uint32(BITS * k)
+        codes[k:] |= kept[:-k] << np.uint64(BITS * k)
     letters = np.concatenate([[0], np.cumsum(raw != 0)])
     firsts = place[begins]
     return codes, firsts, letters[begins[1:] - (ORDER - 1)] - letters[begins[:-1]]
@@ -71,7 +99,8 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Model:
     """One language: per order, sorted codes with shares, and sorted contexts with weights."""
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, n_symbols: int):
+        self.n_symbols = n_symbols
         grams, counts = np.unique(codes, return_counts=True)
         self.levels = []
         for order in range(ORDER, 0, -1):
@@ -86,59 +115,73 @@ class Model:
             grams, counts = np.unique(grams & ((1 << BITS * (order - 1)) - 1), return_counts=True)
 
     def log_prob(self, codes: np.ndarray) -> np.ndarray:
-        p = np.full(len(codes), 1.0 / SYMBOLS)
+        p = np.full(len(codes), 1.0 / self.n_symbols)
         for order, (grams, shares, contexts, weights) in zip(range(1, ORDER + 1), reversed(self.levels)):
             part = codes & ((1 << BITS * order) - 1)
             p = p * _lookup(contexts, weights, part >> BITS, 1.0) + _lookup(grams, shares, part, 0.0)
         return np.log(p)
 
 
+def _slot(codes: np.ndarray, bits: int) -> np.ndarray:
+    return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+
+
 def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return np.where(keys[at] == wanted, values[at], missing)
 
 
 class Identifier:
-    """The models of all languages with a worker's table of scores by code."""
+    """The models of all languages with their letters and a worker's cache of scores by code."""
 
-    def __init__(self, languages: list[str], models: list[Model], temperature: float = 1.0, bound: float = math.inf):
-        self.languages, self.models = languages, models
+    def __init__(self, languages: list[str], models: list[Model], letters: np.ndarray,
+                 temperature: float = 1.0, bound: float = math.inf):
+        self.languages, self.models, self.letters = languages, models, letters
         self.temperature, self.bound = temperature, bound
         self._forget()
 
     def __getstate__(self):
-        return self.languages, self.models, self.temperature, self.bound
+        return self.languages, self.models, self.letters, self.temperature, self.bound
 
     def __setstate__(self, state):
-        self.languages, self.models, self.temperature, self.bound = state
+        self.languages, self.models, self.letters, self.temperature, self.bound = state
         self._forget()
 
     def _forget(self) -> None:
-        self.row_of = None
+        self.table = self.cached = None
 
     def _scores(self, codes: np.ndarray) -> np.ndarray:
-        """Rows of log probabilities (one per language) of the codes; a code is worked out once."""
-        if self.row_of is None or self.used > KEPT_CODES:
-            self.row_of = np.full(1 << BITS * ORDER, -1, np.int32)
-            self.rows, self.used = np.empty((1 << 16, len(self.models)), np.float32), 0
-        new = codes[self.row_of[codes] < 0]
-        if len(new):
-            new = np.unique(new)
-            while self.used + len(new) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-            for k, model in enumerate(self.models):
-                self.rows[self.used : self.used + len(new), k] = model.log_prob(new)
-            self.row_of[new] = np.arange(self.used, self.used + len(new), dtype=np.int32)
-            self.used += len(new)
-        return self.rows[self.row_of[codes]]
+        """Rows of log probabilities (one per language) of the codes.
+
+        A code has one slot in the cache, by hash; codes not found there are worked out and
+        take their slots, so the cache never grows.
+        """
+        bits = int(math.log2(max(KEPT_SCORES // len(self.models), 2)))
+        if self.cached is None:
+            self.cached = np.zeros(1 << bits, np.uint64)
+            self.rows = np.empty((1 << bits, len(self.models)), np.float32)
+            self.filled = np.zeros(1 << bits, bool)
+        slots = _slot(codes, bits)
+        missed = np.flatnonzero((self.cached[slots] != codes) | ~self.filled[slots])
+        out = self.rows[slots]
+        if len(missed):
+            new, inverse = np.unique(codes[missed], return_inverse=True)
+            rows = np.stack([model.log_prob(new) for model in self.models], 1).astype(np.float32)
+            out[missed] = rows[inverse]
+            places, first = np.unique(_slot(new, bits), return_index=True)
+            self.cached[places], self.rows[places], self.filled[places] = new[first], rows[first], True
+        return out
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cross-entropy per symbol by text and language, symbols, and letters."""
-        codes, firsts, letters = symbols(texts)
+        if self.table is None:
+            self.table = symbol_table(self.letters)
+        codes, firsts, letters = symbols(texts, self.table)
         out = np.zeros((len(texts), len(self.models)))
         sizes = np.diff(firsts)
-        for at in range(int(firsts[0]), int(firsts[-1]), 1 << 20):
-            end = min(at + (1 << 20), int(firsts[-1]))
+        step = max(1, min(1 << 20, KEPT_SCORES // len(self.models)))
+        for at in range(int(firsts[0]), int(firsts[-1]), step):
+            end = min(at + step, int(firsts[-1]))
             cuts = np.concatenate([[at], firsts[(firsts > at) & (firsts < end)]])
             sums = np.add.reduceat(self._scores(codes[at:end]), cuts - at, axis=0, dtype=np.float64)
             np.subtract.at(out, np.searchsorted(firsts, cuts, "right") - 1, sums)
@@ -172,36 +215,56 @@ def fit(docs: DataFrame, learn: Column, rows_per_language: int = ROWS_PER_LANGUA
     """Train on at most ``rows_per_language`` rows of each language and calibrate on as many others.
 
     Rows count by a hash of id and text, so the sample does not depend on the order of the
-    table; rows with a null language or text teach nothing.  None if nothing teaches.
+    table, and equal rows count once.  Both halves together take whole texts up to
+    BYTES_PER_LANGUAGE, two at least.  Rows with a null language or text teach nothing.
+    None if nothing teaches; more than MAX_LANGUAGES languages are refused.
     """
     usable = docs.where(learn & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
     usable = usable.select(
         F.col(lang_column).alias("lang"), F.col(text_column).alias("text"),
-        F.pmod(F.xxhash64(F.col(id_column), F.col(text_column)), F.lit(1 << 30)).alias("u"))
-    totals = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
+        F.pmod(F.xxhash64(F.col(id_column), F.col(text_column)), F.lit(1 << 60)).alias("u"))
+    counted = usable.groupBy("lang").agg(F.approx_count_distinct("u", 0.02).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    totals = {r["lang"]: r["n"] for r in counted}
     if not totals:
         return None
+    if len(totals) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     wanted = 2 * rows_per_language
-    rate = F.element_at(F.create_map(*[x for lang, n in totals.items() for x in (
-        F.lit(lang), F.lit(int(min(1.0, 1.5 * wanted / n) * (1 << 30))))]), F.col("lang"))
-    rows = sorted((r["lang"], r["u"], r["text"]) for r in usable.where(F.col("u") < rate).collect())
+
+    def below(bounds: dict[str, int]) -> DataFrame:
+        found = F.element_at(F.create_map(*[x for lang, n in bounds.items() for x in (F.lit(lang), F.lit(n).cast("long"))]), F.col("lang"))
+        return usable.where(F.col("u") <= found).dropDuplicates(["lang", "u"])
+
+    rates = {lang: int(min(1.0, 1.5 * wanted / n) * (1 << 60)) for lang, n in totals.items()}
+    bounds: dict[str, int] = {}
+    room: dict[str, list[int]] = {}
+    for lang, u, size in sorted(tuple(r) for r in below(rates).select("lang", "u", F.octet_length("text")).collect()):
+        rows, taken = room.setdefault(lang, [0, 0])
+        if rows < 2 or (rows < wanted and taken + size <= BYTES_PER_LANGUAGE):
+            bounds[lang], room[lang] = u, [rows + 1, taken + size]
+        else:
+            room[lang] = [wanted, taken]  # later rows do not come in
+    rows = sorted((r["lang"], r["u"], r["text"]) for r in below(bounds).collect())
     taught: dict[str, list[str]] = {}
     checks: list[tuple[str, str]] = []
+    sizes = {lang: sum(1 for x in rows if x[0] == lang) for lang in bounds}
     for lang, _, text in rows:
         own = taught.setdefault(lang, [])
-        if len(own) < rows_per_language and len(own) <= totals[lang] // 2:
+        if len(own) < max(1, sizes[lang] // 2):
             own.append(text)
-        elif sum(1 for x, _ in checks if x == lang) < rows_per_language:
+        else:
             checks.append((lang, text))
+    letters = alphabet([text for texts in taught.values() for text in texts])
+    table = symbol_table(letters)
     languages, models = [], []
     for lang, texts in sorted(taught.items()):
-        codes, firsts, letters = symbols(texts)
-        if letters.sum():
+        codes, firsts, found = symbols(texts, table)
+        if found.sum():
             languages.append(lang)
-            models.append(Model(codes[firsts[0] : firsts[-1]].astype(np.int64)))
+            models.append(Model(codes[firsts[0] : firsts[-1]], len(letters) + 2))
     if not models:
         return None
-    identifier = Identifier(languages, models)
+    identifier = Identifier(languages, models, letters)
     identifier.calibrate([t for _, t in checks], [lang for lang, _ in checks])
     identifier._forget()
     return identifier

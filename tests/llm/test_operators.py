@@ -374,15 +374,51 @@ def test_hpylm(docs, no_docs):
     assert all(r.n_known == 0 for r in hpylm.score(docs, F.lit(False)).collect())
 
 
-def test_hpylm_is_a_distribution(spark):
-    """The probabilities of all known words and of the unknown one add up to 1 in a context."""
-    texts = [(k, prose(50, k)) for k in range(60)]
-    made = spark.createDataFrame(texts + [(1000 + k, w) for k, w in enumerate(sorted({w for _, t in texts for w in t.split()}))]
-                                 + [(5000, "never-seen"), (5001, "")], "doc_id long, text string")
-    rows = {r.doc_id: r.score for r in hpylm.score(made, F.col("doc_id") < 1000).collect()}
-    # a text of one word scores p(word | start) p(end | word); the end's share differs by word class
-    total = sum(10 ** rows[k] for k in rows if k >= 1000)
-    assert 0 < total <= 1.02
+def test_hpylm_is_a_distribution():
+    """In every context the mean probabilities of all known words and of a new one add up to 1."""
+    rng = np.random.default_rng(3)
+    contexts = [17 * 16 * k + k % 16 for k in range(1, 30)]
+    pairs = np.array([(w, c, 0 if w == 60 else rng.poisson(3 / w) * rng.integers(1, 90))
+                      for w in range(1, 61) for c in contexts], hpylm._PAIR)
+    state, samples = hpylm._State.begun(pairs), 0
+    for sweep in range(6):
+        totals, told = hpylm.Totals(state.sums()), state.sent()
+        if sweep > 1:
+            state.sample(totals, told)
+            samples += 1
+        state.sweep(totals, told["t"].astype(float), rng)
+    assert (state.cells["t"] <= state.cells["n"]).all() and (state.cells["t"] > 0).sum() == (pairs["n"] > 0).sum()
+    known = np.bincount(state.owner, state.cells["n"])[state.owner] > 0
+    one_new = known | (state.cells["word"] == 60)
+    assert np.allclose(np.bincount(state.place[one_new], state.cells["sum"][one_new]) / samples, 1, atol=1e-4)
+
+
+def test_hpylm_counts_past_32_bits():
+    big = 3_000_000_000
+    pairs = np.array([(5, 16, big), (5, 16, big), (6, 16, 1)], hpylm._PAIR)
+    state = hpylm._State.begun(pairs)
+    assert state.cells["n"].tolist() == [2 * big, 1]
+    back = hpylm._records(hpylm._bytes(state.cells), hpylm._CELL)
+    assert back["n"].tolist() == [2 * big, 1] and hpylm.Totals(state.sums()).all == 2 * big + 1
+
+
+def test_hpylm_beats_counts_on_held_out_texts(spark):
+    """Words that follow few others: perplexity of held-out texts falls well below that of single words."""
+    r = random.Random(11)
+    after = {k: r.sample(range(200), 4) for k in range(200)}
+
+    def walk():
+        at, out = r.randrange(200), []
+        for _ in range(60):
+            out.append(f"w{at}")
+            at = r.choice(after[at])
+        return " ".join(out)
+
+    made = spark.createDataFrame([(k, walk()) for k in range(300)], "doc_id long, text string")
+    rows = [x for x in hpylm.score(made, F.col("doc_id") % 10 != 0).collect() if x.held_out]
+    tokens = sum(x.n_tokens for x in rows)
+    assert len(rows) == 30
+    assert sum(x.score for x in rows) / tokens > sum(x.base_score for x in rows) / tokens + 1
 
 
 def test_language(spark, no_docs):
@@ -403,12 +439,41 @@ def test_language(spark, no_docs):
 
 
 def test_model_adds_up():
-    codes, firsts, _ = langid.symbols(["kalo mika", "lomi ka"])
-    model = langid.Model(codes[firsts[0] : firsts[-1]].astype("int64"))
-    import numpy as np
+    texts = ["kalo mika", "lomi ka"]
+    letters = langid.alphabet(texts)
+    codes, firsts, _ = langid.symbols(texts, langid.symbol_table(letters))
+    model = langid.Model(codes[firsts[0] : firsts[-1]], len(letters) + 2)
+    every = np.arange(len(letters) + 2, dtype=np.uint64)
+    for context in (0, 1, 3 << 16 | 2, 5 << 32 | 12345):
+        assert abs(np.exp(model.log_prob(np.uint64(context << 16) | every)).sum() - 1) < 1e-9
+
+
+def test_every_taught_letter_has_a_symbol():
+    """Languages that differ in letters beyond a-z alone are told apart; case folds, new letters share one symbol."""
+    letters = langid.alphabet(["Єґ éß 日本 ϑ", "єєґ"])
+    table = langid.symbol_table(letters)
+    own = [int(table[ord(c)]) for c in "єґéß日本ϑ"]
+    assert len(set(own)) == 7 and min(own) >= 2 and table[ord("Є")] == table[ord("є")] == 2
+    assert table[ord("a")] == table[ord("я")] == 1 and table[ord(" ")] == table[ord("7")] == 0
 
-    for context in (0, 1, 11 << 6 | 1, 12345):
-        assert abs(np.exp(model.log_prob(context << 6 | np.arange(64))).sum() - 1) < 1e-9
+
+def test_languages_of_other_letters(spark, monkeypatch):
+    r = random.Random(8)
+    base = ["мо", "на", "ре"]
+    rows = [(k, " ".join("".join(r.choice(base) for _ in range(3)) + "єґ"[k % 2] for _ in range(20)), "xy"[k % 2]) for k in range(60)]
+    made = spark.createDataFrame(rows + [rows[0]] * 50, "doc_id long, text string, lang string")
+    identifier = langid.fit(made, F.col("doc_id") % 5 != 0, rows_per_language=12)
+    assert all(x.lang_pred == rows[x.doc_id][2] for x in langid.identify(made, identifier).collect())
+    # a cache of few slots gives the same scores
+    want = identifier.entropies([t for _, t, _ in rows])[0]
+    identifier._forget()
+    monkeypatch.setattr(langid, "KEPT_SCORES", 64)
+    assert np.allclose(identifier.entropies([t for _, t, _ in rows])[0], want)
+    monkeypatch.setattr(langid, "BYTES_PER_LANGUAGE", 1)  # two whole texts of each are still taken
+    assert langid.fit(made, F.lit(True)).languages == ["x", "y"]
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        langid.fit(made, F.lit(True))
 
 
 def test_toxicity(spark, no_docs):
