@@ -6,8 +6,12 @@ arithmetic, so only the pairs that are kept ever exist.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +24,8 @@ from corpusloom.operators.ranking import positions_by_hash
 MAX_PAIRS = 25_000
 #: A prime above any number of pairs: stepping by it visits every pair number once.
 PAIR_STRIDE = 2**89 - 1
+#: Numbers of Gram sums that a task holds before it hands them on.
+HELD_SUMS = 4_000_000
 
 _WIDE = "decimal(38,0)"
 
@@ -144,6 +150,38 @@ def contrastive_pairs(
     )
 
 
+def _class_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per class and width the Gram matrix and the sum of a task's vectors, as one list."""
+    held: dict[tuple, list] = {}
+
+    def emit() -> pa.RecordBatch:
+        labels, widths = zip(*held)
+        counts, sums = zip(*held.values())
+        held.clear()
+        return pa.record_batch(
+            [pa.array(labels, label_type), pa.array(widths, pa.int32()), pa.array(counts, pa.int64()),
+             pa.array(list(sums), pa.list_(pa.float64()))], names=["label", "d", "n", "sums"])
+
+    for batch in batches:
+        label_type = batch.column(0).type
+        codes = batch.column(0).dictionary_encode()
+        names, code = codes.dictionary.to_pylist(), codes.indices.to_numpy()
+        widths = pc.list_value_length(batch.column(1)).to_numpy()
+        for d in np.unique(widths).tolist():
+            rows = np.flatnonzero(widths == d)
+            order = rows[np.argsort(code[rows], kind="stable")]
+            u = batch.column(1).take(pa.array(order)).flatten().to_numpy().reshape(len(order), d)
+            kinds, firsts = np.unique(code[order], return_index=True)
+            for kind, part in zip(kinds.tolist(), np.split(u, firsts[1:])):
+                added = np.concatenate([(part.T @ part).ravel(), part.sum(0)])
+                n, before = held.get((names[kind], d), (0, 0.0))
+                held[names[kind], d] = (n + len(part), before + added)
+                if len(held) * d * (d + 1) > HELD_SUMS:
+                    yield emit()
+    if held:
+        yield emit()
+
+
 def embedding_loss_over_all(
     embeddings: DataFrame, label: str = "label", vector: str = "embedding"
 ) -> DataFrame:
@@ -151,8 +189,8 @@ def embedding_loss_over_all(
 
     Pairs of one class (with the pairs of a vector and itself) aim at a cosine of 1, the
     others at 0.  For unit vectors the sums of cosines and of their squares follow from a
-    class's vector sum and Gram matrix, so no pair is ever listed: one cell of these sums
-    is added up per class and place.  Null and zero vectors and null labels are left out
+    class's vector sum and Gram matrix, so no pair is ever listed: a task adds up its own
+    vectors class by class, and only these blocks are cut into cells and summed by place.  Null and zero vectors and null labels are left out
     and counted.
     """
     rows = embeddings.select(F.col(label).alias("label"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
@@ -160,10 +198,10 @@ def embedding_loss_over_all(
     rows = rows.withColumn("norm", norm)
     usable = F.coalesce((F.col("norm") > 0) & F.col("label").isNotNull(), F.lit(False))
     units = rows.where(usable).select("label", F.transform("v", lambda x: x / F.col("norm")).alias("u"))
-    cells = units.select("label", F.posexplode(F.concat(
-        F.flatten(F.transform("u", lambda x: F.transform("u", lambda y: x * y))), "u"
-    )).alias("place", "x"), F.size("u").alias("d"))
-    sums = cells.groupBy("label", "place", "d").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    kind = units.schema["label"].dataType.simpleString()
+    blocks = units.mapInArrow(_class_sums, f"label {kind}, d int, n bigint, sums array<double>")
+    cells = blocks.select("label", "d", "n", F.posexplode("sums").alias("place", "x"))
+    sums = cells.groupBy("label", "place", "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
     gram = F.col("place") < F.col("d") * F.col("d")
     square = F.when(gram, F.col("x") * F.col("x")).otherwise(0.0)
     length = F.when(gram, 0.0).otherwise(F.col("x") * F.col("x"))

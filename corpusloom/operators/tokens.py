@@ -134,32 +134,22 @@ def whole_word_mask(
         return chosen.select(
             id_col, "tokens", empty.alias("input_tokens"), empty.alias("labels"), F.col("_act").alias("action")
         )
-    # The row itself travels with spot -1, so the input is computed and moved once and
-    # rows without a random word still have a spread-out key.
-    carrier = F.array(F.struct(F.lit(-1).alias("at"), F.col("tokens"), F.col("_act")))
+    # Spots follow from the id and the number of tokens alone: they find their words as
+    # narrow rows, meet by id, and every row moves once.
     random_at = F.filter(
         F.transform("_act", lambda a, i: F.when(a == "random", i)), lambda i: i.isNotNull()
     )
-    spots = F.transform(
-        random_at,
-        lambda i: F.struct(
-            i.alias("at"),
-            F.lit(None).cast("array<string>").alias("tokens"),
-            F.lit(None).cast("array<string>").alias("_act"),
-        ),
-    )
     pick = hash_bigint(md5_key(f"word{seed}", id_col, "at")) % vocab_size
-    found = (
-        chosen.select(id_col, F.inline(F.concat(carrier, spots)))
+    words = (
+        chosen.select(id_col, F.explode(random_at).alias("at"))
         .withColumn("vocab_pos", pick)
         .join(vocab, "vocab_pos")
         .groupBy(id_col)
-        .agg(
-            F.first("tokens", ignorenulls=True).alias("tokens"),
-            F.first("_act", ignorenulls=True).alias("_act"),
-            F.map_from_entries(F.collect_list(F.when(F.col("at") >= 0, F.struct("at", "token")))).alias("_words"),
-        )
+        # rows of one id draw the same word at the same spot
+        .agg(F.map_from_entries(F.collect_set(F.struct("at", "token"))).alias("_words"))
     )
+    found = chosen.join(words, id_col, "left")
+
     def act_at(i: Column) -> Column:
         return F.get(F.col("_act"), i)
 

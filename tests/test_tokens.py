@@ -84,3 +84,12 @@ def test_masking_of_empty_rows(make):
     assert got[1].input_tokens == [] and got[1].labels == [] and got[2].labels == ["a"]
     none = df.filter("doc_id = 1")
     assert K.whole_word_mask(none, K.indexed_vocabulary(none)).first().input_tokens == []
+
+
+def test_masking_keeps_rows_of_one_id_apart(make):
+    words = [f"w{k}" for k in range(300)]
+    df = make([(1, words), (1, words[:150]), (1, words), (None, ["x"])], "doc_id int, tokens array<string>")
+    rows = K.whole_word_mask(df, K.indexed_vocabulary(df)).collect()
+    assert sorted(len(r.input_tokens) for r in rows) == [1, 150, 300, 300]
+    assert all(len(r.tokens) == len(r.input_tokens) == len(r.labels) and None not in r.input_tokens for r in rows)
+    assert any("random" in r.action for r in rows)
