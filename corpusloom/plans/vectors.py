@@ -14,6 +14,7 @@ from corpusloom.operators import head as H
 from corpusloom.operators import metrics as M
 from corpusloom.operators import splits
 from corpusloom.operators import trials as T
+from corpusloom.operators.tokens import vocabulary, word_tokens
 from corpusloom.plans.sql import key, unit, with_ctes
 from corpusloom.sources import derived as D
 
@@ -170,6 +171,21 @@ def error_attributions(spark, sf_dir):
     return records.select("vec_id", "label_code", "pred_class", F.round("attr_score", 6).alias("attr_score"), "delta")
 
 
+def token_attributions(spark, sf_dir):
+    """Tokens of all documents, with hashed vectors of 16 numbers and a head on their means."""
+    docs = D.corpus(spark, sf_dir).select("doc_id", "label", word_tokens(F.col("text")).alias("tokens"))
+    vectors = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.pmod(F.xxhash64("token", i), F.lit(2001)) / 1000 - 1)
+    table = vocabulary(docs).select("token", vectors.alias("vector"))
+    coded = C.factorize(docs.select("doc_id", "label"), C.class_table(docs))
+    pooled = E.pooled_tokens(E.token_counts(docs, table)).join(coded, "doc_id")
+    model = H.fit_head(H.as_features(C.with_class_weight(pooled, C.class_weights(pooled))), max_iter=10)
+    found = E.token_attributions(docs, table, model, target=1)
+    return found.select(
+        "doc_id", "token", "n", F.round("attribution", 6).alias("attribution"), "pred_class", "attr_class",
+        F.round("pred_prob", 6).alias("pred_prob"), "delta",
+    )
+
+
 def project_2d(spark, sf_dir):
     return H.project_2d(_vectors(spark, sf_dir)).select("vec_id", "label", "x", "y")
 
@@ -179,7 +195,7 @@ QUERIES = {
     for f in (
         l2_normalize, argmax_predict, softmax_probs, nucleus_sample, weighted_ce, weighted_bce, attribution_summary,
         centroid_predict, head_fit_predict, head_evaluate, head_search, head_search_pruned, multi_target_fit, integrated_gradients,
-        error_attributions, project_2d,
+        error_attributions, token_attributions, project_2d,
     )
 }
 

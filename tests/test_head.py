@@ -96,6 +96,40 @@ def test_attributions_match_a_plain_path_integral(vectors, model):
     assert np.allclose(row.attributions, x * total)
 
 
+def test_token_attributions(make, model):
+    """Against a path integral over every token's own vector; unknown tokens, repeats, empty and null rows."""
+    rng = np.random.default_rng(2)
+    known = {w: rng.normal(0, 1.5, 4) for w in "abcdef"}
+    table = make([(w, [float(x) for x in v]) for w, v in known.items()], "token string, vector array<double>")
+    texts = {1: list("aab"), 2: list("cdefz"), 3: ["z"], 4: [], 5: None, None: list("ff")}
+    df = make(list(texts.items()), "doc_id bigint, tokens array<string>").withColumn("n", F.lit("x"))
+    got = {(r.doc_id, r.token): r for r in E.token_attributions(df, table, model, target=1, n_steps=200).collect()}
+    assert set(got) == {(i, w) for i, t in texts.items() for w in t or []}
+    weights, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+
+    def prob(x):
+        z = np.exp(weights @ x + bias)
+        return z / z.sum()
+
+    for i, t in texts.items():
+        own = [w for w in t or [] if w in known]
+        if not own:
+            continue
+        e, want = np.stack([known[w] for w in own]), np.zeros(len(own))
+        for k in range(200):
+            p = prob((e * (k + 0.5) / 200).mean(0))
+            want += e @ (p[1] * (weights[1] - p @ weights)) / len(own) / 200
+        for w in set(own):
+            r = got[i, w]
+            assert r.n == own.count(w) and r.attribution == pytest.approx(sum(x for x, o in zip(want, own) if o == w), abs=1e-9)
+            assert r.pred_class == prob(e.mean(0)).argmax() and r.attr_prob == pytest.approx(prob(e.mean(0))[1])
+        gain = prob(e.mean(0))[1] - prob(np.zeros(4))[1]
+        assert sum(got[i, w].attribution for w in set(own)) == pytest.approx(gain, abs=1e-3) and abs(got[i, own[0]].delta) < 1e-3
+    assert got[2, "z"].attribution == got[3, "z"].attribution == 0 and got[3, "z"].pred_class is None
+    none = E.token_attributions(df.limit(0), table, model, target=1)
+    assert none.collect() == []
+
+
 def test_centroids(make):
     df = make([(1, [1.0, 0.0], 4), (2, [0.8, 0.2], 4), (3, [0.0, 1.0], 2), (4, [0.5, 0.5], 2)],
               "vec_id int, embedding array<float>, label bigint")
