@@ -227,19 +227,23 @@ def embedding_loss_over_all(
     )
 
 
-def embedding_loss(
-    pairs: DataFrame, embeddings: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
-) -> DataFrame:
-    """Mean of ``(cos(u, v) - target)^2``; pairs with a zero vector are counted apart."""
+def pair_vectors(pairs: DataFrame, embeddings: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``pair, target, u, v``: pairs with the vectors of their ends, from one scan of the vectors."""
     vectors = embeddings.select(F.col(id_col).alias("id"), F.col(vector).alias("vector"))
     ends = F.array(
         F.struct(F.lit(0).alias("side"), F.col("id_left").alias("id")), F.struct(F.lit(1).alias("side"), F.col("id_right").alias("id"))
     )
-    # one scan of the vectors serves both ends
-    both = pairs.select("pair", "target", F.inline(ends)).join(vectors, "id").groupBy("pair", "target").agg(
+    return pairs.select("pair", "target", F.inline(ends)).join(vectors, "id").groupBy("pair", "target").agg(
         F.first(F.when(F.col("side") == 0, F.col("vector")), ignorenulls=True).alias("u"),
         F.first(F.when(F.col("side") == 1, F.col("vector")), ignorenulls=True).alias("v"),
     )
+
+
+def embedding_loss(
+    pairs: DataFrame, embeddings: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
+) -> DataFrame:
+    """Mean of ``(cos(u, v) - target)^2``; pairs with a zero vector are counted apart."""
+    both = pair_vectors(pairs, embeddings, id_col, vector)
     scored = both.select("target", V.cosine(F.col("u"), F.col("v")).alias("cos"))
     return scored.agg(
         F.avg(F.pow(F.col("cos") - F.col("target"), F.lit(2.0))).alias("embedding_loss"),

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import vectors as V
+from corpusloom.operators import adapter as A
 from corpusloom.operators import pairs as P
+from corpusloom.operators import splits
 from corpusloom.plans import corpus as base
 from corpusloom.plans.sql import key, with_ctes
 from corpusloom.sources import derived as D
@@ -21,7 +24,25 @@ def embedding_loss(spark, sf_dir):
     return loss.withColumn("embedding_loss", F.round("embedding_loss", 6))
 
 
-QUERIES = {f.__name__: f for f in (contrastive_pairs, embedding_loss)}
+def adapter_fit(spark, sf_dir):
+    """All vectors by an adapter trained on pairs of four in five rows; the log of its losses in every row."""
+    coded = D.embeddings(spark, sf_dir).withColumnRenamed("label", "label_code")
+    rows = splits.exact_split(coded, "vec_id")
+
+    def paired(part):
+        own = rows.filter(F.col("split") == part)
+        classes = own.groupBy("label_code").agg(F.count("*").alias("n"))
+        return P.pair_vectors(P.contrastive_pairs(own, classes, id_col="vec_id"), own)
+
+    matrix, log = A.fit_adapter(paired("train"), paired("eval"))
+    losses = {f"eval_loss_{when}": F.lit(log[at][2]).cast("double") for when, at in (("before", 0), ("after", -1))}
+    return A.adapted(coded, matrix).select(
+        "vec_id", "label_code", F.round(V.l2_norm(F.col("adapted")), 6).alias("norm"),
+        F.round(F.get("adapted", F.lit(0)), 6).alias("first"), *[F.round(c, 6).alias(name) for name, c in losses.items()],
+    )
+
+
+QUERIES = {f.__name__: f for f in (contrastive_pairs, embedding_loss, adapter_fit)}
 
 
 def _pairs(source: str, id_col: str, batch: int = 16) -> dict[str, str]:
