@@ -31,6 +31,8 @@ CUTS = (3, 4, 5, -4)
 CHAIN = 64
 #: Labelled rows of each class that the model learns from.
 ROWS_PER_CLASS = 1000
+#: Bytes of whole texts of each class that it learns from, one text at least.
+BYTES_PER_CLASS = 32 << 20
 MIN_DOCUMENTS, MIN_RATIO = 8, 15.0
 SPAN_AT = 0.5
 
@@ -170,6 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows_per_class: int =
     """Train on at most ``rows_per_class`` labelled rows of each class, chosen by a hash.
 
     ``learn`` says which rows may teach.  Rows without a text or a 0/1 label teach nothing.
+    Of an id with several texts the one with the smallest hash teaches.  Whole texts of a
+    class are taken up to BYTES_PER_CLASS, one at least.
     """
     named = labels.select(F.col(id_column), F.col(label_column).cast("int").alias("_label")).where("_label in (0, 1)")
     known = named.where(learn).distinct()
@@ -182,7 +186,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows_per_class: int =
     ids = [tuple(r) for r in some.limit(3 * rows_per_class).collect()]
     sample = local_table(docs.sparkSession, ids, f"_sample_id {kind}, _label int")
     texts = docs.where(F.col(text_column).isNotNull()).join(sample, F.col(id_column) == F.col("_sample_id"))
-    rows = sorted((r[0], r[1], r[2]) for r in texts.select("_sample_id", "_label", text_column).collect())
+    texts = texts.select("_sample_id", "_label", F.xxhash64(text_column).alias("_hash"), F.col(text_column).alias("_text"))
+    first = F.min(F.struct("_hash", F.octet_length("_text").alias("size")))
+    chosen, taken = [], {}
+    for sample_id, label, (hashed, size) in sorted(
+            tuple(r) for r in texts.groupBy("_sample_id", "_label").agg(first).collect()):
+        if label not in taken or taken[label] + size <= BYTES_PER_CLASS:
+            taken[label] = taken.get(label, 0) + size
+            chosen.append((sample_id, label, hashed))
+    named = local_table(docs.sparkSession, chosen, f"_sample_id {kind}, _label int, _hash long")
+    keys = ["_sample_id", "_label", "_hash"]
+    told = texts.join(named, keys).dropDuplicates(keys).select("_sample_id", "_label", "_text")
+    rows = sorted(tuple(r) for r in told.collect())
     n = {k: sum(1 for r in rows if r[1] == k) for k in (0, 1)}
     weight = (totals.get(0, 0) / max(1, n[0])) / max(1e-9, totals.get(1, 0) / max(1, n[1])) if n[1] else 1.0
     return train([as_bytes(r[2]) for r in rows], [r[1] for r in rows], weight)
