@@ -4,8 +4,8 @@ A capture is written as a request, a response (or a revisit of an equal payload)
 metadata record.  The request and the metadata name the response in WARC-Concurrent-To.
 Records are rows of text that end in the blank lines WARC asks for, so Spark's text writer
 makes the archives on any file system it can reach, and its text reader cuts them at the
-version line.  A payload that holds the version line is put together again by its
-Content-Length.
+version lines of 1.0 and 1.1.  A payload that holds a version line is put together again by
+its Content-Length.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from corpusloom.llm.common import answer_by_runs, as_bytes
 
 #: Fixed values of the format (ISO 28500).
 VERSION = "WARC/1.1"
+VERSIONS = "WARC/1."
 CRLF = "\r\n"
 RECORD_END = CRLF + CRLF
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -125,16 +126,18 @@ def write_archives(records: DataFrame, path: str, compression: str = "gzip") ->
 
 
 RECORD_SCHEMA = (
-    "record_id string, record_type string, concurrent_to string, uri string, date string, refers_to string, "
+    "record_id string, record_type string, concurrent_to array<string>, uri string, date string, refers_to string, "
     "declared_digest string, payload_digest string, block_bytes long, payload binary, fields map<string,string>"
 )
 _ARROW = pa.schema([
-    *[(name, pa.string()) for name in ("record_id", "record_type", "concurrent_to", "uri", "date", "refers_to",
-                                       "declared_digest", "payload_digest")],
+    ("record_id", pa.string()), ("record_type", pa.string()), ("concurrent_to", pa.list_(pa.string())),
+    *[(name, pa.string()) for name in ("uri", "date", "refers_to", "declared_digest", "payload_digest")],
     ("block_bytes", pa.int64()), ("payload", pa.binary()), ("fields", pa.map_(pa.string(), pa.string())),
 ])
-_START = (VERSION + CRLF).encode()
+_START = VERSIONS.encode()
 _BLANK = RECORD_END.encode()
+#: Ends of names of files that Spark never splits.
+UNSPLIT = (".gz", ".deflate", ".zst", ".lz4", ".snappy")
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -146,7 +149,21 @@ def _fields(head: bytes) -> dict[str, str]:
     return found
 
 
-def _record(head: dict[str, str], block: bytes, keep_payload: bool) -> tuple:
+def _concurrent(head: bytes) -> list[str]:
+    """All records that a header names as concurrent, each once, in its order."""
+    found = (line.partition(b":") for line in head.split(CRLF.encode()))
+    named = (value.strip().decode("utf-8", "replace") for name, _, value in found
+             if name.strip().lower() == b"warc-concurrent-to")
+    return list(dict.fromkeys(filter(None, named)))
+
+
+def _declared(head: dict[str, str]) -> int | None:
+    """The Content-Length, or None where it is missing or no number."""
+    value = head.get("content-length", "")
+    return int(value) if value.isascii() and value.isdigit() else None
+
+
+def _record(head: dict[str, str], concurrent: list[str], block: bytes, keep_payload: bool) -> tuple:
     kind = head.get("warc-type")
     http = kind in ("response", "revisit") and head.get("content-type", "").startswith("application/http")
     fields, payload = {}, block
@@ -156,7 +173,7 @@ def _record(head: dict[str, str], block: bytes, keep_payload: bool) -> tuple:
     elif kind == "metadata":
         fields = _fields(block)
     return (
-        head.get("warc-record-id"), kind, head.get("warc-concurrent-to"), head.get("warc-target-uri"),
+        head.get("warc-record-id"), kind, concurrent, head.get("warc-target-uri"),
         head.get("warc-date"), head.get("warc-refers-to-capture"),
         head.get("warc-payload-digest", "").removeprefix("sha256:") or None,
         hashlib.sha256(payload).hexdigest() if kind == "response" else None,
@@ -172,26 +189,46 @@ def _parse(keep_payload: bool):
             columns = list(zip(*out)) if out else [()] * len(_ARROW)
             return pa.record_batch([pa.array(list(c), f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
+        archive, loose = None, False  # loose: a record of unknown length has begun
+
+        def done(held: bytes, want: int | None) -> tuple:
+            head, _, rest = held.partition(_BLANK)
+            block = rest.removesuffix(_BLANK) if want is None else rest[:want]
+            return _record(_fields(head), _concurrent(head), block, keep_payload)
+
         for batch in batches:
-            for piece in batch.column(0).to_pylist():
-                # a piece is what stands between two version lines
+            names = batch.column(1).to_pylist()
+            for piece, name in zip(batch.column(0).to_pylist(), names):
+                # a piece is what stands between two version marks
+                starts = piece[:1] in b"01" and piece[1:3] == b"\r\n"
+                if loose and (starts or name != archive):
+                    out.append(done(held, None))
+                    held, loose = None, False
+                if name != archive:
+                    if held is not None:
+                        raise ValueError("an archive ends within a record")
+                    archive = name
+                if held is None and not starts:
+                    continue  # before the first version line of an archive
                 held = piece if held is None else held + _START + piece
                 head, blank, rest = held.partition(_BLANK)
                 if not blank:
-                    if not held.strip():
-                        held = None  # before the first version line of an archive
                     continue
-                fields = _fields(head)
-                want = int(fields.get("content-length", 0))
+                want = _declared(_fields(head))
+                if want is None:
+                    loose = True
+                    continue
                 if len(rest) < want:
-                    continue  # the payload itself holds a version line
-                out.append(_record(fields, rest[:want], keep_payload))
+                    continue  # the payload itself holds a version mark
+                out.append(done(held, want))
                 size += want if keep_payload else 200
                 held = None
                 if size > 8 << 20 or len(out) >= 4096:
                     yield flush()
                     out, size = [], 0
-        if held is not None and held.strip():
+        if loose:
+            out.append(done(held, None))
+        elif held is not None:
             raise ValueError("an archive ends within a record")
         yield flush()
 
@@ -202,9 +239,18 @@ def read_records(spark: SparkSession, path: str, keep_payload: bool = True) -> D
     """One row per record.  ``payload_digest`` is of the payload that was read.
 
     Without ``keep_payload`` payloads are still read and hashed, but not passed on.
-    An archive is read by one task, record by record.
+    An archive is read by one task, record by record.  Files that Spark would split go
+    through a shuffle by file, sorted by place.  A record whose Content-Length is missing
+    or no number ends at the next version line.  Repeated WARC-Concurrent-To headers all
+    count.  An archive that ends before a record's declared length is refused.
     """
-    pieces = spark.read.option("lineSep", VERSION + CRLF).text(path).select(F.col("value").cast("binary"))
+    found = spark.read.option("lineSep", VERSIONS).text(path)
+    value, name = F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("name")
+    if all(file.endswith(UNSPLIT) for file in found.inputFiles()):
+        pieces = found.select(value, name)
+    else:
+        place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place")
+        pieces = found.select(value, name, place).repartition("name").sortWithinPartitions("name", "place").drop("place")
     return pieces.mapInArrow(_parse(keep_payload), RECORD_SCHEMA)
 
 
@@ -212,14 +258,18 @@ def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: ``capture_id``, ``response``, ``requests``, ``metadata``.
 
     Requests and metadata join their response or revisit by WARC-Concurrent-To.  Several
-    of them for one response are kept in an array; one that names no known response, or
-    none at all, becomes a capture without a response, so no record is lost.
+    of them for one response are kept in an array, and a record that names several
+    responses stands in each of their captures.  One that names no known response, or
+    none at all, becomes a capture without a response, so no record is lost; without an
+    id of its own either, its capture has none.
     """
     primary = F.col("record_type").isin("response", "revisit")
     inner = F.struct("record_id", "record_type", "uri", "date", "refers_to", "declared_digest", "payload_digest",
                      "block_bytes", "payload", "fields")
+    named = F.filter("concurrent_to", lambda x: x.isNotNull())
+    named = F.when(primary | (F.coalesce(F.size(named), F.lit(0)) == 0), F.array("record_id")).otherwise(named)
     keyed = records.select(
-        F.when(primary, F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id")).alias("capture_id"),
+        F.explode(named).alias("capture_id"),
         F.col("record_type").alias("kind"),
         primary.alias("is_primary"),
         inner.alias("record"),
@@ -228,13 +278,15 @@ def assemble(records: DataFrame) -> DataFrame:
     narrow = F.col("record").withField("payload", F.lit(None).cast("binary"))
     others = (
         keyed.where("not coalesce(is_primary, false)")
-        .groupBy("capture_id")
+        # records without any id are captures of their own
+        .withColumn("_own", F.when(F.col("capture_id").isNull(), F.monotonically_increasing_id()))
+        .groupBy("capture_id", "_own")
         .agg(
             F.collect_list(F.when(F.col("kind") == "request", narrow)).alias("requests"),
             F.collect_list(F.when(F.coalesce(F.col("kind") != "request", F.lit(True)), narrow)).alias("metadata"),
         )
     )
-    return responses.join(others, "capture_id", "full_outer")
+    return responses.join(others.drop("_own"), "capture_id", "full_outer")
 
 
 def captures(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:

@@ -212,6 +212,47 @@ def test_warc_round_trip(spark, compression):
     assert got == want
 
 
+def test_warc_split_archives(spark):
+    """Uncompressed archives larger than a split, with payloads that hold version lines."""
+    html = "WARC/1.1\r\nWARC/1.0\r\n WARC/1.x " + "x" * 20_000
+    pages = spark.createDataFrame([(k, "u", f"{k} {html}") for k in range(40)], "page_id long, url string, html string")
+    path = shared_path(spark, "warc")
+    warc.write_archives(warc.capture_records(pages.coalesce(1)), path, "none")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60000")
+    try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 5
+        rows = warc.captures(spark, path).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    told = {r.metadata[0]["fields"]["captureid"]: bytes(r.response.payload).decode() for r in rows}
+    assert told == {str(k): f"{k} {html}" for k in range(40)}
+
+
+def test_warc_foreign_headers(spark, tmp_path):
+    def record(version, kind, fields, block, length=None):
+        head = "".join(f"{k}: {v}\r\n" for k, v in [("WARC-Type", kind), *fields])
+        return f"WARC/{version}\r\n{head}Content-Length: {len(block) if length is None else length}\r\n\r\n{block}\r\n\r\n"
+
+    (tmp_path / "a.warc").write_bytes("".join([
+        record("1.0", "response", [("WARC-Record-ID", "<a>")], "first"),
+        record("1.1", "response", [("WARC-Record-ID", "<b>")], "not WARC/1.7 a start", "many"),
+        record("1.0", "request", [("WARC-Record-ID", "<q>"), ("WARC-Concurrent-To", "<a>"), ("WARC-Concurrent-To", "<b>")], "get"),
+        record("1.1", "metadata", [], "k: 1"),
+        record("1.1", "metadata", [], "k: 2", ""),
+    ]).encode())
+    rows = warc.captures(spark, str(tmp_path)).collect()
+    named = {r.capture_id: r for r in rows if r.capture_id}
+    assert bytes(named["<a>"].response.payload) == b"first"
+    assert bytes(named["<b>"].response.payload) == b"not WARC/1.7 a start"
+    assert all([q.record_id for q in named[k].requests] == ["<q>"] for k in ("<a>", "<b>"))
+    alone = [r for r in rows if r.capture_id is None]
+    assert sorted(r.metadata[0]["fields"]["k"] for r in alone) == ["1", "2"] and all(len(r.metadata) == 1 for r in alone)
+    (tmp_path / "b.warc").write_bytes(record("1.1", "response", [], "cut", 99).encode())
+    with pytest.raises(Exception, match="ends within a record"):
+        warc.captures(spark, str(tmp_path)).collect()
+
+
 def test_warc_orphans_and_nothing(spark):
     pages = spark.createDataFrame(PAGES[:3], "page_id long, url string, html string")
     path = shared_path(spark, "warc")
@@ -503,6 +544,22 @@ def test_toxicity(spark, no_docs):
     assert all(0 <= x.score <= 1 for x in toxicity.score(made, nothing, keep_text=True).collect())
 
 
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    """Repeats of a row teach once, and whole texts come in up to the bound in bytes."""
+    rows = [(k, prose(30, k) + (" vexo vexin" if k % 3 == 0 else "")) for k in range(90)]
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    sizes = []
+    plain = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, *rest: sizes.append([len(t) for t in texts]) or plain(texts, *rest))
+    for docs in (once, once.unionAll(once).unionAll(once)):
+        toxicity.fit(docs, known, F.lit(True))
+    assert sizes[0] == sizes[1] and len(sizes[0]) == 90
+    monkeypatch.setattr(toxicity, "BYTES_PER_CLASS", 1000)
+    toxicity.fit(once, known, F.lit(True))
+    assert 2 <= len(sizes[2]) < 90 and sum(sizes[2]) <= 2000
+
+
 def test_crf_marginals_and_viterbi():
     import itertools
 
