@@ -10,8 +10,10 @@ from corpusloom.operators import classes as C
 from corpusloom.operators import labelling as L
 from corpusloom.operators import metrics as M
 from corpusloom.plans.sql import with_ctes
+from corpusloom.session import shared_path
 from corpusloom.sources import corpus as S
 from corpusloom.sources import derived as D
+from corpusloom.streaming import metrics as streamed
 
 METRICS = ("balanced_accuracy", "f1_score_macro", "accuracy")
 
@@ -40,6 +42,23 @@ def metrics_by_run(spark, sf_dir):
     return _rounded(M.metrics_by(D.run_predictions(spark, sf_dir).filter("status"), "n_samples"))
 
 
+def metrics_stream(spark, sf_dir):
+    """The metrics of every run, kept up by a stream that gets a tenth of the answers twice."""
+    runs = D.run_predictions(spark, sf_dir)
+    seconds = F.pmod(F.xxhash64("doc_id", "n_samples"), F.lit(3600))
+    runs = runs.withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + seconds))
+    again = runs.where(seconds % 10 == 0).withColumn("at", F.col("at") + F.expr("interval 1 minute"))
+    sent, source = runs.unionByName(again), shared_path(spark, "answers")
+    sent.write.parquet(source)
+    at_once = spark.conf.get("spark.sql.shuffle.partitions")
+    files = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", at_once).parquet(source)
+    cells = streamed.confusion_stream(files, ["n_samples"], ["doc_id"], delay="2 hours")
+    path = shared_path(spark, "cells")
+    streamed.append_cells(cells, path, shared_path(spark, "progress")).awaitTermination()
+    found = streamed.cell_metrics(streamed.read_cells(spark, path, ["n_samples"]), ["n_samples"])
+    return _rounded(found.drop("n_valid", "n_invalid"))
+
+
 def metrics_table(spark, sf_dir):
     """A report per model and project: the runs as models, the languages as projects."""
     project = D.table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("project"))
@@ -123,7 +142,7 @@ def parse_last_message(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        confusion_matrix, classification_metrics, few_shot_metrics, metrics_by_run, metrics_table, best_run, pending_runs,
+        confusion_matrix, classification_metrics, few_shot_metrics, metrics_by_run, metrics_stream, metrics_table, best_run, pending_runs,
         misclassified, validate_labels, annotation_labels, annotator_pairs, label_filter, agreement_matrix,
         cohen_kappa, parse_suffix, parse_category, parse_last_message,
     )
@@ -233,3 +252,6 @@ ORACLES = {
         "select conv_id, max_by(role, turn) as role, md5(max_by(text, turn)) as content_md5"
         " from conversations group by conv_id",
 }
+
+#: A stream ends where the batch query does.
+ORACLES["metrics_stream"] = ORACLES["metrics_by_run"]
