@@ -42,6 +42,8 @@ from corpusloom.session import discard, write_through
 #: Bits of the filters that keep keys and sets without partners out of shuffles.  Their size
 #: is fixed; when they fill up they let more rows through, which changes no result.
 FILTER_BITS = 1 << 26
+#: Rows whose keys are looked up in the filter at once.
+ENTRY_ROWS = 512
 #: Low bits of a key that are counted to find the keys that sets share.
 COUNTED_BITS = 40
 SECOND_AT = COUNTED_BITS - 26
@@ -242,13 +244,15 @@ def _entries(bits):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            set_ids, key_lists, info_lists = batch.columns
-            keys = key_lists.flatten().to_numpy(zero_copy_only=False)
-            infos = info_lists.flatten().to_numpy(zero_copy_only=False)
-            lengths = key_lists.value_lengths().to_numpy(zero_copy_only=False)
-            owners = np.repeat(set_ids.to_numpy(zero_copy_only=False), lengths)
-            good = in_filter(keys, bits.value)
-            yield pa.record_batch([keys[good], owners[good], infos[good]], names=["key", "set_id", "info"])
+            # a batch holds some hundred keys a row: few rows at a time bound what is held beside it
+            for at in range(0, batch.num_rows, ENTRY_ROWS):
+                set_ids, key_lists, info_lists = batch.slice(at, ENTRY_ROWS).columns
+                keys = key_lists.flatten().to_numpy(zero_copy_only=False)
+                infos = info_lists.flatten().to_numpy(zero_copy_only=False)
+                lengths = key_lists.value_lengths().to_numpy(zero_copy_only=False)
+                good = np.flatnonzero(in_filter(keys, bits.value))
+                owners = np.repeat(set_ids.to_numpy(zero_copy_only=False), lengths)
+                yield pa.record_batch([keys[good], owners[good], infos[good]], names=["key", "set_id", "info"])
 
     return run
 
