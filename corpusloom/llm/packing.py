@@ -203,7 +203,7 @@ PIECE = (
 _KINDS = [pa.int64()] * 8
 
 
-def _pack(path: str, tiers: tuple[int, ...], end_id: int, keep_ids: bool):
+def _pack(path: str, tiers: tuple[int, ...], end_id: int, keep_ids: bool, keep_cache: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         base = TaskContext.get().partitionId() << 33
@@ -259,6 +259,8 @@ def _pack(path: str, tiers: tuple[int, ...], end_id: int, keep_ids: bool):
                     yield flush(kind)
         emit(packer.finish())
         yield flush(kind)
+        if not keep_cache:
+            encoder.cache_clear()
 
     return run
 
@@ -271,6 +273,7 @@ def pack(
     id_column: str = "doc_id",
     text_column: str = "text",
     keep_ids: bool = False,
+    keep_cache: bool = True,
 ) -> DataFrame:
     """One row per piece of a document: where it stands in its document and its sequence.
 
@@ -280,11 +283,12 @@ def pack(
     length, ``step_group`` numbers groups of sequences of nearly equal tokens; ids of
     sequences and groups are unique over all tasks.  Rows are packed one by one, so repeated
     rows and null ids are packed like any other; other columns are not read.  ``ids`` holds
-    the piece's tokens with ``keep_ids``.
+    the piece's tokens with ``keep_ids``.  Without ``keep_cache`` a worker forgets the chunks
+    it has encoded when its task ends, for jobs whose other stages need the memory.
     """
     if not tiers or list(tiers) != sorted(set(tiers)) or any(t & (t - 1) or t < 1 for t in tiers):
         raise ValueError("tiers must be ascending powers of two")
     narrow = docs.select(F.col(id_column).alias(name := fresh("id")), F.col(text_column).cast("string").alias("text"))
     kind = narrow.schema[name].dataType.simpleString()
     schema = f"id {kind}, {PIECE}" + (", ids array<long>" if keep_ids else "")
-    return narrow.mapInArrow(_pack(tokenizer_path, tiers, end_id, keep_ids), schema).withColumnRenamed("id", id_column)
+    return narrow.mapInArrow(_pack(tokenizer_path, tiers, end_id, keep_ids, keep_cache), schema).withColumnRenamed("id", id_column)
