@@ -189,8 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows_per_class: int =
     texts = texts.select("_sample_id", "_label", F.xxhash64(text_column).alias("_hash"), F.col(text_column).alias("_text"))
     first = F.min(F.struct("_hash", F.octet_length("_text").alias("size")))
     chosen, taken = [], {}
-    for sample_id, label, (hashed, size) in sorted(
-            tuple(r) for r in texts.groupBy("_sample_id", "_label").agg(first).collect()):
+    found = (tuple(r) for r in texts.groupBy("_sample_id", "_label").agg(first).collect())
+    for sample_id, label, (hashed, size) in sorted(found, key=lambda r: (*r[2], r[0])):
         if label not in taken or taken[label] + size <= BYTES_PER_CLASS:
             taken[label] = taken.get(label, 0) + size
             chosen.append((sample_id, label, hashed))
