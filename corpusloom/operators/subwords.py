@@ -10,11 +10,16 @@ changed by the words that a round touches; the driver sees the few best pairs of
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions.hashing import hash_bigint, md5_key
 from corpusloom.functions.templates import WORDPIECE_MARK
@@ -29,6 +34,8 @@ PER_ROUND = 32
 LOOKED_AT = 4
 #: Most pieces of a vocabulary that workers hold as a trie.
 MAX_PIECES = 200_000
+#: Pieces that are masked together in a worker.
+PIECES_AT_ONCE = 1_000_000
 
 
 def spelled(word: Column) -> Column:
@@ -198,6 +205,63 @@ def _words(text: str) -> list[str]:
     return [w for w in clean.split(" ") if w]
 
 
+def _starts(tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where rows begin and end among all tokens, and which tokens begin a word."""
+    ends = np.asarray(tokens.offsets, dtype="int64") - tokens.offsets[0].as_py()
+    plain = pc.invert(pc.starts_with(tokens.flatten(), WORDPIECE_MARK))
+    starts = pc.fill_null(plain, False).to_numpy(zero_copy_only=False).copy()
+    starts[ends[:-1][ends[:-1] < ends[1:]]] = True
+    return ends, starts
+
+
+def _taken(starts: np.ndarray, n: int, key: str, act: str, p: float) -> Iterator[tuple[int, int, int]]:
+    """``(at, end, action)`` of the words of a row of ``n`` pieces that are taken, by their places."""
+    wanted = max(1, round(n * p))
+    ends = [*starts[1:], n]
+    order = sorted((hashlib.md5(f"{key}{at}".encode()).digest(), at, end) for at, end in zip(starts, ends))
+    used = 0
+    for _, at, end in order:
+        if used == 0 or used + end - at <= wanted:
+            used += end - at
+            draw = int.from_bytes(hashlib.md5(f"{act}{at}".encode()).digest()[:4], "big") % 100
+            yield at, end, 0 if draw < 80 else 1 if draw < 90 else 2
+            if used >= wanted:
+                return
+
+
+def _masked(batch: pa.RecordBatch, pieces: dict | None, size: int, p: float, seed: int, mask: str) -> pa.RecordBatch:
+    """The rows of ``id, tokens, text of the id`` with ``input_tokens, labels, action``."""
+    tokens = batch.column(1)
+    ends, starts = _starts(tokens)
+    at = np.flatnonzero(starts)
+    first = np.searchsorted(at, ends)
+    acts = np.full(ends[-1], -1, dtype="int8")
+    spots, found = [], []
+    for row, text in enumerate(batch.column(2).to_pylist()):
+        base, n = int(ends[row]), int(ends[row + 1] - ends[row])
+        if n == 0:
+            continue
+        words = (at[first[row]:first[row + 1]] - base).tolist()
+        for begin, end, act in _taken(words, n, f"word{seed}:{text}:", f"act{seed}:{text}:", p):
+            acts[base + begin:base + end] = act
+            if act == 1 and pieces is not None:
+                for k in range(begin, end):
+                    drawn = hashlib.md5(f"piece{seed}:{text}:{k}".encode()).hexdigest()
+                    spots.append(base + k)
+                    found.append(pieces.get(int(drawn[:15], 16) % size))
+    flat = tokens.flatten()
+    source = np.arange(len(flat))
+    source[acts == 0] = len(flat)
+    source[np.array(spots, dtype="int64")] = len(flat) + 1 + np.arange(len(found))
+    unknown = (acts == 1) & (source < len(flat))
+    inputs = pa.concat_arrays([flat, pa.array([mask, *found], pa.string())]).take(pa.array(source, mask=unknown))
+    labels = flat.take(pa.array(np.arange(len(flat)), mask=acts < 0))
+    names = pa.array(["mask", "random", "keep"]).take(pa.array(acts, mask=acts < 0))
+    offsets = pa.array(ends.astype("int32"))
+    columns = [pa.ListArray.from_arrays(offsets, c) for c in (flat, inputs, labels, names)]
+    return pa.record_batch([batch.column(0), *columns], names=[batch.schema.names[0], "tokens", "input_tokens", "labels", "action"])
+
+
 def mask_word_pieces(
     df: DataFrame, vocabulary: DataFrame, p: float = 0.15, seed: int = 42, id_col: str = "doc_id", mask: str = MASK_TOKEN,
 ) -> DataFrame:
@@ -209,59 +273,39 @@ def mask_word_pieces(
     piece has a mask.  A taken word is masked (80 %), replaced piece by piece by random
     pieces (10 %) or kept (10 %) as a whole.
 
-    Rows are written once with their actions; only the places of random pieces meet the
-    vocabulary, and rows move once to meet what was found.
+    Rows are masked where they are, in Arrow batches, and do not move: the vocabulary goes to
+    the workers up to ``MAX_PIECES``.  Past that the places of random pieces meet it by rank,
+    and rows move once to meet what was found.
     """
-    size = vocabulary.count()
     id_text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     tokens = F.coalesce(F.col("tokens"), F.array().cast("array<string>"))
-    starts = F.filter(
-        F.transform(tokens, lambda t, i: F.when((i == 0) | ~t.startswith(WORDPIECE_MARK), i)), lambda i: i.isNotNull()
-    )
-    wanted = F.greatest(F.lit(1), F.rint(F.size(tokens) * F.lit(p)).cast("int"))
-
-    def hashed(salt: str, at: Column) -> Column:
-        return F.md5(F.concat_ws(":", F.lit(f"{salt}{seed}"), id_text, at.cast("string")))
-
-    def action(at: Column) -> Column:
-        return let(hash_bigint(hashed("act", at), 8) % 100, lambda u: F.when(u < 80, "mask").when(u < 90, "random").otherwise("keep"))
-
-    spans = let(starts, lambda s: F.transform(s, lambda at, k: F.struct(
-        hashed("word", at).alias("key"), at.alias("at"), (F.coalesce(F.get(s, k + 1), F.size(tokens)) - at).alias("length"),
-    )))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<at:int,end:int,act:string>>").alias("taken"))
-
-    def take(state: Column, span: Column) -> Column:
-        fits = (state["used"] == 0) | (state["used"] + span["length"] <= wanted)
-        one = F.array(F.struct(span["at"].alias("at"), (span["at"] + span["length"]).alias("end"), action(span["at"]).alias("act")))
-        return F.struct(
-            F.when(fits, state["used"] + span["length"]).otherwise(state["used"]).alias("used"),
-            F.when(fits, F.concat(state["taken"], one)).otherwise(state["taken"]).alias("taken"),
-        )
-
-    # one action a piece: taken words in their places, with what lies before each and behind the last
-    nothing = F.lit(None).cast("string")
-    taken = F.array_sort(F.aggregate(F.array_sort(spans), start, take)["taken"])
-    acts = let(taken, lambda w: F.concat(
-        F.flatten(F.transform(w, lambda one, k: F.concat(
-            F.array_repeat(nothing, one["at"] - F.coalesce(F.get(w, k - 1)["end"], F.lit(0))),
-            F.array_repeat(one["act"], one["end"] - one["at"]),
-        ))),
-        F.array_repeat(nothing, F.size(tokens) - F.coalesce(F.get(w, F.size(w) - 1)["end"], F.lit(0))),
-    ))
-    acts = F.when(F.size(tokens) > 0, acts).otherwise(F.array().cast("array<string>"))
-    rows = write_through(df.select(id_col, tokens.alias("tokens"), acts.alias("action")), "masked-pieces")
-
+    held = bounded_rows(vocabulary.select("rank", "piece"), MAX_PIECES)
+    size = vocabulary.count() if held is None else len(held)
+    pieces = None if held is None else {r["rank"]: r["piece"] for r in held}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.asarray(batch.column(1).offsets, dtype="int64")
+            begin = 0
+            while begin < batch.num_rows:
+                upto = max(begin + 1, int(np.searchsorted(ends, ends[begin] + PIECES_AT_ONCE, "right")) - 1)
+                upto = min(upto, batch.num_rows)
+                yield _masked(batch.slice(begin, upto - begin), pieces, max(size, 1), p, seed, mask)
+                begin = upto
+
+    many = T.ArrayType(T.StringType())
+    schema = T.StructType([df.schema[id_col], *[T.StructField(c, many) for c in ("tokens", "input_tokens", "labels", "action")]])
+    rows = df.select(id_col, tokens.alias("tokens"), id_text.alias("_text")).mapInArrow(run, schema)
+    if held is not None:
+        return rows
+
+    rows = write_through(rows, "masked-pieces")
     at = F.filter(F.transform("action", lambda a, i: F.when(a == "random", i)), lambda i: i.isNotNull())
     pick = hash_bigint(md5_key(f"piece{seed}", F.coalesce(F.col(id_col).cast("string"), F.lit("")), "at")) % max(size, 1)
     spots = rows.select(id_col, F.explode(at).alias("at")).distinct().withColumn("rank", pick.cast("int"))
     words = spots.join(vocabulary.select("rank", "piece"), "rank").groupBy(F.col(id_col).alias("_id")).agg(
         F.map_from_entries(F.collect_list(F.struct("at", "piece"))).alias("_found")
     )
-    filled = F.transform(
-        "tokens",
-        lambda t, i: F.when(F.get("action", i) == "mask", F.lit(mask)).when(F.get("action", i) == "random", F.col("_found")[i]).otherwise(t),
-    )
-    labels = F.transform("tokens", lambda t, i: F.when(F.get("action", i).isNotNull(), t))
+    filled = F.transform("input_tokens", lambda t, i: F.when(F.get("action", i) == "random", F.col("_found")[i]).otherwise(t))
     met = rows.join(words, F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    return met.select(id_col, "tokens", filled.alias("input_tokens"), labels.alias("labels"), "action")
+    return met.select(id_col, "tokens", filled.alias("input_tokens"), "labels", "action")

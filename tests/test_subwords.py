@@ -120,3 +120,16 @@ def test_no_word_is_half_masked(spark):
     assert kinds["mask"] > kinds["random"] > 0 and kinds["keep"] > 0
     again = S.mask_word_pieces(df.repartition(2), vocabulary).collect()
     assert Counter(map(str, again)) == Counter(map(str, found))
+
+
+def test_masks_move_no_rows(spark, monkeypatch):
+    vocabulary = spark.createDataFrame([(f"v{k}", k) for k in range(9)], "piece string, rank int")
+    rows = [(i % 90, [("##" if (i % 90 + k) % 3 else "") + f"p{k}" for k in range(i % 45)]) for i in range(120)] + [(None, ["a", None, "##b"]), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, tokens array<string>").repartition(3).localCheckpoint()
+    found = S.mask_word_pieces(df, vocabulary)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    held = Counter(map(str, found.collect()))
+    monkeypatch.setattr(S, "PIECES_AT_ONCE", 20)
+    assert Counter(map(str, S.mask_word_pieces(df, vocabulary).collect())) == held
+    monkeypatch.setattr(S, "MAX_PIECES", 3)  # past the bound the vocabulary is joined
+    assert Counter(map(str, S.mask_word_pieces(df, vocabulary).collect())) == held
