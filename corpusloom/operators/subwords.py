@@ -11,6 +11,7 @@ changed by the words that a round touches; the driver sees the few best pairs of
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -165,7 +166,8 @@ def subword_tokenizer(vocabulary: DataFrame, unknown: str = UNKNOWN) -> Callable
     """A tokenizer for ``tokenize``: words between white space, each cut by longest match.
 
     The vocabulary is fetched once, up to ``MAX_PIECES``; a worker keeps a trie and the words
-    it has seen, until these are as many.
+    it has seen, until these are as many.  Pieces are numbers until a batch is told as one
+    Arrow array.
     """
     rows = bounded_rows(vocabulary.select("piece"), MAX_PIECES)
     if rows is None:
@@ -173,24 +175,26 @@ def subword_tokenizer(vocabulary: DataFrame, unknown: str = UNKNOWN) -> Callable
     pieces = [r.piece for r in rows]
 
     def factory():
-        root, seen = trie(pieces), {}
+        names = list(dict.fromkeys([unknown, *pieces]))
+        number = {piece: k for k, piece in enumerate(names)}
+        root, seen, named = trie(pieces), {}, pa.array(names, pa.string())
+
+        def cut(word: str) -> array:
+            if len(seen) >= MAX_PIECES:
+                seen.clear()
+            found = seen[word] = array("i", [number[piece] for piece in longest_match(word, root, unknown)])
+            return found
 
         def run(texts: pd.Series) -> pd.Series:
-            out = []
+            flat, ends, missing = array("i"), array("i", [0]), []
             for text in texts:
-                if text is None:
-                    out.append(None)
-                    continue
-                row: list[str] = []
-                for word in _words(text):
-                    cut = seen.get(word)
-                    if cut is None:
-                        if len(seen) >= MAX_PIECES:
-                            seen.clear()
-                        cut = seen[word] = longest_match(word, root, unknown)
-                    row += cut
-                out.append(row)
-            return pd.Series(out, index=texts.index)
+                missing.append(text is None)
+                for word in _words(text or ""):
+                    flat += seen.get(word) or cut(word)
+                ends.append(len(flat))
+            tokens = named.take(pa.array(np.frombuffer(flat, "int32") if flat else [], pa.int32()))
+            lists = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, "int32")), tokens, mask=pa.array(missing, pa.bool_()))
+            return pd.Series(pd.arrays.ArrowExtensionArray(lists), index=texts.index)
 
         return run
 
@@ -199,7 +203,7 @@ def subword_tokenizer(vocabulary: DataFrame, unknown: str = UNKNOWN) -> Callable
 
 def _words(text: str) -> list[str]:
     """As ``word_tokens`` cuts them, without the private characters."""
-    clean = text.translate({ord(OPEN): None, ord(CLOSE): None})
+    clean = text.replace(OPEN, "").replace(CLOSE, "")
     for c in "\t\n\r\f":
         clean = clean.replace(c, " ")
     return [w for w in clean.split(" ") if w]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,14 +40,17 @@ def tokenize(
     if tokenizer is None:
         tokens = word_tokens(F.col(text))
     else:
-        @F.pandas_udf("array<string>")
-        def tokens_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        # answers go to Spark as one Arrow array, not row by row
+        @F.arrow_udf("array<string>")
+        def tokens_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             run = tokenizer()
             for batch in batches:
-                yield run(batch)
+                yield pa.Array.from_pandas(run(pd.Series(batch.to_pandas())), type=pa.list_(pa.string()))
 
         tokens = tokens_of(text)
-    return df.withColumn("tokens", F.slice(tokens, 1, max_length - n_special))
+    most = max_length - n_special
+    # no array is longer than that, and a cut copies it
+    return df.withColumn("tokens", tokens if most == 2**31 - 1 else F.slice(tokens, 1, most))
 
 
 def tokenize_splits(df: DataFrame, keep: Sequence[str] = ("label",), **options) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +135,14 @@ def test_masks_move_no_rows(spark, monkeypatch):
     assert Counter(map(str, S.mask_word_pieces(df, vocabulary).collect())) == held
     monkeypatch.setattr(S, "MAX_PIECES", 3)  # past the bound the vocabulary is joined
     assert Counter(map(str, S.mask_word_pieces(df, vocabulary).collect())) == held
+
+
+def test_pieces_reach_spark_as_one_array(spark):
+    words = table(spark, WORDS)
+    vocabulary = S.subword_vocabulary(words, S.learn_merges(words, 5, 4))
+    made = S.subword_tokenizer(vocabulary)()(pd.Series(["low lower", None, "", "zebra"], index=[3, 5, 7, 9]))
+    assert isinstance(made.dtype, pd.ArrowDtype) and list(made.index) == [3, 5, 7, 9]
+    known = {r.piece for r in vocabulary.collect()}
+    assert pa.Array.from_pandas(made).to_pylist() == [scan("low", known) + scan("lower", known), None, [], ["[UNK]"]]
+    whole = K.tokenize(spark.createDataFrame([("a b",)], "text string"), 2**31 - 1)
+    assert "slice(" not in whole._jdf.queryExecution().optimizedPlan().toString() and whole.first().tokens == ["a", "b"]
