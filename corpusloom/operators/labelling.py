@@ -7,7 +7,10 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,22 +22,44 @@ from corpusloom.session import write_through
 
 #: Makes, once per Python worker, a function from a batch of prompts to completions.
 ScorerFactory = Callable[..., Callable[[pd.Series], pd.Series]]
+#: Bytes of requests that a scorer is given at once.
+REQUEST_BYTES = 8 * 2**20
+
+
+def _slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with at most ``most`` bytes in a column; a longer row is a run of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype("int64"))
+    begin = 0
+    while begin < batch.num_rows:
+        before = ends[begin - 1] if begin else 0
+        upto = max(begin + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(begin, upto - begin)
+        begin = upto
+
+
+def _answers(requests: pd.Series, answer: Callable[[pd.Series], pd.Series], prefix: str = "") -> pa.Array:
+    asked = requests.to_frame("request")
+    told = asked.assign(completion=answer(prefix + requests if prefix else requests))
+    return pa.Array.from_pandas(told["completion"], type=pa.string())
 
 
 def generate(df: DataFrame, scorer: ScorerFactory, request: str = "prompt", **sampling: Any) -> DataFrame:
     """``df`` with the scorer's ``completion`` of each request.
 
-    The scorer is made once per Python worker and sees Arrow batches.  Pass only the
-    columns the answer is parsed with; the rest joins back by id.
+    The scorer is made once per task and sees slices of Arrow batches of at most
+    ``REQUEST_BYTES`` of requests.  Pass only the columns the answer is parsed with; the
+    rest joins back by id.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answer = scorer(**sampling)
         for batch in batches:
-            yield batch.assign(completion=answer(batch[request]))
+            for part in _slices(batch, request, REQUEST_BYTES):
+                told = _answers(part.column(request).to_pandas(), answer)
+                yield pa.record_batch([*part.columns, told], names=[*part.schema.names, "completion"])
 
-    return df.mapInPandas(run, f"{fields}, completion string")
+    return df.mapInArrow(run, f"{fields}, completion string")
 
 
 def map_text(df: DataFrame, scorer: ScorerFactory, prefix: str = templates.TRANSLATE_PREFIX,
@@ -43,12 +68,15 @@ def map_text(df: DataFrame, scorer: ScorerFactory, prefix: str = templates.TRANS
     sampling = {"max_new_tokens": 1024, **sampling}
     schema = df.schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answer = scorer(**sampling)
         for batch in batches:
-            yield batch.assign(**{text: answer(prefix + batch[text])})
+            for part in _slices(batch, text, REQUEST_BYTES):
+                told = _answers(part.column(text).to_pandas(), answer, prefix)
+                columns = [told if name == text else c for name, c in zip(part.schema.names, part.columns)]
+                yield pa.record_batch(columns, names=part.schema.names)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 # -- parsers: (prompt, completion) -> columns ---------------------------------

@@ -129,3 +129,21 @@ def test_last_message(make):
     df = make([(1, 0, "user", "q"), (1, 2, "assistant", "b"), (1, 1, "assistant", "a"), (2, 0, "user", "z")],
               "conv_id int, turn int, role string, text string")
     assert sorted_rows(L.last_messages(df)) == [(1, "assistant", "b"), (2, "user", "z")]
+
+
+def test_a_scorer_is_given_few_bytes_at_once(spark, monkeypatch):
+    monkeypatch.setattr(L, "REQUEST_BYTES", 5000)
+
+    def factory(**_):
+        # answers keep their rows by index, in whatever order they come
+        return lambda asked: asked.map(lambda p: f"{'' if p is None else p[-5:]} {int(asked.fillna('').str.len().sum())} {len(asked)}")[::-1]
+
+    text = F.when(F.col("id") == 7, F.repeat(F.lit("y"), 9000)).when(F.col("id") != 8, F.concat(F.repeat(F.lit("x"), 1000), F.col("id") + 10000))
+    asked = spark.range(40, numPartitions=1).select(F.when(F.col("id") != 9, F.col("id") + 2**60).alias("query_id"), text.alias("prompt"))
+    for got in (L.generate(asked, factory).select("query_id", "prompt", "completion").collect(),
+                [(r.query_id, None, r.prompt) for r in L.map_text(asked, factory, "", text="prompt").collect()]):
+        assert [r[0] for r in got] == [None if k == 9 else k + 2**60 for k in range(40)]
+        for k, (_, _, told) in enumerate(got):
+            end, total, rows = told.split(" ")
+            assert end == {7: "yyyyy", 8: ""}.get(k, str(10000 + k))
+            assert int(total) <= 5000 or (int(total) == 9000 and int(rows) == 1)
