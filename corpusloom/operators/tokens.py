@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.hashing import hash_bigint, md5_key
 from corpusloom.functions.vectors import let
 from corpusloom.operators.ranking import positions_by_order
+from corpusloom.session import write_through
 
 MAX_TOKENS = 512
 SENTENCE_TOKENS = 128
@@ -124,7 +125,7 @@ def whole_word_mask(
             lambda key: F.transform("tokens", lambda t, i: F.md5(F.concat(key, i.cast("string")))),
         ),
         lambda keys: let(
-            F.get(F.array_sort(keys), F.col("_wanted") - 1),
+            F.get(F.sort_array(keys), F.col("_wanted") - 1),
             lambda bound: F.transform(keys, lambda k, i: F.when(k <= bound, action(i))),
         ),
     )
@@ -139,7 +140,8 @@ def whole_word_mask(
             id_col, "tokens", empty.alias("input_tokens"), empty.alias("labels"), F.col("_act").alias("action")
         )
     # Spots follow from the id and the number of tokens alone: they find their words as
-    # narrow rows, meet by id, and every row moves once.
+    # narrow rows, meet by id, and every row moves once.  The choice is made once and read twice.
+    chosen = write_through(chosen, "masked-words")
     random_at = F.filter(
         F.transform("_act", lambda a, i: F.when(a == "random", i)), lambda i: i.isNotNull()
     )

@@ -93,3 +93,10 @@ def test_masking_keeps_rows_of_one_id_apart(make):
     assert sorted(len(r.input_tokens) for r in rows) == [1, 150, 300, 300]
     assert all(len(r.tokens) == len(r.input_tokens) == len(r.labels) and None not in r.input_tokens for r in rows)
     assert any("random" in r.action for r in rows)
+
+
+def test_words_are_chosen_once(spark):
+    words = F.transform(F.sequence(F.lit(1), F.col("doc_id") % 40 + 1), lambda k: F.concat(F.lit("w"), k))
+    docs = spark.range(60).withColumnRenamed("id", "doc_id").select("doc_id", words.alias("tokens"))
+    plan = K.whole_word_mask(docs, K.indexed_vocabulary(docs))._jdf.queryExecution().optimizedPlan().toString()
+    assert "act42" not in plan  # actions are read from a table, not worked out for the spots and again for the rows
