@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as V
 from corpusloom.operators import head
+from corpusloom.session import write_through
 
 N_STEPS = 500
 BATCH = 40
@@ -107,7 +108,14 @@ def token_counts(df: DataFrame, table: DataFrame, id_col: str = "doc_id", tokens
 
     Tokens combine before the shuffle; a token without a vector keeps its row with a null one.
     """
-    counted = df.select(id_col, F.explode(tokens).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("n"))
+    return _with_vectors(_counts(df, id_col, tokens), table)
+
+
+def _counts(df: DataFrame, id_col: str, tokens: str) -> DataFrame:
+    return df.select(id_col, F.explode(tokens).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("n"))
+
+
+def _with_vectors(counted: DataFrame, table: DataFrame) -> DataFrame:
     return counted.join(table.select("token", V.doubles(F.col("vector")).alias("vector")), "token", "left")
 
 
@@ -143,7 +151,8 @@ def token_attributions(
     Attributions of an id add up to the gain in probability over the baseline, but for
     ``delta``.  Tokens without a vector are not pooled and have attribution 0 (in a row
     without any known token, all predictions are null); rows without tokens have none.
-    Rows of one id count as one text.
+    Rows of one id count as one text.  Words are counted once; only the counts are written,
+    vectors come from ``table``.
     """
     weights = np.asarray(model.coefficientMatrix.toArray(), dtype="float64")
     bias = np.asarray(model.interceptVector.toArray(), dtype="float64")
@@ -165,7 +174,7 @@ def token_attributions(
                 }))
             yield pd.concat(parts, ignore_index=True)
 
-    counted = token_counts(df, table, id_col, tokens)
+    counted = _with_vectors(write_through(_counts(df, id_col, tokens), "token-counts"), table)
     told = pooled_tokens(counted, id_col).select(
         F.col(id_col).alias("_id"), "n_tokens", gradients("embedding").alias("_g"))
     share = F.col("n") / F.col("n_tokens") * V.dot(F.col("vector"), F.col("_g.gradient"))

@@ -205,3 +205,10 @@ def test_nucleus_draws(make):
             assert r.c == i
     with pytest.raises(ValueError):
         V.nucleus_weights(F.col("z"), temperature=0)
+
+
+def test_words_of_attributions_are_counted_once(make, model):
+    df = make([(1, ["a", "b", "a"]), (2, ["b"])], "doc_id long, tokens array<string>")
+    table = make([("a", [0.5, 1.0]), ("b", [-0.5, 0.0])], "token string, vector array<double>")
+    plan = E.token_attributions(df, table, model, target=1, n_steps=20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan
