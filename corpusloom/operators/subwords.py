@@ -10,9 +10,9 @@ changed by the words that a round touches; the driver sees the few best pairs of
 
 from __future__ import annotations
 
-import hashlib
 from array import array
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -218,16 +218,17 @@ def _starts(tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return ends, starts
 
 
-def _taken(starts: np.ndarray, n: int, key: str, act: str, p: float) -> Iterator[tuple[int, int, int]]:
-    """``(at, end, action)`` of the words of a row of ``n`` pieces that are taken, by their places."""
+def _taken(starts: list[int], n: int, key: bytes, act: bytes, p: float) -> Iterator[tuple[int, int, int]]:
+    """``(at, end, action)`` of the words of a row of ``n`` pieces that are taken, in their order."""
     wanted = max(1, round(n * p))
     ends = [*starts[1:], n]
-    order = sorted((hashlib.md5(f"{key}{at}".encode()).digest(), at, end) for at, end in zip(starts, ends))
+    digests = [md5(key + b"%d" % at).digest() for at in starts]
     used = 0
-    for _, at, end in order:
+    for word in sorted(range(len(starts)), key=digests.__getitem__):
+        at, end = starts[word], ends[word]
         if used == 0 or used + end - at <= wanted:
             used += end - at
-            draw = int.from_bytes(hashlib.md5(f"{act}{at}".encode()).digest()[:4], "big") % 100
+            draw = int.from_bytes(md5(act + b"%d" % at).digest()[:4], "big") % 100
             yield at, end, 0 if draw < 80 else 1 if draw < 90 else 2
             if used >= wanted:
                 return
@@ -246,11 +247,12 @@ def _masked(batch: pa.RecordBatch, pieces: dict | None, size: int, p: float, see
         if n == 0:
             continue
         words = (at[first[row]:first[row + 1]] - base).tolist()
-        for begin, end, act in _taken(words, n, f"word{seed}:{text}:", f"act{seed}:{text}:", p):
+        keys = [f"{salt}{seed}:{text}:".encode() for salt in ("word", "act", "piece")]
+        for begin, end, act in _taken(words, n, *keys[:2], p):
             acts[base + begin:base + end] = act
             if act == 1 and pieces is not None:
                 for k in range(begin, end):
-                    drawn = hashlib.md5(f"piece{seed}:{text}:{k}".encode()).hexdigest()
+                    drawn = md5(keys[2] + b"%d" % k).hexdigest()
                     spots.append(base + k)
                     found.append(pieces.get(int(drawn[:15], 16) % size))
     flat = tokens.flatten()
