@@ -9,6 +9,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Places whose features are looked up at once.
+PLACES = 1 << 16
+
+
 class ChainCrf:
     """Label 1 scores the sum of its features' weights; transitions and starts are free."""
 
@@ -19,7 +23,11 @@ class ChainCrf:
 
     def emissions(self, features: np.ndarray) -> np.ndarray:
         """Scores of label 1, from an array whose last axis holds feature buckets."""
-        return self.weights[features].sum(-1)
+        flat = features.reshape(-1, features.shape[-1])
+        out = np.empty(len(flat))
+        for at in range(0, len(flat), PLACES):
+            out[at : at + PLACES] = self.weights[flat[at : at + PLACES]].sum(-1)
+        return out.reshape(features.shape[:-1])
 
     def _forward(self, scores: np.ndarray, step: np.ndarray) -> list[np.ndarray]:
         """Odds-normalised messages: per position, the share of label 1, and the running norm."""

@@ -42,8 +42,10 @@ from corpusloom.session import discard, write_through
 #: Bits of the filters that keep keys and sets without partners out of shuffles.  Their size
 #: is fixed; when they fill up they let more rows through, which changes no result.
 FILTER_BITS = 1 << 26
+#: Keys in one row of the signatures, so that batches of rows stay small whatever the texts' length.
+ROW_KEYS = 64
 #: Rows whose keys are looked up in the filter at once.
-ENTRY_ROWS = 512
+ENTRY_ROWS = 4096
 #: Low bits of a key that are counted to find the keys that sets share.
 COUNTED_BITS = 40
 SECOND_AT = COUNTED_BITS - 26
@@ -178,14 +180,17 @@ SIGNATURE = "id long, raw long, set_id long, check long, n long, keys array<long
 
 
 def _sign(width: int, num: int, den: int, spare: float, seed: int):
+    """Signatures of texts: a row for each, and rows without ``n`` for the keys past its first ROW_KEYS."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a set that a task has already indexed is not indexed again
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [as_bytes(t) for t in part.column(1).to_pylist()]
-                columns: list[list] = [[] for _ in range(5)]
-                for shingles in shingle_sets(texts, width):
+                ids, raws = part.column(0).to_pylist(), part.column(2).to_pylist()
+                columns: list[list] = [[] for _ in range(7)]
+                for row_id, raw, shingles in zip(ids, raws, shingle_sets(texts, width)):
                     n = len(shingles)
                     set_id, check = _identity(shingles, seed)
                     keys, infos = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -199,14 +204,14 @@ def _sign(width: int, num: int, den: int, spare: float, seed: int):
                                 found.append(segment_keys(shingles, own + 1, False, *cut[own + 1], num, den, spare))
                         keys = np.concatenate([f[0] for f in found]).view(np.int64)
                         infos = np.concatenate([f[1] for f in found])
-                    for column, value in zip(columns, (set_id, check, n, keys, infos)):
-                        column.append(value)
-                longs = [pa.array(c, pa.int64()) for c in columns[:3]]
-                lists = [pa.array(c, pa.list_(pa.int64())) for c in columns[3:]]
-                yield pa.record_batch(
-                    [part.column(0), part.column(2), *longs, *lists],
-                    names=["id", "raw", "set_id", "check", "n", "keys", "infos"],
-                )
+                    for first in range(0, max(len(keys), 1), ROW_KEYS):
+                        told = (row_id, raw, set_id, check, n) if first == 0 else (None, None, set_id, None, None)
+                        some = keys[first : first + ROW_KEYS], infos[first : first + ROW_KEYS]
+                        for column, value in zip(columns, (*told, *some)):
+                            column.append(value)
+                longs = [pa.array(c, pa.int64()) for c in columns[:5]]
+                lists = [pa.array(c, pa.list_(pa.int64())) for c in columns[5:]]
+                yield pa.record_batch([*longs, *lists], names=["id", "raw", "set_id", "check", "n", "keys", "infos"])
 
     return run
 
@@ -244,7 +249,7 @@ def _entries(bits):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # a batch holds some hundred keys a row: few rows at a time bound what is held beside it
+            # few rows at a time bound what is held beside the batch
             for at in range(0, batch.num_rows, ENTRY_ROWS):
                 set_ids, key_lists, info_lists = batch.slice(at, ENTRY_ROWS).columns
                 keys = key_lists.flatten().to_numpy(zero_copy_only=False)
@@ -321,7 +326,8 @@ class _Join:
             names = self.signed.where("n > 0").groupBy("set_id")
             if not names.agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").limit(1).count():
                 self.seed = seed
-                self.named = write_through(self.signed.select("id", "raw", "run", "set_id", "n"), "names")
+                texts = self.signed.where("n is not null")
+                self.named = write_through(texts.select("id", "raw", "run", "set_id", "n"), "names")
                 self.members = self.named.where("n > 0")
                 self.smallest = self.members.groupBy("set_id").agg(F.min("id").alias("min_id"))
                 return self.signed

@@ -152,7 +152,12 @@ def train(texts: list[bytes], toxic: list[int], clean_weight: float = 1.0, seed:
         # a marked-looking token in a clean document teaches that it is clean
         sure |= (np.add.reduceat(marked.astype(np.int64), firsts) > 0) & use[owner[firsts]]
         f, n = firsts[sure], lengths[sure]
-        model.crf.fit(_padded(features, f, n), _padded(labels, f, n), n)
+        padded, truths = _padded(features, f, n), _padded(labels, f, n)
+        # the fit takes as much memory again as what is no longer needed
+        del starts, columns, column, words, owner, use, kept, inverse, seen, name, doc, marked, features, labels
+        del firsts, lengths, holds, sure, f
+        model.crf.fit(padded, truths, n)
+        del padded, truths
     _, _, begins, p = model.marginals(texts)
     x = model.evidence(p, begins)
     weight = np.where(truth == 1, 1.0, clean_weight)
