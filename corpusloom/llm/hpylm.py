@@ -50,19 +50,22 @@ BLOCK_BYTES, PART_BYTES = 8 << 20, 4 << 20
 EXACT = 64
 #: Runs in which the customers of larger cells are moved.
 RUNS = 32
-#: Records of a state in one row.
-ROW_RECORDS = 250_000
+#: Records of a state in one row; readers and writers hold thousands of rows at once.
+ROW_RECORDS = 4096
 
 _PAIR = np.dtype([("word", "<u8"), ("context", "<u8"), ("n", "<u8")])
 _CELL = np.dtype([("word", "<u8"), ("context", "<u8"), ("n", "<u8"), ("t", "<u8"), ("sum", "<f4")])
 _WORD = np.dtype([("word", "<u8"), ("s", "<u8", CLASSES)])
 _NAME = np.dtype([("context", "<u8")])
 _CONTEXT = np.dtype([("context", "<u8"), ("n", "<u8"), ("t", "<u8")])
+_SEATED = np.dtype([("n", "<u8"), ("t", "<u8")])
 _ANSWER = np.dtype([("n", "<u8"), ("p", "<f4")])
 ASK, CELLS, WORDS, CONTEXTS, SUMS, REPLY, TOTAL = range(7)
 _EMPTY = {"part": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "source": pa.array([], pa.int64()),
           "data": pa.array([], pa.binary())}
 _ROW = "part long, kind int, source long, data binary"
+#: What only some readers need has columns of its own, so that the others do not read it.
+_STATE = f"{_ROW}, sums binary, total binary"
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,18 +116,44 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
         names=["part", "kind", "source", "data"])
 
 
+def _state_rows(rows: list[tuple]) -> pa.Table:
+    part, kind, source, data = zip(*rows)
+    longs = [pa.array(part, pa.int64()), pa.array(kind, pa.int32()), pa.array(source, pa.int64())]
+    told = [pa.array([d if wanted(k) else None for k, d in zip(kind, data)], pa.binary())
+            for wanted in (lambda k: k not in (SUMS, TOTAL), lambda k: k == SUMS, lambda k: k == TOTAL)]
+    return pa.table([*longs, *told], names=["part", "kind", "source", "data", "sums", "total"])
+
+
 def _bytes(records: np.ndarray) -> bytes:
-    """Records field by field, which packs well."""
-    return b"".join(np.ascontiguousarray(records[name]).tobytes() for name in records.dtype.names)
+    """Records field by field, which packs well; of whole numbers the bytes that the largest one needs."""
+    out = [len(records).to_bytes(8, "little")]
+    for name in records.dtype.names:
+        column = np.ascontiguousarray(records[name])
+        if column.dtype.kind == "u":
+            width = (int(column.max(initial=0)).bit_length() + 7) // 8
+            out.append(bytes([width]))
+            if width < 8:  # lowest bytes of all, then the next ones
+                column = np.ascontiguousarray(column.view(np.uint8).reshape(-1, 8)[:, :width].T)
+        out.append(column.tobytes())
+    return b"".join(out)
 
 
 def _records(data: bytes, dtype: np.dtype) -> np.ndarray:
-    out = np.empty(len(data) // dtype.itemsize, dtype)
-    at = 0
+    out = np.zeros(int.from_bytes(data[:8], "little"), dtype)
+    at = 8
     for name in dtype.names:
-        size = len(out) * dtype[name].itemsize
-        out[name] = np.frombuffer(data[at : at + size], dtype[name].base).reshape(out[name].shape)
-        at += size
+        base, shape = dtype[name].base, out[name].shape
+        count = math.prod(shape)
+        width = base.itemsize
+        if base.kind == "u":
+            width, at = data[at], at + 1
+        if width == base.itemsize:
+            out[name] = np.frombuffer(data, base, count, at).reshape(shape)
+        elif width:
+            column = np.zeros((count, base.itemsize), np.uint8)
+            column[:, :width] = np.frombuffer(data, np.uint8, width * count, at).reshape(width, count).T
+            out[name] = column.reshape(-1).view(base).reshape(shape)
+        at += width * count
     return out
 
 
@@ -138,8 +167,8 @@ def _dealt(records: np.ndarray, key: str, parts: int, kind: int, source: int) ->
 
 def _read(table: pa.Table, kind: int, dtype: np.dtype) -> np.ndarray:
     """The records of all rows of a kind, by source."""
-    chosen = sorted(
-        (s, d) for k, s, d in zip(*(table.column(c).to_pylist() for c in ("kind", "source", "data"))) if k == kind)
+    rows = table.filter(pa.array(table.column("kind").to_numpy() == kind))
+    chosen = sorted(zip(rows.column("source").to_pylist(), rows.column("data").to_pylist()))
     return np.concatenate([np.empty(0, dtype), *(_records(d, dtype) for _, d in chosen)])
 
 
@@ -287,7 +316,7 @@ class _State:
     """A part's cells, words and the contexts they need, all sorted."""
 
     def __init__(self, cells: np.ndarray, words: np.ndarray, contexts: np.ndarray):
-        self.cells, self.words, self.contexts = cells.copy(), words.copy(), contexts.copy()
+        self.cells, self.words, self.contexts = cells, words, contexts
         self.owner = np.searchsorted(self.words["word"], self.cells["word"])
         self.place = np.searchsorted(self.contexts["context"], self.cells["context"])
         self.kind = _class(self.cells["context"])
@@ -307,7 +336,11 @@ class _State:
 
     @classmethod
     def read(cls, table: pa.Table) -> _State:
-        return cls(_read(table, CELLS, _CELL), _read(table, WORDS, _WORD), _read(table, CONTEXTS, _NAME))
+        cells, words, contexts = _read(table, CELLS, _CELL), _read(table, WORDS, _WORD), _read(table, CONTEXTS, _NAME)
+        # rows name words and contexts by their numbers, which take fewer bytes
+        cells["word"] = words["word"][cells["word"].astype(np.int64)]
+        cells["context"] = contexts["context"][cells["context"].astype(np.int64)]
+        return cls(cells, words, contexts)
 
     def at_classes(self, values: np.ndarray) -> np.ndarray:
         """Cells' values summed by word and class."""
@@ -329,13 +362,15 @@ class _State:
         t, s = self.cells["t"].astype(np.int64), self.words["s"].astype(float)
         m = self.at_classes(t)
         root = totals.root(s.sum(1))
+        moving = np.flatnonzero(self.cells["n"] > 1)  # a lone customer has a table, none has none
+        t, owner, kind = t[moving], self.owner[moving], self.kind[moving]
         # the cell's other customers at the parent, and the one that its first table has sent
-        rest = m[self.owner, self.kind] - t + 1
-        open_tables = np.minimum(s[self.owner, self.kind], rest)
-        p = (rest - totals.discount[self.kind] * open_tables) / (STRENGTH + totals.customers[self.kind])
-        p = p + totals.back_off[self.kind] * root[self.owner]
-        others = np.maximum(tables[self.place] - t, 0)
-        self.cells["t"] = reseat(self.cells["n"], t, others, totals.context_discount[self.kind], p, rng)
+        rest = m[owner, kind] - t + 1
+        open_tables = np.minimum(s[owner, kind], rest)
+        p = (rest - totals.discount[kind] * open_tables) / (STRENGTH + totals.customers[kind])
+        p = p + totals.back_off[kind] * root[owner]
+        others = np.maximum(tables[self.place[moving]] - t, 0)
+        self.cells["t"][moving] = reseat(self.cells["n"][moving], t, others, totals.context_discount[kind], p, rng)
         m = self.at_classes(self.cells["t"])
         owner, kind = np.nonzero(m)
         before = s[owner, kind]
@@ -361,8 +396,10 @@ class _State:
 
     def rows(self, part: int, parts: int) -> list[tuple]:
         """The state, what its cells add to their contexts, and its sums by class."""
+        cells = self.cells.copy()
+        cells["word"], cells["context"] = self.owner, self.place
         out = [(part, kind, at, _bytes(records[at : at + ROW_RECORDS]))
-               for kind, records in ((CELLS, self.cells), (WORDS, self.words), (CONTEXTS, self.contexts))
+               for kind, records in ((CELLS, cells), (WORDS, self.words), (CONTEXTS, self.contexts))
                for at in range(0, len(records), ROW_RECORDS)]
         out += _dealt(self.sent(), "context", parts, SUMS, part)
         out.append((part, TOTAL, 0, self.sums().tobytes()))
@@ -371,20 +408,19 @@ class _State:
 
 def _begin(parts: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_rows(_State.begun(_read(table, ASK, _PAIR)).rows(key[0].as_py(), parts))])
+        return _state_rows(_State.begun(_read(table, ASK, _PAIR)).rows(key[0].as_py(), parts))
 
     return run
 
 
 def _reply(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Customers and tables of the part's contexts, to each part that has cells in them."""
+    """Customers and tables of the part's contexts, to each part that has cells in them, in the order it asked."""
     kinds = table.column("kind").to_numpy()
     parts = table.column("source").to_numpy()[kinds == SUMS]
     sent = [_records(d, _CONTEXT) for d in table.column("data").filter(pa.array(kinds == SUMS)).to_pylist()]
     flat = np.concatenate(sent)
     names, owner = np.unique(flat["context"], return_inverse=True)
-    added = np.zeros(len(names), _CONTEXT)
-    added["context"] = names
+    added = np.zeros(len(names), _SEATED)
     for c in ("n", "t"):
         added[c] = np.bincount(owner, flat[c], len(names))
     own = np.split(owner, np.cumsum([len(x) for x in sent])[:-1])
@@ -392,10 +428,12 @@ def _reply(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         [_rows([(p, REPLY, key[0].as_py(), _bytes(added[o])) for p, o in zip(parts.tolist(), own)])])
 
 
-def _told(table: pa.Table, state: _State) -> np.ndarray:
+def _told(table: pa.Table, state: _State, parts: int) -> np.ndarray:
     """The replies in the order of the state's contexts."""
-    told = _read(table, REPLY, _CONTEXT)
-    return told[np.argsort(told["context"])]
+    told = _read(table, REPLY, _SEATED)
+    out = np.empty(len(state.contexts), _SEATED)  # a reply for each context
+    out[np.argsort(_part(state.contexts["context"], parts), kind="stable")] = told
+    return out
 
 
 def _sweep(packed, parts: int):
@@ -403,22 +441,22 @@ def _sweep(packed, parts: int):
         totals, sweep, burn_in = packed.value
         part = key[0].as_py()
         state = _State.read(table)
-        told = _told(table, state)
+        told = _told(table, state, parts)
         if sweep - 1 > burn_in:
             state.sample(totals, told)
         state.sweep(totals, told["t"].astype(float), np.random.default_rng([sweep, part]))
-        return pa.Table.from_batches([_rows(state.rows(part, parts))])
+        return _state_rows(state.rows(part, parts))
 
     return run
 
 
-def _answer(packed):
+def _answer(packed, parts: int):
     """Per block the probabilities of the pairs it asked for, in their order, and the words' training counts."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         totals, samples = packed.value
         state = _State.read(table)
-        state.sample(totals, _told(table, state))
+        state.sample(totals, _told(table, state, parts))
         count = np.bincount(state.owner, state.cells["n"], len(state.words))
         order = np.argsort(table.column("kind").to_numpy(), kind="stable")
         width = max(len(state.contexts), 1)
@@ -490,7 +528,7 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
     # blocks follow from the partitions, which must not change between the passes
     rows = write_through(rows.mapInArrow(_cut, f"block long, id {kind}, train boolean, text string"), "blocks")
     asks = rows.select("block", "train", "text").mapInArrow(_count(parts), _ROW)
-    state = write_through(asks.groupBy("part").applyInArrow(_begin(parts), _ROW), "state")
+    state = write_through(asks.groupBy("part").applyInArrow(_begin(parts), _STATE), "state")
 
     def totals() -> Totals:
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -500,24 +538,26 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
                     sums += np.frombuffer(d, "<f8")
             yield pa.record_batch([pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["sums"])
 
-        found = state.where(F.col("kind") == TOTAL).select("data").mapInArrow(read, "sums array<double>")
+        found = state.where(F.col("kind") == TOTAL).select("total").mapInArrow(read, "sums array<double>")
         added = found.agg(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(115)]).first()
         return Totals(np.array([x or 0.0 for x in added]))
 
     def met(*more: DataFrame):
         """The parts' states with the totals of the contexts they asked for."""
-        told = state.where(F.col("kind") == SUMS).groupBy("part").applyInArrow(_reply, _ROW)
-        out = state.where(F.col("kind").isin(CELLS, WORDS, CONTEXTS)).unionAll(told)
+        sent = state.where(F.col("kind") == SUMS).select("part", "kind", "source", F.col("sums").alias("data"))
+        told = sent.groupBy("part").applyInArrow(_reply, _ROW)
+        held = state.where(F.col("kind").isin(CELLS, WORDS, CONTEXTS)).select("part", "kind", "source", "data")
+        out = held.unionAll(told)
         for table in more:
             out = out.unionAll(table)
         return out.groupBy("part")
 
     for sweep in range(1, sweeps + 1):
         packed = spark.sparkContext.broadcast((totals(), sweep, burn_in))  # a few numbers per class
-        last, state = state, write_through(met().applyInArrow(_sweep(packed, parts), _ROW), "state")
+        last, state = state, write_through(met().applyInArrow(_sweep(packed, parts), _STATE), "state")
         discard(last)
-        packed = spark.sparkContext.broadcast((totals(), sweeps - burn_in))
-    answers = write_through(met(asks).applyInArrow(_answer(packed), _ROW), "answers")
+    packed = spark.sparkContext.broadcast((totals(), sweeps - burn_in))
+    answers = write_through(met(asks).applyInArrow(_answer(packed, parts), _ROW), "answers")
     discard(state)
     result = f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scored = rows.groupBy("block").cogroup(answers.groupBy("part")).applyInArrow(_score(packed, parts), result)

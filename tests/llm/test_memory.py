@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from corpusloom.llm import jaccard
+from corpusloom.llm import hpylm, jaccard
 from corpusloom.llm.crf import ChainCrf
 
 
@@ -32,3 +32,28 @@ def test_emissions_in_runs_are_those_of_all_places(monkeypatch):
     features = rng.integers(0, 64, (7, 11, 5))
     monkeypatch.setattr("corpusloom.llm.crf.PLACES", 10)
     assert (field.emissions(features) == field.weights[features].sum(-1)).all()
+
+
+def test_states_are_told_in_short_rows_of_few_bytes():
+    rng = np.random.default_rng(5)
+    pairs = np.zeros(30_000, hpylm._PAIR)
+    for name, size in (("word", 3000), ("context", 9000)):
+        pairs[name] = rng.integers(0, 1 << 63, size)[rng.integers(0, size, 30_000)]
+    pairs["n"] = rng.integers(0, 4, 30_000)
+    state = hpylm._State.begun(pairs)
+    table = hpylm._state_rows(state.rows(0, 3))
+    assert max(len(d) for d in table.column("data").to_pylist() if d is not None) < 100_000
+    assert sum(len(d) for d in table.column("data").to_pylist() if d is not None) < 20 * len(state.cells)
+    back = hpylm._State.read(table.select(["part", "kind", "source", "data"]))
+    for name in ("cells", "words", "contexts"):
+        assert (getattr(back, name) == getattr(state, name)).all()
+    assert (back.owner == state.owner).all() and (back.place == state.place).all()
+    # replies come back in the order of the contexts, whatever part owns them
+    asked = [(q, s, d) for q, s, d in zip(*(table.column(c).to_pylist() for c in ("part", "source", "sums"))) if d is not None]
+    replies = []
+    for q, _, d in asked:
+        own = hpylm._rows([(q, hpylm.SUMS, 0, d)])
+        replies.append(hpylm._reply((pa.scalar(q),), pa.Table.from_batches([own])))
+    told = hpylm._told(pa.concat_tables(replies), state, 3)
+    sent = state.sent()
+    assert (told["n"] == sent["n"]).all() and (told["t"] == sent["t"]).all()
