@@ -7,20 +7,24 @@ table is the probability of a word never seen.  A customer of a restaurant joins
 its word or opens one, which sends a customer to the parent.
 
 The state is the number of tables of every word in every context and class; it is written
-after each sweep and the next one starts from it.  A sweep takes the customers of a cell (a
+after each sweep and the next one starts from it.  What no sweep changes (the cells, their
+customers, and who asked for them) is written once, bucketed by part, and read where it
+lies.  A sweep takes the customers of a cell (a
 word in a restaurant) out and seats them again, given the other cells' tables in the
 restaurant and the word's tables in the parents.  Cells of up to EXACT customers are drawn
 from that distribution itself; the customers of larger ones leave and return in runs.
 All cells of a sweep see the totals of contexts, classes and root that the sweep before left.
 
-Every pair that any text asks for has a cell, those without customers too.  Each kept sweep
-adds the pair's whole probability in that state to its cell, so the prediction is the mean
+Every pair that any text asks for has a cell, those without customers too.  In the end each
+kept state adds the pair's whole probability to its cell, so the prediction is the mean
 of probabilities, which add up to 1 over all words of a context.  The strength of all
 restaurants is fixed at STRENGTH; discounts follow from the counts in every sweep.
 
 Counts cover all training texts.  Texts are cut into blocks; words and contexts are dealt
 into parts by hash.  A block asks each part for its pairs of context and word, a part asks
 the owners of its contexts for their tables, and both get back only what they asked for.
+Both ask by name once: a part keeps the places of what a block asked for, and an owner of
+contexts those of what a part asked for.
 """
 
 from __future__ import annotations
@@ -31,13 +35,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import as_bytes
 from corpusloom.llm.wordhash import U, hasher
-from corpusloom.session import discard, write_through
+from corpusloom.session import discard, shuffles_removed, write_bucketed, write_through
 
 CLASSES = 16  # 0 is the start of a text, the rest are classes of the last two bytes before
 END = np.array([0x1F83D9ABFB41BD6B], U)
@@ -46,6 +50,8 @@ STRENGTH = 1.0
 ADD = 0.1  # of the base score
 #: Bytes of text in a block, which one task scores at a time, and for each part of the words.
 BLOCK_BYTES, PART_BYTES = 8 << 20, 4 << 20
+#: Parts in a bucket of what is written once.
+BUCKET_PARTS = 8
 #: Customers of a cell whose tables are drawn exactly.
 EXACT = 64
 #: Runs in which the customers of larger cells are moved.
@@ -55,17 +61,19 @@ ROW_RECORDS = 4096
 
 _PAIR = np.dtype([("word", "<u8"), ("context", "<u8"), ("n", "<u8")])
 _CELL = np.dtype([("word", "<u8"), ("context", "<u8"), ("n", "<u8"), ("t", "<u8"), ("sum", "<f4")])
+_TABLES = np.dtype([("word", "<u8"), ("context", "<u8"), ("n", "<u8"), ("t", "<u8")])
 _WORD = np.dtype([("word", "<u8"), ("s", "<u8", CLASSES)])
+_SEATS = np.dtype([("s", "<u8", CLASSES)])
+_NUMBER = np.dtype([("value", "<u8")])
+_PLACE = np.dtype([("class", "<u8"), ("part", "<u8"), ("lone", "<u8")])
 _NAME = np.dtype([("context", "<u8")])
 _CONTEXT = np.dtype([("context", "<u8"), ("n", "<u8"), ("t", "<u8")])
 _SEATED = np.dtype([("n", "<u8"), ("t", "<u8")])
 _ANSWER = np.dtype([("n", "<u8"), ("p", "<f4")])
-ASK, CELLS, WORDS, CONTEXTS, SUMS, REPLY, TOTAL = range(7)
-_EMPTY = {"part": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "source": pa.array([], pa.int64()),
-          "data": pa.array([], pa.binary())}
+ASK, CELLS, WORDS, CONTEXTS, SUMS, REPLY, TOTAL, ASKED, OWN, TABLES, SEATS, TOLD, KEPT, MOVING, ALONE, PLACES = range(16)
 _ROW = "part long, kind int, source long, data binary"
 #: What only some readers need has columns of its own, so that the others do not read it.
-_STATE = f"{_ROW}, sums binary, total binary"
+_STATE = f"{_ROW}, sums binary, total binary, asked binary, moving binary"
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,18 +102,46 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> U(20)) % U(parts)).astype(np.int64)
 
 
+def _by_part(part: np.ndarray) -> np.ndarray:
+    """The order that brings records together by part."""
+    return np.argsort(part.astype(np.uint16) if part.max(initial=0) < 1 << 16 else part, kind="stable")
+
+
 def _class(contexts: np.ndarray) -> np.ndarray:
     return (contexts & U(CLASSES - 1)).astype(np.int64)
 
 
+def _steps(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where sorted records differ from those before."""
+    new = np.ones(len(sorted_columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in sorted_columns])
+    return new
+
+
 def _added(words: np.ndarray, contexts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs with their counts, sorted by word and context, and each token's pair."""
-    names, owner = np.unique(words, return_inverse=True)
-    before, place = np.unique(contexts, return_inverse=True)
-    keys, inverse = np.unique(owner * max(len(before), 1) + place, return_inverse=True)
-    out = np.empty(len(keys), _PAIR)
-    out["word"], out["context"] = names[keys // max(len(before), 1)], before[keys % max(len(before), 1)]
-    out["n"] = np.bincount(inverse, n, len(keys))  # doubles count exactly up to 2^53
+    key = words & ~U((1 << 20) - 1) | contexts >> U(44)
+    order = np.argsort(key)
+    key, words, contexts = key[order], words[order], contexts[order]
+    new = _steps(words, contexts)
+    first = _steps(key)
+    if (new & ~first).any():  # contexts that the key does not tell apart are sorted among themselves
+        run = np.cumsum(first) - 1
+        mixed = np.zeros(run[-1] + 1, bool)
+        mixed[run[new & ~first]] = True
+        at = np.flatnonzero(mixed[run])
+        again = at[np.lexsort((contexts[at], words[at]))]
+        order[at], words[at], contexts[at] = order[again], words[again], contexts[again]
+        new = _steps(words, contexts)
+    if ((words[1:] < words[:-1]) | (words[1:] == words[:-1]) & (contexts[1:] < contexts[:-1])).any():
+        again = np.lexsort((contexts, words))  # words that it does not tell apart
+        order, words, contexts = order[again], words[again], contexts[again]
+        new = _steps(words, contexts)
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    out = np.empty(int(new.sum()), _PAIR)
+    out["word"], out["context"] = words[new], contexts[new]
+    out["n"] = np.bincount(inverse, n, len(out))  # doubles count exactly up to 2^53
     return out, inverse
 
 
@@ -119,9 +155,10 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def _state_rows(rows: list[tuple]) -> pa.Table:
     part, kind, source, data = zip(*rows)
     longs = [pa.array(part, pa.int64()), pa.array(kind, pa.int32()), pa.array(source, pa.int64())]
-    told = [pa.array([d if wanted(k) else None for k, d in zip(kind, data)], pa.binary())
-            for wanted in (lambda k: k not in (SUMS, TOTAL), lambda k: k == SUMS, lambda k: k == TOTAL)]
-    return pa.table([*longs, *told], names=["part", "kind", "source", "data", "sums", "total"])
+    own = {SUMS: "sums", TOTAL: "total", ASKED: "asked", **dict.fromkeys((MOVING, ALONE, PLACES), "moving")}
+    names = ["data", "sums", "total", "asked", "moving"]
+    told = [pa.array([d if own.get(k, "data") == name else None for k, d in zip(kind, data)], pa.binary()) for name in names]
+    return pa.table([*longs, *told], names=["part", "kind", "source", *names])
 
 
 def _bytes(records: np.ndarray) -> bytes:
@@ -157,18 +194,36 @@ def _records(data: bytes, dtype: np.dtype) -> np.ndarray:
     return out
 
 
+def _numbers(values: np.ndarray) -> bytes:
+    out = np.empty(len(values), _NUMBER)
+    out["value"] = values
+    return _bytes(out)
+
+
+def _short(part: int, kind: int, records: np.ndarray, first: int = 0) -> list[tuple]:
+    """Records in short rows, numbered from ``first`` on."""
+    return [(part, kind, first + at, _bytes(records[at : at + ROW_RECORDS])) for at in range(0, len(records), ROW_RECORDS)]
+
+
 def _dealt(records: np.ndarray, key: str, parts: int, kind: int, source: int) -> list[tuple]:
     """One row per part that owns some of the records."""
     part = _part(records[key], parts)
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    return [(p, kind, source, _bytes(records[order[cuts[p] : cuts[p + 1]]])) for p in np.unique(part).tolist()]
+    order = _by_part(part)
+    records = records[order]
+    return [(p, kind, source, _bytes(records[at:upto])) for p, at, upto in zip(*_runs(part[order]))]
 
 
-def _read(table: pa.Table, kind: int, dtype: np.dtype) -> np.ndarray:
+def _chosen(table: pa.Table, kind: int, column: str = "data", sweep: int | None = None) -> list[tuple[int, bytes]]:
+    """Sources and data of all rows of a kind (or of those of one sweep), by source."""
+    sources, wanted = table.column("source").to_numpy(), table.column("kind").to_numpy() == kind
+    if sweep is not None:
+        wanted &= sources >> 32 == sweep
+    return sorted(zip(sources[wanted].tolist(), table.column(column).filter(pa.array(wanted)).to_pylist()))
+
+
+def _read(table: pa.Table, kind: int, dtype: np.dtype, sweep: int | None = None) -> np.ndarray:
     """The records of all rows of a kind, by source."""
-    rows = table.filter(pa.array(table.column("kind").to_numpy() == kind))
-    chosen = sorted(zip(rows.column("source").to_pylist(), rows.column("data").to_pylist()))
+    chosen = _chosen(table, kind, sweep=sweep)
     return np.concatenate([np.empty(0, dtype), *(_records(d, dtype) for _, d in chosen)])
 
 
@@ -177,7 +232,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block, size = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
         numbers = []
-        for length in (len(as_bytes(t)) for t in batch.column(2).to_pylist()):
+        for length in pc.binary_length(batch.column(2)).to_pylist():
             if size and size + length > BLOCK_BYTES:
                 block, size = block + 1, 0
             size += length
@@ -199,13 +254,15 @@ def _count(parts: int):
 
         for batch in batches:
             blocks, train = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for block, first, upto in zip(*_runs(blocks)):
+            cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]  # a task's files have any order
+            for first, upto in zip(cuts[:-1], cuts[1:]):
+                block = int(blocks[first]) if upto else None
                 if held and block != now:
                     yield flush()
                 now = block
                 for at in range(first, upto, 512):
                     end = min(at + 512, upto)
-                    words, contexts, firsts = tokens([as_bytes(t) for t in batch.column(2).slice(at, end - at).to_pylist()])
+                    words, contexts, firsts = tokens(batch.column(2).slice(at, end - at).cast(pa.binary()).to_pylist())
                     held.append((words, contexts, np.repeat(train[at:end].astype(float), np.diff(firsts))))
         if held:
             yield flush()
@@ -263,14 +320,18 @@ def _alone(n: np.ndarray, t: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Expected tables with one customer among t tables of n customers.
 
     Table sizes are tilted Sibuya numbers; the tilt x = 1 - exp(-z) makes their mean n / t.
+    The mean's logarithm is convex in z and its slope (1 - d) / 2 at least, so Newton's steps
+    come down to z from the first one.
     """
-    low, high = np.full(len(n), 1e-9), np.full(len(n), 700.0)
-    for _ in range(60):
-        z = np.sqrt(low * high)
-        mean = d * -np.expm1(-z) * np.exp((1 - d) * z) / -np.expm1(-d * z)
-        more = mean * t < n
-        low, high = np.where(more, z, low), np.where(more, high, z)
-    return np.minimum((t - 1) * d * -np.expm1(-z) / -np.expm1(-d * z), n)
+    wanted = np.log(n / t)
+    z = np.clip(2 * wanted / (1 - d), 1e-9, 700)
+    for _ in range(40):
+        mean = np.log(d * np.expm1(-z) / np.expm1(-d * z)) + (1 - d) * z
+        slope = 1 / np.expm1(z) - d / np.expm1(d * z) + 1 - d
+        last, z = z, np.clip(z - (mean - wanted) / np.maximum(slope, (1 - d) / 2), 1e-9, 700)
+        if (abs(z - last) <= 1e-8 * z).all():  # steps square the error
+            break
+    return np.minimum((t - 1) * d * np.expm1(-z) / np.expm1(-d * z), n)
 
 
 def reseat(n: np.ndarray, t: np.ndarray, others: np.ndarray, d: np.ndarray, p: np.ndarray, rng) -> np.ndarray:
@@ -281,10 +342,11 @@ def reseat(n: np.ndarray, t: np.ndarray, others: np.ndarray, d: np.ndarray, p: n
     """
     n, t, p = n.astype(np.int64), t.astype(np.int64), np.maximum(p, 1e-300)
     out = np.minimum(np.maximum(t, 1), n)
-    rates, rate_of = np.unique(d, return_inverse=True)
+    rates = np.unique(d)
+    rate_of = np.searchsorted(rates, d)
     ways = np.stack([_ways(float(x)) for x in rates]) if len(rates) else None
     small = np.flatnonzero((n > 1) & (n <= EXACT))
-    small = small[np.argsort(n[small], kind="stable")]
+    small = small[np.argsort(n[small].astype(np.uint8), kind="stable")]
     for size, at, upto in zip(*_runs(n[small])):
         for k in range(at, upto, 2_000_000 // size):
             rows = small[k : min(k + 2_000_000 // size, upto)]
@@ -308,39 +370,49 @@ def reseat(n: np.ndarray, t: np.ndarray, others: np.ndarray, d: np.ndarray, p: n
 
 def _runs(values: np.ndarray) -> tuple[list, list, list]:
     """Distinct sorted values with the places where each begins and ends."""
-    names, firsts = np.unique(values, return_index=True)
-    return names.tolist(), firsts.tolist(), [*firsts[1:].tolist(), len(values)]
+    firsts = np.flatnonzero(_steps(values))
+    return values[firsts].tolist(), firsts.tolist(), [*firsts[1:].tolist(), len(values)][: len(firsts)]
 
 
 class _State:
     """A part's cells, words and the contexts they need, all sorted."""
 
-    def __init__(self, cells: np.ndarray, words: np.ndarray, contexts: np.ndarray):
-        self.cells, self.words, self.contexts = cells, words, contexts
-        self.owner = np.searchsorted(self.words["word"], self.cells["word"])
-        self.place = np.searchsorted(self.contexts["context"], self.cells["context"])
+    def __init__(self, cells: np.ndarray, words: np.ndarray, contexts: np.ndarray, owner: np.ndarray, place: np.ndarray):
+        self.cells, self.words, self.contexts, self.owner, self.place = cells, words, contexts, owner, place
         self.kind = _class(self.cells["context"])
 
     @classmethod
     def begun(cls, pairs: np.ndarray) -> _State:
-        """One table per word and context with customers, and per word and class."""
-        pairs, _ = _added(pairs["word"], pairs["context"], pairs["n"])
+        return cls.of(_added(pairs["word"], pairs["context"], pairs["n"])[0])
+
+    @classmethod
+    def of(cls, pairs: np.ndarray) -> _State:
+        """One table per word and context with customers, and per word and class; each pair stands there once, sorted."""
         cells = np.zeros(len(pairs), _CELL)
         cells["word"], cells["context"], cells["n"], cells["t"] = pairs["word"], pairs["context"], pairs["n"], pairs["n"] > 0
-        names, asked = np.unique(cells["word"]), np.unique(cells["context"])
+        first = _steps(cells["word"])
+        names, owner = cells["word"][first], np.cumsum(first) - 1
+        asked, place = np.unique(cells["context"], return_inverse=True)
         words, contexts = np.zeros(len(names), _WORD), np.zeros(len(asked), _NAME)
         words["word"], contexts["context"] = names, asked
-        out = cls(cells, words, contexts)
+        out = cls(cells, words, contexts, owner, place)
         out.words["s"] = out.at_classes(out.cells["t"]) > 0
         return out
 
     @classmethod
     def read(cls, table: pa.Table) -> _State:
-        cells, words, contexts = _read(table, CELLS, _CELL), _read(table, WORDS, _WORD), _read(table, CONTEXTS, _NAME)
+        told, words, contexts = _read(table, CELLS, _TABLES), _read(table, WORDS, _WORD), _read(table, CONTEXTS, _NAME)
         # rows name words and contexts by their numbers, which take fewer bytes
-        cells["word"] = words["word"][cells["word"].astype(np.int64)]
-        cells["context"] = contexts["context"][cells["context"].astype(np.int64)]
-        return cls(cells, words, contexts)
+        owner, place = told["word"].astype(np.int64), told["context"].astype(np.int64)
+        cells = np.zeros(len(told), _CELL)
+        cells["word"], cells["context"] = words["word"][owner], contexts["context"][place]
+        cells["n"], cells["t"] = told["n"], told["t"]
+        return cls(cells, words, contexts, owner, place)
+
+    def move(self, table: pa.Table, sweep: int) -> None:
+        """On to the seating that a sweep has left; only cells of more than one customer can have changed."""
+        self.cells["t"][self.cells["n"] > 1] = _read(table, TABLES, _NUMBER, sweep)["value"]
+        self.words["s"] = _read(table, SEATS, _SEATS, sweep)["s"]
 
     def at_classes(self, values: np.ndarray) -> np.ndarray:
         """Cells' values summed by word and class."""
@@ -352,9 +424,9 @@ class _State:
         m, s = self.at_classes(self.cells["t"]), self.words["s"].astype(float)
         parent = np.maximum(m - totals.discount * s, 0) / (STRENGTH + totals.customers)
         parent += totals.back_off * totals.root(s.sum(1))[:, None]
-        d, n, t = totals.context_discount[self.kind], self.cells["n"].astype(float), self.cells["t"].astype(float)
+        d, n, t = totals.context_discount[self.kind], *(self.cells[c].astype(float) for c in ("n", "t"))
         customers, tables = (told[c].astype(float)[self.place] for c in ("n", "t"))
-        back_off = (STRENGTH + d * tables) * parent[self.owner, self.kind]
+        back_off = (STRENGTH + d * tables) * parent.ravel()[self.owner * CLASSES + self.kind]
         self.cells["sum"] += (np.maximum(n - d * t, 0) + back_off) / (STRENGTH + customers)
 
     def sweep(self, totals: Totals, tables: np.ndarray, rng) -> None:
@@ -365,18 +437,20 @@ class _State:
         moving = np.flatnonzero(self.cells["n"] > 1)  # a lone customer has a table, none has none
         t, owner, kind = t[moving], self.owner[moving], self.kind[moving]
         # the cell's other customers at the parent, and the one that its first table has sent
-        rest = m[owner, kind] - t + 1
-        open_tables = np.minimum(s[owner, kind], rest)
+        at = owner * CLASSES + kind
+        rest = m.ravel()[at] - t + 1
+        open_tables = np.minimum(s.ravel()[at], rest)
         p = (rest - totals.discount[kind] * open_tables) / (STRENGTH + totals.customers[kind])
         p = p + totals.back_off[kind] * root[owner]
         others = np.maximum(tables[self.place[moving]] - t, 0)
         self.cells["t"][moving] = reseat(self.cells["n"][moving], t, others, totals.context_discount[kind], p, rng)
         m = self.at_classes(self.cells["t"])
-        owner, kind = np.nonzero(m)
-        before = s[owner, kind]
+        at = np.flatnonzero(m.ravel())
+        owner, kind = np.divmod(at, CLASSES)
+        before = s.ravel()[at]
         p = totals.root(np.maximum(s.sum(1)[owner] - before, 0) + 1)
         others = np.maximum(totals.tables[kind] - before, 0)
-        self.words["s"][owner, kind] = reseat(m[owner, kind], before, others, totals.discount[kind], p, rng)
+        self.words["s"][owner, kind] = reseat(m.ravel()[at], before, others, totals.discount[kind], p, rng)
 
     def sent(self) -> np.ndarray:
         """What the cells add to their contexts."""
@@ -388,35 +462,119 @@ class _State:
 
     def sums(self) -> np.ndarray:
         """What the state adds to the totals."""
-        n, m, s = self.cells["n"], self.at_classes(self.cells["t"]), self.words["s"].astype(np.int64)
-        cells = [np.bincount(self.kind, x, CLASSES) for x in (n, n == 1, n == 2)]
+        n = self.cells["n"]
+        return np.concatenate([*(np.bincount(self.kind, x, CLASSES) for x in (n, n == 1, n == 2)), self.seated()]).astype("<f8")
+
+    def seated(self) -> np.ndarray:
+        """Those of the sums that follow from the tables."""
+        m, s = self.at_classes(self.cells["t"]), self.words["s"].astype(np.int64)
         classes = [x.sum(0) for x in (m, s, m == 1, m == 2)]
         root = s.sum(1)
-        return np.concatenate([*cells, *classes, [(root > 0).sum(), (root == 1).sum(), (root == 2).sum()]]).astype("<f8")
+        return np.concatenate([*classes, [(root > 0).sum(), (root == 1).sum(), (root == 2).sum()]]).astype("<f8")
+
+    def held(self, part: int) -> list[tuple]:
+        """The state and its sums by class; no sums of probabilities, which are only made in the end."""
+        cells = np.empty(len(self.cells), _TABLES)
+        cells["word"], cells["context"], cells["n"], cells["t"] = self.owner, self.place, self.cells["n"], self.cells["t"]
+        out = [row for kind, records in ((CELLS, cells), (WORDS, self.words), (CONTEXTS, self.contexts))
+               for row in _short(part, kind, records)]
+        return [*out, (part, TOTAL, 0, self.sums().tobytes())]
+
+    def asks(self, part: int, parts: int) -> list[tuple]:
+        """What the cells add to their contexts, by name."""
+        return _dealt(self.sent(), "context", parts, SUMS, part)
 
     def rows(self, part: int, parts: int) -> list[tuple]:
-        """The state, what its cells add to their contexts, and its sums by class."""
-        cells = self.cells.copy()
-        cells["word"], cells["context"] = self.owner, self.place
-        out = [(part, kind, at, _bytes(records[at : at + ROW_RECORDS]))
-               for kind, records in ((CELLS, cells), (WORDS, self.words), (CONTEXTS, self.contexts))
-               for at in range(0, len(records), ROW_RECORDS)]
-        out += _dealt(self.sent(), "context", parts, SUMS, part)
-        out.append((part, TOTAL, 0, self.sums().tobytes()))
+        return self.held(part) + self.asks(part, parts)
+
+    def moving(self, part: int, parts: int) -> list[tuple]:
+        """What a sweep needs: cells of more than one customer, and the tables of the others by word and by context."""
+        moving = self.cells["n"] > 1
+        cells = np.empty(int(moving.sum()), _TABLES)
+        cells["word"], cells["context"] = self.owner[moving], self.place[moving]
+        cells["n"], cells["t"] = self.cells["n"][moving], self.cells["t"][moving]
+        lone = np.where(moving, 0, self.cells["t"])
+        alone, places = np.empty(len(self.words), _SEATS), np.empty(len(self.contexts), _PLACE)
+        alone["s"] = self.at_classes(lone)
+        places["class"], places["part"] = _class(self.contexts["context"]), _part(self.contexts["context"], parts)
+        places["lone"] = np.bincount(self.place, lone, len(places))
+        return [row for kind, records in ((MOVING, cells), (ALONE, alone), (PLACES, places)) for row in _short(part, kind, records)]
+
+
+class _Moving(_State):
+    """Of a state what ``moving`` has told; its cells move as those of the whole state do."""
+
+    def __init__(self, table: pa.Table):
+        self.cells, places = _read(table, MOVING, _TABLES), _read(table, PLACES, _PLACE)
+        self.alone = _read(table, ALONE, _SEATS)["s"].astype(float)
+        self.owner, self.place = self.cells["word"].astype(np.int64), self.cells["context"].astype(np.int64)
+        self.kind = places["class"].astype(np.int64)[self.place]
+        self.part, self.lone = places["part"].astype(np.int64), places["lone"]
+        self.order = _by_part(self.part)  # as contexts were asked for by name
+        self.words = np.zeros(len(self.alone), _SEATS)
+
+    def begin(self) -> None:
+        """One table per word and class."""
+        self.words["s"] = self.at_classes(self.cells["t"]) > 0
+
+    def at_classes(self, values: np.ndarray) -> np.ndarray:
+        return super().at_classes(values) + self.alone
+
+    def told(self, records: np.ndarray) -> np.ndarray:
+        """Replies in the order of the contexts."""
+        out = np.empty_like(records)
+        out[self.order] = records
         return out
 
+    def moved(self, part: int, sweep: int, told: np.ndarray | None) -> list[tuple]:
+        """What a sweep has changed, its sums, and the tables of the contexts that it was told if these are kept."""
+        first, seats = sweep << 32, np.empty(len(self.words), _SEATS)
+        seats["s"] = self.words["s"]
+        out = _short(part, TABLES, self.cells["t"].astype("<u8").view(_NUMBER), first) + _short(part, SEATS, seats, first)
+        if told is not None:
+            out += _short(part, KEPT, told.astype("<u8").view(_NUMBER), first)
+        tables = (np.bincount(self.place, self.cells["t"], len(self.lone)) + self.lone)[self.order]
+        names, firsts, ends = _runs(self.part[self.order])
+        out += [(p, SUMS, part, _numbers(tables[at:upto])) for p, at, upto in zip(names, firsts, ends)]
+        return [*out, (part, TOTAL, 0, np.concatenate([np.zeros(3 * CLASSES), self.seated()]).astype("<f8").tobytes())]
+
 
 def _begin(parts: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return _state_rows(_State.begun(_read(table, ASK, _PAIR)).rows(key[0].as_py(), parts))
+        """A part's first state, and for each block the steps between the cells it asked for."""
+        part, chosen = key[0].as_py(), _chosen(table, ASK)
+        asked = [_records(d, _PAIR) for _, d in chosen]
+        cuts = np.cumsum([len(x) for x in asked])[:-1]
+        flat = np.concatenate(asked)
+        asked.clear()
+        pairs, cell = _added(flat["word"], flat["context"], flat["n"])
+        of_block: dict[int, list[np.ndarray]] = {}
+        for (block, _), cells in zip(chosen, np.split(cell, cuts)):
+            of_block.setdefault(block, []).append(cells)
+        state = _State.of(pairs)
+        out = state.held(part) + state.moving(part, parts)
+        for block, cells in of_block.items():  # one that two tasks have read stands there twice
+            cells = cells[0] if len(cells) == 1 else np.unique(np.concatenate(cells))
+            out.append((part, ASKED, block, _numbers(np.diff(cells, prepend=0))))
+        return _state_rows(out)
+
+    return run
+
+
+def _send(parts: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_rows(_State.read(table).asks(key[0].as_py(), parts))])
 
     return run
 
 
 def _reply(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Customers and tables of the part's contexts, to each part that has cells in them, in the order it asked."""
+    """Customers and tables of the part's contexts, to each part that has cells in them, in the order it asked.
+
+    The part keeps the places of the contexts that each one asked for.
+    """
     kinds = table.column("kind").to_numpy()
-    parts = table.column("source").to_numpy()[kinds == SUMS]
+    parts = table.column("source").to_numpy()[kinds == SUMS].tolist()
     sent = [_records(d, _CONTEXT) for d in table.column("data").filter(pa.array(kinds == SUMS)).to_pylist()]
     flat = np.concatenate(sent)
     names, owner = np.unique(flat["context"], return_inverse=True)
@@ -424,28 +582,44 @@ def _reply(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     for c in ("n", "t"):
         added[c] = np.bincount(owner, flat[c], len(names))
     own = np.split(owner, np.cumsum([len(x) for x in sent])[:-1])
+    replies = [(p, REPLY, key[0].as_py(), _bytes(added[o])) for p, o in zip(parts, own)]
+    return pa.Table.from_batches([_rows(replies + [(key[0].as_py(), OWN, p, _numbers(o)) for p, o in zip(parts, own)])])
+
+
+def _tell(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+    """Tables of the part's contexts after a sweep, to each part in the order in which it once asked by name."""
+    asked, sent = _chosen(left, OWN), _chosen(right, SUMS)
+    if [p for p, _ in asked] != [p for p, _ in sent]:
+        raise RuntimeError("the tables of a sweep have not come from all parts that asked")
+    places = [_records(d, _NUMBER)["value"].astype(np.int64) for _, d in asked]
+    added = np.zeros(max(int(x.max(initial=-1)) for x in places) + 1)
+    for place, (_, data) in zip(places, sent):
+        added[place] += _records(data, _NUMBER)["value"]  # a part asks for a context once
     return pa.Table.from_batches(
-        [_rows([(p, REPLY, key[0].as_py(), _bytes(added[o])) for p, o in zip(parts.tolist(), own)])])
+        [_rows([(p, TOLD, key[0].as_py(), _numbers(added[place])) for (p, _), place in zip(asked, places)])])
 
 
-def _told(table: pa.Table, state: _State, parts: int) -> np.ndarray:
+def _told(table: pa.Table, state: _State, parts: int, kind: int = REPLY, dtype: np.dtype = _SEATED) -> np.ndarray:
     """The replies in the order of the state's contexts."""
-    told = _read(table, REPLY, _SEATED)
-    out = np.empty(len(state.contexts), _SEATED)  # a reply for each context
-    out[np.argsort(_part(state.contexts["context"], parts), kind="stable")] = told
+    told = _read(table, kind, dtype)
+    out = np.empty(len(state.contexts), dtype)  # a reply for each context
+    out[_by_part(_part(state.contexts["context"], parts))] = told
     return out
 
 
-def _sweep(packed, parts: int):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        totals, sweep, burn_in = packed.value
+def _sweep(packed):
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        totals, sweep, kept = packed.value
         part = key[0].as_py()
-        state = _State.read(table)
-        told = _told(table, state, parts)
-        if sweep - 1 > burn_in:
-            state.sample(totals, told)
-        state.sweep(totals, told["t"].astype(float), np.random.default_rng([sweep, part]))
-        return _state_rows(state.rows(part, parts))
+        state = _Moving(left)
+        if sweep == 1:
+            state.begin()
+            told = state.told(_read(right, REPLY, _SEATED)["t"])
+        else:
+            state.move(right, sweep - 1)
+            told = state.told(_read(right, TOLD, _NUMBER)["value"])
+        state.sweep(totals, told.astype(float), np.random.default_rng([sweep, part]))
+        return _state_rows(state.moved(part, sweep, told if sweep - 1 in kept else None))
 
     return run
 
@@ -453,48 +627,44 @@ def _sweep(packed, parts: int):
 def _answer(packed, parts: int):
     """Per block the probabilities of the pairs it asked for, in their order, and the words' training counts."""
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        totals, samples = packed.value
-        state = _State.read(table)
-        state.sample(totals, _told(table, state, parts))
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        of_sweep, last = packed.value
+        state = _State.read(left)
+        told = _told(right, state, parts)
+        for sweep, totals in sorted(of_sweep.items()):
+            if sweep > 0:
+                state.move(right, sweep)
+            if sweep == last > 0:
+                told["t"] = _told(right, state, parts, TOLD, _NUMBER)["value"]
+            elif sweep > 0:
+                told["t"] = _read(right, KEPT, _NUMBER, sweep + 1)["value"]
+            state.sample(totals, told)
         count = np.bincount(state.owner, state.cells["n"], len(state.words))
-        order = np.argsort(table.column("kind").to_numpy(), kind="stable")
-        width = max(len(state.contexts), 1)
-        cell_key = state.owner * width + state.place  # sorted like the cells
         out = []
-        kinds, sources, data = (table.column(c) for c in ("kind", "source", "data"))
-        rows = order[: int((kinds.to_numpy() == ASK).sum())].tolist()
-        of_block: dict[int, list[int]] = {}
-        for row in rows:
-            of_block.setdefault(sources[row].as_py(), []).append(row)
-        for block, rows in of_block.items():
-            asked = _records(data[rows[0]].as_py(), _PAIR)
-            if len(rows) > 1:  # a block that two tasks have read
-                asked = np.concatenate([_records(data[row].as_py(), _PAIR) for row in rows])
-                asked, _ = _added(asked["word"], asked["context"], asked["n"])
-            owner = np.searchsorted(state.words["word"], asked["word"])
-            wanted = owner * width + np.searchsorted(state.contexts["context"], asked["context"])
-            records = np.empty(len(asked), _ANSWER)  # every pair asked for has a cell
-            records["p"] = state.cells["sum"][np.searchsorted(cell_key, wanted)] / samples
-            records["n"] = count[owner]
+        for block, data in _chosen(left, ASKED, "asked"):
+            cells = np.cumsum(_records(data, _NUMBER)["value"].astype(np.int64))
+            records = np.empty(len(cells), _ANSWER)
+            records["p"] = state.cells["sum"][cells] / len(of_sweep)
+            records["n"] = count[state.owner[cells]]
             out.append((block, ASK, key[0].as_py(), _bytes(records)))
-        return pa.Table.from_batches([_rows(out)]) if out else pa.table(_EMPTY)
+        return pa.Table.from_batches([_rows(out)])
 
     return run
 
 
 def _score(packed, parts: int):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        totals = packed.value[0]
+        of_sweep, last = packed.value
+        totals = of_sweep[last]
         held, texts = [], left.column("text")
         for at in range(0, left.num_rows, 512):
-            words, contexts, firsts = tokens([as_bytes(t) for t in texts.slice(at, 512).to_pylist()])
+            words, contexts, firsts = tokens(texts.slice(at, 512).cast(pa.binary()).to_pylist())
             held.append((words, contexts, np.diff(firsts)))
         words, contexts, sizes = (np.concatenate(c) for c in zip(*held))
         held.clear()
         pairs, pair = _added(words, contexts, np.ones(len(words)))
         told = np.empty(len(pairs), _ANSWER)  # a block has an answer for each of its pairs
-        told[np.argsort(_part(pairs["word"], parts), kind="stable")] = _read(right, ASK, _ANSWER)
+        told[_by_part(_part(pairs["word"], parts))] = _read(right, ASK, _ANSWER)
         base = np.log10((told["n"] + ADD) / (totals.all + ADD * (totals.words + 1)))
         logs = np.log10(np.maximum(told["p"].astype(float), 1e-300))
         cuts = np.cumsum(sizes) - sizes
@@ -526,11 +696,11 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
     rows = docs.select(
         F.col(id_column).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), text.alias("text"))
     # blocks follow from the partitions, which must not change between the passes
-    rows = write_through(rows.mapInArrow(_cut, f"block long, id {kind}, train boolean, text string"), "blocks")
-    asks = rows.select("block", "train", "text").mapInArrow(_count(parts), _ROW)
-    state = write_through(asks.groupBy("part").applyInArrow(_begin(parts), _STATE), "state")
+    rows = write_through(
+        rows.mapInArrow(_cut, f"block long, id {kind}, train boolean, text string"), "blocks", compression="zstd")
+    buckets = math.ceil(parts / BUCKET_PARTS)
 
-    def totals() -> Totals:
+    def sums(table: DataFrame) -> np.ndarray:
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(115)
             for batch in batches:
@@ -538,27 +708,57 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
                     sums += np.frombuffer(d, "<f8")
             yield pa.record_batch([pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["sums"])
 
-        found = state.where(F.col("kind") == TOTAL).select("total").mapInArrow(read, "sums array<double>")
+        found = table.where(F.col("kind") == TOTAL).select("total").mapInArrow(read, "sums array<double>")
         added = found.agg(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(115)]).first()
-        return Totals(np.array([x or 0.0 for x in added]))
-
-    def met(*more: DataFrame):
-        """The parts' states with the totals of the contexts they asked for."""
-        sent = state.where(F.col("kind") == SUMS).select("part", "kind", "source", F.col("sums").alias("data"))
-        told = sent.groupBy("part").applyInArrow(_reply, _ROW)
-        held = state.where(F.col("kind").isin(CELLS, WORDS, CONTEXTS)).select("part", "kind", "source", "data")
-        out = held.unionAll(told)
-        for table in more:
-            out = out.unionAll(table)
-        return out.groupBy("part")
-
-    for sweep in range(1, sweeps + 1):
-        packed = spark.sparkContext.broadcast((totals(), sweep, burn_in))  # a few numbers per class
-        last, state = state, write_through(met().applyInArrow(_sweep(packed, parts), _STATE), "state")
-        discard(last)
-    packed = spark.sparkContext.broadcast((totals(), sweeps - burn_in))
-    answers = write_through(met(asks).applyInArrow(_answer(packed, parts), _ROW), "answers")
-    discard(state)
+        return np.array([x or 0.0 for x in added])
+
+    def totals(moved: list[DataFrame]) -> Totals:
+        """After the last of the sweeps; customers stay what they were."""
+        return Totals(np.concatenate([begun[: 3 * CLASSES], sums(moved[-1])[3 * CLASSES :]]) if moved else begun)
+
+    def told(moved: list[DataFrame]) -> DataFrame:
+        """The tables of the contexts that every part asked for, after the last of the sweeps."""
+        if not moved:
+            return links.where(F.col("kind") == REPLY)
+        sent = seatings(moved[-1], SUMS, column="sums")
+        return links.where(F.col("kind") == OWN).groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(_tell, _ROW)
+
+    def seatings(table: DataFrame, *kinds: int, column: str = "data") -> DataFrame:
+        return table.where(F.col("kind").isin(*kinds)).select("part", "kind", "source", F.col(column).alias("data"))
+
+    with shuffles_removed(spark):
+        asks = rows.select("block", "train", "text").mapInArrow(_count(parts), _ROW)
+        state = write_bucketed(asks.groupBy("part").applyInArrow(_begin(parts), _STATE), "state", buckets, "part", compression="zstd")
+        begun = sums(state)
+        moving = seatings(state, MOVING, ALONE, PLACES, column="moving")
+        sent = seatings(state, CELLS, WORDS, CONTEXTS).groupBy("part").applyInArrow(_send(parts), _ROW)
+        # replies go to parts other than the one that makes them
+        replies = sent.groupBy("part").applyInArrow(_reply, _ROW).repartition(buckets, "part")
+        links = write_bucketed(replies, "links", buckets, "part", compression="zstd")
+        kept, left, moved = range(burn_in + 1, sweeps + 1), {}, []
+        for sweep in range(1, sweeps + 1):
+            left[sweep - 1] = totals(moved)
+            packed = spark.sparkContext.broadcast((left[sweep - 1], sweep, kept))  # a few numbers per class
+            heard = told(moved)
+            for table in moved[-1:]:
+                heard = heard.unionAll(seatings(table, TABLES, SEATS))
+            swept = moving.groupBy("part").cogroup(heard.groupBy("part")).applyInArrow(_sweep(packed), _STATE)
+            moved.append(write_through(swept, "moved"))
+            if sweep > 1 and sweep - 1 not in kept and sweep - 2 not in kept:
+                discard(moved[-2])
+        left[sweeps] = totals(moved)
+        packed = spark.sparkContext.broadcast(({k: left[k] for k in kept}, sweeps))
+        heard = told(moved)
+        if moved:
+            heard = heard.unionAll(links.where(F.col("kind") == REPLY))
+        for k, table in enumerate(moved, 1):
+            kinds = [x for x, wanted in ((TABLES, k in kept), (SEATS, k in kept), (KEPT, k - 1 in kept)) if wanted]
+            if kinds:
+                heard = heard.unionAll(seatings(table, *kinds))
+        whole = state.where(F.col("kind").isin(CELLS, WORDS, CONTEXTS, ASKED)).select("part", "kind", "source", "data", "asked")
+        answers = write_through(
+            whole.groupBy("part").cogroup(heard.groupBy("part")).applyInArrow(_answer(packed, parts), _ROW), "answers")
+    discard(state, links, *moved)
     result = f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scored = rows.groupBy("block").cogroup(answers.groupBy("part")).applyInArrow(_score(packed, parts), result)
     return scored.select(

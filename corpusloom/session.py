@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -55,7 +56,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def write_through(df: DataFrame, name: str) -> DataFrame:
+def write_through(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` once and go on from the written table.
 
     Cuts the lineage, fixes the values of nondeterministic columns, and survives the
@@ -63,14 +64,42 @@ def write_through(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_path = path
     return table
 
 
+def write_bucketed(df: DataFrame, name: str, buckets: int, column: str, **options: str) -> DataFrame:
+    """``write_through`` for what is grouped by ``column`` again and again, which then needs no shuffle.
+
+    The table has a name of its own in the session's catalog until it is discarded.
+    """
+    spark = df.sparkSession
+    path, called = shared_path(spark, name), f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").options(path=path, **options).bucketBy(buckets, column).saveAsTable(called)
+    table = spark.table(called)
+    table._written_path, table._written_name = path, called
+    return table
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within, the files of a query's shuffles go when it has run, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``write_through`` returned, once their last reader has run.
+    """Delete tables that ``write_through`` or ``write_bucketed`` returned, once their last reader has run.
 
     Other DataFrames, and tables derived from written ones, are left alone.
     """
@@ -78,6 +107,8 @@ def discard(*tables: DataFrame) -> None:
         named = getattr(table, "_written_path", None)
         if named is None:
             continue
+        if called := getattr(table, "_written_name", None):
+            table.sparkSession.sql(f"DROP TABLE IF EXISTS {called}")
         path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(named)
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 

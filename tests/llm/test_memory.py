@@ -57,3 +57,52 @@ def test_states_are_told_in_short_rows_of_few_bytes():
     told = hpylm._told(pa.concat_tables(replies), state, 3)
     sent = state.sent()
     assert (told["n"] == sent["n"]).all() and (told["t"] == sent["t"]).all()
+
+
+def test_sweeps_get_only_the_cells_that_move():
+    """A sweep over what it is given moves the whole state's cells as a sweep over all of them does."""
+    rng = np.random.default_rng(7)
+    pairs = np.zeros(30_000, hpylm._PAIR)
+    for name, size in (("word", 3000), ("context", 9000)):
+        pairs[name] = rng.integers(0, 1 << 63, size)[(size * rng.random(30_000) ** 3).astype(int)]
+    pairs["n"] = rng.integers(0, 4, 30_000) ** 5
+    whole = hpylm._State.begun(pairs)
+    rows = hpylm._state_rows(whole.moving(0, 3))
+    told = rows.column("moving").to_pylist()
+    assert max(len(d) for d in told) < 100_000
+    lean = hpylm._Moving(rows.select(["part", "kind", "source", "moving"]).rename_columns(["part", "kind", "source", "data"]))
+    assert len(lean.cells) == (whole.cells["n"] > 1).sum() < len(whole.cells)
+    assert (lean.at_classes(lean.cells["t"]) == whole.at_classes(whole.cells["t"])).all()
+    lean.begin()
+    totals, tables = hpylm.Totals(whole.sums()), whole.sent()["t"].astype(float)
+    for sweep in (1, 2):
+        whole.sweep(totals, tables, np.random.default_rng(sweep))
+        lean.sweep(totals, tables, np.random.default_rng(sweep))
+    moved = hpylm._state_rows(lean.moved(0, 2, None)).select(["part", "kind", "source", "data"])
+    again = hpylm._State.begun(pairs)
+    again.move(moved, 2)
+    assert (again.cells == whole.cells).all() and (again.words == whole.words).all()
+    assert (lean.seated() == whole.sums()[48:]).all()
+
+
+def test_pairs_whose_keys_agree_are_told_apart():
+    rng = np.random.default_rng(9)
+    words, contexts = (rng.integers(0, 1 << 63, 40).astype("u8")[rng.integers(0, 40, 5000)] for _ in range(2))
+    words ^= rng.integers(0, 3, 5000).astype("u8")
+    contexts ^= rng.integers(0, 3, 5000).astype("u8")
+    pairs, inverse = hpylm._added(words, contexts, np.ones(5000))
+    want, counts = np.unique(np.stack([words, contexts], 1), axis=0, return_counts=True)
+    assert (pairs["word"] == want[:, 0]).all() and (pairs["context"] == want[:, 1]).all() and (pairs["n"] == counts).all()
+    assert (pairs["word"][inverse] == words).all() and (pairs["context"][inverse] == contexts).all()
+
+
+def test_blocks_of_a_task_come_in_any_order():
+    """A task may read files of several blocks in any order, in one batch."""
+    texts = ["of the first", "a b c d", "more of the first", "e f"]
+    batch = pa.record_batch([pa.array([5, 2, 5, 3], pa.int64()), pa.array([True] * 4), pa.array(texts)],
+                            names=["block", "train", "text"])
+    asked = {}
+    for rows in hpylm._count(3)(iter([batch])):
+        for r in rows.to_pylist():
+            asked[r["source"]] = asked.get(r["source"], 0) + int(hpylm._records(r["data"], hpylm._PAIR)["n"].sum())
+    assert asked == {5: 9, 2: 5, 3: 3}
