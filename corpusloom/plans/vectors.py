@@ -16,7 +16,7 @@ from corpusloom.operators import splits
 from corpusloom.operators import trials as T
 from corpusloom.operators.tokens import vocabulary, word_tokens
 from corpusloom.plans.sql import key, unit, with_ctes
-from corpusloom.session import write_through
+from corpusloom.session import shuffles_removed, write_through
 from corpusloom.sources import derived as D
 
 
@@ -174,14 +174,17 @@ def error_attributions(spark, sf_dir):
 
 def token_attributions(spark, sf_dir):
     """Tokens of all documents, with hashed vectors of 16 numbers and a head on their means."""
-    docs = D.corpus(spark, sf_dir).select("doc_id", "label", word_tokens(F.col("text")).alias("tokens"))
+    corpus = D.corpus(spark, sf_dir)
     vectors = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.pmod(F.xxhash64("token", i), F.lit(2001)) / 1000 - 1)
-    # the fit reads its rows many times, the vectors are asked for twice: both are found once
-    table = write_through(vocabulary(docs).select("token"), "words").select("token", vectors.alias("vector"))
-    coded = C.factorize(docs.select("doc_id", "label"), C.class_table(docs))
-    pooled = write_through(E.pooled_tokens(E.token_counts(docs, table)).join(coded, "doc_id"), "pooled")
+    with shuffles_removed(spark):
+        # texts are read once, and their words counted; all that follows reads the counts
+        docs = E.pack_tokens(corpus.select("doc_id", "text"), tokens=word_tokens(F.col("text")))
+        table = write_through(vocabulary(docs.words()).select("token"), "words").select("token", vectors.alias("vector"))
+        counted = E.token_counts(docs, table)
+        coded = C.factorize(corpus.select("doc_id", "label"), C.class_table(corpus))
+        pooled = write_through(E.pooled_tokens(counted).join(coded, "doc_id"), "pooled")
     model = H.fit_head(H.as_features(C.with_class_weight(pooled, C.class_weights(pooled))), max_iter=10)
-    found = E.token_attributions(docs, table, model, target=1)
+    found = E.token_attributions(docs, table, model, target=1, counted=counted)
     return found.select(
         "doc_id", "token", "n", F.round("attribution", 6).alias("attribution"), "pred_class", "attr_class",
         F.round("pred_prob", 6).alias("pred_prob"), "delta",

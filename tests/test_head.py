@@ -212,3 +212,67 @@ def test_words_of_attributions_are_counted_once(make, model):
     table = make([("a", [0.5, 1.0]), ("b", [-0.5, 0.0])], "token string, vector array<double>")
     plan = E.token_attributions(df, table, model, target=1, n_steps=20)._jdf.queryExecution().optimizedPlan().toString()
     assert "explode" not in plan
+
+
+def test_words_of_attributions_are_not_shuffled(make, model):
+    df = make([(1, ["a", "b", "a"]), (2, ["b"])], "doc_id long, tokens array<string>")
+    table = make([("a", [0.5, 1.0, 0.0, 2.0]), ("b", [-0.5, 0.0, 1.0, 1.0])], "token string, vector array<double>")
+    found = E.token_attributions(df, table, model, target=1, n_steps=20)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 3 and "Exchange" not in plan and "Join" not in plan
+
+
+@pytest.fixture
+def odd_texts(spark, make):
+    """Ids of many rows and none, words unknown, null, or told twice by the table; rows, the table, and vectors by word."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(30)] + [None, "strange", "empty"]
+    rows = [(int(i) if i else None, [words[k] for k in rng.integers(0, 33, rng.integers(0, 9))]) for i in rng.integers(0, 25, 120)]
+    rows += [(77, None), (78, []), (79, ["strange"])] + [(80, ["w1", "w2", "w1"])] * 90
+    vectors = {w: [[float(x) for x in rng.normal(0, 1, 4)]] for w in words[:30]}
+    vectors["w3"].append([1.0, 2.0, 3.0, 4.0])
+    table = [(w, v) for w, vs in vectors.items() for v in vs] + [("unasked", [0.0] * 4), ("empty", None), (None, [9.0] * 4)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    yield rows, make(rows, "doc_id bigint, tokens array<string>"), make(table, "token string, vector array<double>"), vectors
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("part_tokens", [1, 40, None])
+def test_packed_tokens(odd_texts, model, part_tokens):
+    """Counts, vectors, means and attributions in parts of any size against those worked out row by row."""
+    from collections import Counter, defaultdict
+
+    rows, df, table, vectors = odd_texts
+    counts = defaultdict(Counter)
+    for i, tokens in rows:
+        counts[i].update(tokens or [])
+    packed = E.pack_tokens(df.repartition(3), part_tokens=part_tokens)
+    n_parts = packed.rows.select("part").distinct().count()
+    assert n_parts > 20 if part_tokens == 1 else 8 < n_parts <= 20 if part_tokens else n_parts <= 8
+    assert {w for r in packed.words().collect() for w in r.tokens} == {w for c in counts.values() for w in c}
+    counted = E.token_counts(packed, table)
+    want = Counter(
+        (i, w, n, None if v is None else tuple(v)) for i, c in counts.items() for w, n in c.items() for v in vectors.get(w, [None])
+    )
+    assert Counter((r.doc_id, r.token, r.n, r.vector and tuple(r.vector)) for r in counted.collect()) == want
+    pooled = {r.doc_id: r for r in E.pooled_tokens(counted).collect()}
+    plain = {r.doc_id: r for r in E.pooled_tokens(counted.select("*")).collect()}
+    assert set(pooled) == set(plain) and 79 not in pooled and 78 not in pooled
+    for i, r in plain.items():
+        assert pooled[i].embedding == pytest.approx(r.embedding) and pooled[i].n_tokens == r.n_tokens
+    got = E.token_attributions(packed, table, model, target=1, n_steps=20, counted=counted).collect()
+    again = E.token_attributions(df, table, model, target=1, n_steps=20).collect()
+
+    def shown(rows):
+        return sorted((str(r.doc_id), str(r.token), r.n, round(r.attribution, 9), r.pred_class) for r in rows)
+
+    assert shown(got) == shown(again) and len(got) == want.total()
+    total = defaultdict(float)
+    for r in got:
+        total[r.doc_id] += r.attribution
+        assert (r.pred_class is None) == (r.doc_id == 79) and (r.token in vectors or r.attribution == 0)
+    for r in H.predict(model, H.as_features(E.pooled_tokens(counted))).collect():
+        first = next(g for g in got if g.doc_id == r.doc_id)
+        assert first.pred_class == r.pred_code and first.pred_prob == pytest.approx(r.pred_prob)
+        start = np.exp(model.interceptVector.toArray())
+        assert total[r.doc_id] == pytest.approx(first.attr_prob - start[1] / start.sum() + first.delta)
